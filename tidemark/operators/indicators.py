@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import signals as sig
+from tidemark.functions.numeric import ratio
 from tidemark.operators.ewma import Ewma, span, with_ewma
 from tidemark.operators.panel import resample_last, week_friday
 
@@ -35,7 +36,7 @@ def number_rows(prices: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataF
         "rn": F.row_number().over(w) - 1, "prev": F.lag("close").over(w)})
     return numbered.withColumns({
         "n_rows": F.count("*").over(Window.partitionBy(*keys)),
-        "ret": F.col("close") / F.when(F.col("prev") != 0, F.col("prev")) - 1})
+        "ret": ratio(F.col("close"), F.col("prev")) - 1})
 
 
 def rsi_from(gain: Column, loss: Column) -> Column:
@@ -75,7 +76,7 @@ def with_bands(numbered: DataFrame, n: int = 20, width: float = 2.0,
     df = numbered.withColumns({"bb_middle": sma(n, keys=keys), "_dev": dev})
     df = df.withColumns({"bb_upper": F.col("bb_middle") + F.col("_dev") * width,
                          "bb_lower": F.col("bb_middle") - F.col("_dev") * width}).drop("_dev")
-    return df.withColumn("bandwidth", (F.col("bb_upper") - F.col("bb_lower")) / F.col("bb_middle"))
+    return df.withColumn("bandwidth", ratio(F.col("bb_upper") - F.col("bb_lower"), F.col("bb_middle")))
 
 
 def features(bars: DataFrame) -> DataFrame:

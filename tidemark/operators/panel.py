@@ -144,7 +144,7 @@ def daily_returns(prices: DataFrame) -> DataFrame:
 def underwater(prices: DataFrame, *keys: str) -> DataFrame:
     """Fraction below the running high; a missing price stays missing."""
     keys = keys or ("symbol",)
-    return prices.withColumn("underwater", F.col("close") / F.max("close").over(so_far(*keys)) - 1)
+    return prices.withColumn("underwater", ratio(F.col("close"), F.max("close").over(so_far(*keys))) - 1)
 
 
 def period_returns(panel: DataFrame) -> DataFrame:

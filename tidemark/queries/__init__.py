@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market", "ledger", "scores")
+MODULES = ("market", "ledger", "scores", "backtests")
 
 
 def load_registry():

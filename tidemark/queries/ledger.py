@@ -52,14 +52,14 @@ def raw_ledger(t):
         text("fee_thb").alias("fee_thb"), F.when(seq == "1", " Transfer").otherwise(F.upper("tx_type")).alias("tx_type"))
 
 
-@query("SRC4_ledger_scan", "portfolio_id:s tx_id:s date:d ticker:s shares:4 price_usd:4 fx_rate_thb:4 amount_thb:2 fee_thb:4 tx_type:s", """
+@query("SRC4_ledger_scan", "portfolio_id:s tx_id:s date:d ticker:s shares:4 price_usd:4 fx_rate_thb:4 amount_thb:6 fee_thb:4 tx_type:s", """
 SELECT CAST(portfolio_id AS VARCHAR) AS portfolio_id, tx_id, date, ticker, shares, price_usd, CASE WHEN tx_id LIKE '%-2' THEN 33.5 ELSE fx_rate_thb END AS fx_rate_thb,
  amount_thb, fee_thb, CASE WHEN tx_id LIKE '%-1' THEN 'buy' ELSE tx_type END AS tx_type FROM transactions WHERE tx_id NOT LIKE '%-3'""")
 def _(t):
     return lg.normalize_ledger(raw_ledger(t))
 
 
-@query("SNK1_ledger_append", "portfolio_id:i tx_id:s date:d ticker:s shares:4 price_usd:4 amount_thb:2 fee_thb:4 tx_type:s ok:b", """
+@query("SNK1_ledger_append", "portfolio_id:i tx_id:s date:d ticker:s shares:4 price_usd:4 amount_thb:6 fee_thb:4 tx_type:s ok:b", """
 SELECT portfolio_id, tx_id, date, ticker, shares, price_usd, amount_thb, CASE WHEN tx_type = 'dividend' THEN 0 ELSE shares*price_usd*0.0015*fx_rate_thb END AS fee_thb, tx_type,
  CASE WHEN tx_type = 'dividend' THEN amount_thb/fx_rate_thb > 0 ELSE shares > 5 END AS ok FROM transactions""")
 def _(t):
@@ -72,12 +72,12 @@ def _(t):
 
 
 @query("SNK3_delete_by_key", "portfolio_id:i tx_id:s", """
-SELECT portfolio_id, tx_id FROM transactions WHERE tx_type <> 'dividend'""")
+SELECT portfolio_id, tx_id FROM transactions WHERE tx_id NOT IN (SELECT tx_id FROM transactions WHERE tx_type = 'dividend')""")
 def _(t):
     return sinks.without_keys(t.transactions(), lg.dividends(t.transactions()).select("tx_id"), ["tx_id"])
 
 
-@query("A9_holdings", "portfolio_id:i ticker:s shares:3 invested_usd:2 invested_thb:2 fee_thb:3 avg_cost_usd:4 fx_rate_buy:6 price:4 price_ok:b current_value_usd:2 "
+@query("A9_holdings", "portfolio_id:i ticker:s shares:3 invested_usd:2 invested_thb:4 fee_thb:3 avg_cost_usd:4 fx_rate_buy:6 price:4 price_ok:b current_value_usd:2 "
        "current_value_thb:2 pnl_usd:2 pnl_thb:2 return_pct:4", """
 SELECT portfolio_id, ticker, shares, invested_usd, invested_thb, fee_thb, invested_usd/shares AS avg_cost_usd, invested_thb/invested_usd AS fx_rate_buy, price, price_ok,
  current_value_usd, current_value_thb, current_value_usd - invested_usd AS pnl_usd, current_value_thb - invested_thb AS pnl_thb,
@@ -91,7 +91,7 @@ def _(t):
     return held(t)
 
 
-@query("A10_portfolio_totals", "portfolio_id:i holdings_count:i total_invested_thb:2 current_value_thb:2 current_value_usd:2 total_pnl_thb:2 total_return_pct:4 total_fee_thb:3 missing_prices:s", """
+@query("A10_portfolio_totals", "portfolio_id:i holdings_count:i total_invested_thb:4 current_value_thb:2 current_value_usd:2 total_pnl_thb:2 total_return_pct:4 total_fee_thb:3 missing_prices:s", """
 SELECT portfolio_id, count(*) AS holdings_count, sum(invested_thb) AS total_invested_thb, coalesce(sum(current_value_thb), 0) AS current_value_thb, coalesce(sum(current_value_usd), 0) AS current_value_usd,
  coalesce(sum(current_value_thb), 0) - coalesce(sum(invested_thb) FILTER (WHERE price_ok), 0) AS total_pnl_thb,
  coalesce((sum(current_value_thb) - sum(invested_thb) FILTER (WHERE price_ok)) / sum(invested_thb) FILTER (WHERE price_ok) * 100, 0) AS total_return_pct,
@@ -107,14 +107,14 @@ def _(t):
     return lg.top_holdings(held(t))
 
 
-@query("A11_dividend_summary", "portfolio_id:i total_thb:2 total_usd:2 n:i this_year_thb:2", """
+@query("A11_dividend_summary", "portfolio_id:i total_thb:4 total_usd:5 n:i this_year_thb:4", """
 SELECT portfolio_id, sum(amount_thb) AS total_thb, sum(amount_thb/fx_rate_thb) AS total_usd, count(*) AS n,
  coalesce(sum(amount_thb) FILTER (WHERE extract(year FROM date) = 2001), 0) AS this_year_thb FROM transactions WHERE tx_type = 'dividend' GROUP BY 1""")
 def _(t):
     return lg.dividend_summary(t.transactions(), AS_OF)
 
 
-@query("A11_dividends_by_ticker", "portfolio_id:i ticker:s total_thb:2", """
+@query("A11_dividends_by_ticker", "portfolio_id:i ticker:s total_thb:4", """
 SELECT portfolio_id, ticker, sum(amount_thb) AS total_thb FROM transactions WHERE tx_type = 'dividend' GROUP BY 1, 2""")
 def _(t):
     return lg.dividends(t.transactions()).groupBy("portfolio_id", "ticker").agg(F.sum("amount_thb").alias("total_thb"))
@@ -170,7 +170,7 @@ def _(t):
     return lg.shadow_benchmark(t.transactions(), t.benchmark().filter(F.col("dt") >= SINCE))
 
 
-@query("B19_reinvested_dividends", "portfolio_id:i ticker:s cash_usd:3 extra_shares:6 drip_value_usd:3 advantage_usd:3 rounds:i skipped:i", """
+@query("B19_reinvested_dividends", "portfolio_id:i ticker:s cash_usd:5 extra_shares:6 drip_value_usd:3 advantage_usd:3 rounds:i skipped:i", """
 SELECT portfolio_id, ticker, coalesce(sum(v) FILTER (WHERE close IS NOT NULL), 0) AS cash_usd, coalesce(sum(v/close), 0) AS extra_shares, coalesce(sum(v/close), 0)*max(lp) AS drip_value_usd,
  coalesce(sum(v/close), 0)*max(lp) - coalesce(sum(v) FILTER (WHERE close IS NOT NULL), 0) AS advantage_usd, count(close) AS rounds, count(*) - count(close) AS skipped
 FROM (SELECT t.portfolio_id, t.ticker, t.amount_thb/t.fx_rate_thb AS v, b.close, l.price AS lp FROM transactions t ASOF LEFT JOIN late_bars b ON t.ticker = b.symbol AND t.date >= b.dt
