@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import clamp, ratio
 from tidemark.functions.signals import score_tilt
 from tidemark.operators import indicators as ind
-from tidemark.operators.asof import asof_lookup
 from tidemark.operators.scoring import with_scores
 
 # Fixed values of the candidate tilts.
@@ -44,13 +43,13 @@ def require_prices(mix: DataFrame, panel: DataFrame) -> None:
         raise ValueError(f"no price column for {sorted(lost)}")
 
 
-def buy_calendar(panel: DataFrame, mix: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Rows ``(keys, symbol, weight, dt, close)`` on the first day of each month on which all symbols trade.
+def buy_rows(rows: DataFrame, mix: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Keep the first day of each month on which all symbols of a mix trade, with their weights.
 
-    A month whose first such day lies before the window's start is warm-up and buys nothing.
+    A month whose first such day lies before the span's start is warm-up and buys nothing.
     """
     sized = mix.withColumn("n_symbols", F.count("*").over(Window.partitionBy(*keys)))
-    rows = panel.select("symbol", "dt", "close").join(sized, "symbol")
+    rows = rows.join(sized, "symbol")
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*keys, "dt"))).filter(F.col("n") == F.col("n_symbols"))
     month = Window.partitionBy(*keys, F.trunc("dt", "month"))
     rows = rows.withColumn("buy_dt", F.min("dt").over(month))
@@ -116,11 +115,15 @@ def with_tilts(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def decisions(panel: DataFrame, mix: DataFrame, keys: tuple[str, ...] = ("win",)) -> DataFrame:
-    """Buy rows with the tilts known strictly before each buy day."""
-    buys = buy_calendar(panel, mix, keys)
+    """Buy rows with the tilts known strictly before each buy day.
+
+    A symbol trades on its buy day, so the last row before it is simply the symbol's previous
+    row: the features are shifted down by one and no join back to the history is needed.
+    """
     feats = decision_features(panel)
-    known = asof_lookup(buys, feats, "dt", "dt", FEATURES, by=["symbol"], strict=True)
-    rows = buys.join(known, ["symbol", "dt"], "left")
+    w = Window.partitionBy("symbol").orderBy("dt")
+    shifted = feats.select("symbol", "dt", "close", F.lag(F.struct(*FEATURES)).over(w).alias("known"))
+    rows = buy_rows(shifted, mix, keys).select("*", "known.*").drop("known")
     rows = rows.join(stretch_percentile(rows, feats), ["symbol", "rn"], "left")
     return with_tilts(rows, keys)
 
@@ -169,12 +172,17 @@ def neutral_counts(rows: DataFrame, keys: tuple[str, ...] = ("win",)) -> DataFra
 
 
 def verdicts(metrics: DataFrame, arms: tuple[str, ...], keys: tuple[str, ...] = ("win",)) -> DataFrame:
-    """Does an arm beat ``plain``: higher (rounded) value and at least its Sharpe ratio."""
-    base = metrics.filter(F.col("arm") == "plain").select(*keys, F.col("final_value").alias("v0"), F.col("sharpe").alias("s0"))
-    rows = metrics.filter(F.col("arm").isin(*arms)).join(base, list(keys))
+    """Does an arm beat ``plain``: higher (rounded) value and at least its Sharpe ratio.
+
+    ``passes`` is the gate: the arm wins in every test span.
+    """
+    span = Window.partitionBy(*keys)
+    base = lambda c: F.max(F.when(F.col("arm") == "plain", F.col(c))).over(span)
+    rows = metrics.withColumns({"v0": base("final_value"), "s0": base("sharpe")}).filter(F.col("arm").isin(*arms))
     rows = rows.withColumns({"by_value": F.col("final_value") > F.col("v0"),
                              "by_sharpe": F.coalesce(F.col("sharpe") >= F.col("s0"), F.lit(False))})
-    return rows.select(*keys, "arm", "by_value", "by_sharpe", (F.col("by_value") & F.col("by_sharpe")).alias("overall"))
+    rows = rows.select(*keys, "arm", "by_value", "by_sharpe", (F.col("by_value") & F.col("by_sharpe")).alias("overall"))
+    return rows.withColumn("passes", F.bool_and("overall").over(Window.partitionBy("arm")))
 
 
 def ab_backtest(panel: DataFrame, mix: DataFrame, benchmark_mix: DataFrame, amount: float) -> tuple[DataFrame, DataFrame]:
@@ -183,15 +191,13 @@ def ab_backtest(panel: DataFrame, mix: DataFrame, benchmark_mix: DataFrame, amou
     The benchmark arm has its own buy calendar: only its own symbol must trade.
     """
     arms = simulate(decisions(panel, mix), ("plain", "tilt"), amount)
-    alone = buy_calendar(panel, benchmark_mix, ("win",)).withColumn("benchmark", F.lit(1.0))
+    alone = buy_rows(panel.select("symbol", "dt", "close"), benchmark_mix, ("win",)).withColumn("benchmark", F.lit(1.0))
     months = arms.unionByName(simulate(alone, ("benchmark",), amount))
     metrics = arm_metrics(months)
     return metrics, verdicts(metrics, ("tilt",))
 
 
-def edge_lab(panel: DataFrame, mix: DataFrame, amount: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All candidate tilts: metrics, verdict per window, and the gate (wins in every window)."""
+def edge_lab(panel: DataFrame, mix: DataFrame, amount: float) -> tuple[DataFrame, DataFrame]:
+    """All candidate tilts: metrics, and the verdict per span with the gate over all spans."""
     metrics = arm_metrics(simulate(decisions(panel, mix), ("plain", "tilt", *CANDIDATES), amount))
-    checks = verdicts(metrics, CANDIDATES)
-    gate = checks.groupBy("arm").agg(F.bool_and("overall").alias("passes"))
-    return metrics, checks, gate
+    return metrics, verdicts(metrics, CANDIDATES)
