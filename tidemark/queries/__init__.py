@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market", "ledger", "scores", "backtests")
+MODULES = ("market", "ledger", "scores", "backtests", "household", "macro", "news", "live")
 
 
 def load_registry():

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.queries.oracle_ctes import CTES
 from tidemark.sources.adapters import Domain
 
+TIE = 0.5078125
 SPARK_TYPES = {"s": "string", "d": "date", "i": "bigint", "b": "boolean"}
 SQL_TYPES = {"s": "VARCHAR", "d": "DATE", "i": "BIGINT", "b": "BOOLEAN"}
 
@@ -36,9 +37,10 @@ class Query:
         df = self.build(domain)
         for col, code in self.columns:
             if code.isdigit():
-                # the same arithmetic on both engines: their round() differ on half-way values
+                # The same arithmetic on both engines: their round() differ on half-way values. Money
+                # averages often end on exact halves, so the tie sits a little below the half.
                 scale = float(10 ** int(code))
-                out.append((F.floor(F.col(col).cast("double") * scale + 0.5).cast("double") / scale).alias(col))
+                out.append((F.floor(F.col(col).cast("double") * scale + TIE).cast("double") / scale).alias(col))
             else:
                 out.append(F.col(col).cast(SPARK_TYPES[code]).alias(col))
         return df.select(*out)
@@ -50,7 +52,7 @@ class Query:
         for col, code in self.columns:
             if code.isdigit():
                 scale = f"CAST({10 ** int(code)} AS DOUBLE)"
-                value = f'CAST(floor(CAST("{col}" AS DOUBLE) * {scale} + CAST(0.5 AS DOUBLE)) AS BIGINT)'
+                value = f'CAST(floor(CAST("{col}" AS DOUBLE) * {scale} + CAST({TIE} AS DOUBLE)) AS BIGINT)'
                 out.append(f'CAST({value} AS DOUBLE) / {scale} AS "{col}"')
             else:
                 out.append(f'CAST("{col}" AS {SQL_TYPES[code]}) AS "{col}"')
