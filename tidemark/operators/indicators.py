@@ -16,7 +16,8 @@ from tidemark.operators.panel import resample_last, week_friday
 
 
 def _rows(n: int, keys: tuple[str, ...]):
-    return Window.partitionBy(*keys).orderBy("rn").rowsBetween(-(n - 1), 0)
+    # ordered by day like every other window of the table, so that one sort serves them all
+    return Window.partitionBy(*keys).orderBy("dt").rowsBetween(-(n - 1), 0)
 
 
 def full(col: Column, n: int, keys: tuple[str, ...] = ("symbol",), how=F.avg) -> Column:
@@ -25,8 +26,13 @@ def full(col: Column, n: int, keys: tuple[str, ...] = ("symbol",), how=F.avg) ->
     return F.when(F.count(col).over(w) == n, how(col).over(w))
 
 
-def sma(n: int, value: str = "close", keys: tuple[str, ...] = ("symbol",)) -> Column:
-    return full(F.col(value), n, keys)
+def full_close(n: int, keys: tuple[str, ...] = ("symbol",), how=F.avg) -> Column:
+    """As ``full`` for the close of numbered rows, which is never missing: the row number decides."""
+    return F.when(F.col("rn") >= n - 1, how("close").over(_rows(n, keys)))
+
+
+def sma(n: int, keys: tuple[str, ...] = ("symbol",)) -> Column:
+    return full_close(n, keys)
 
 
 def number_rows(prices: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
@@ -72,8 +78,7 @@ def with_macd(numbered: DataFrame, fast: int = 12, slow: int = 26, signal: int =
 def with_bands(numbered: DataFrame, n: int = 20, width: float = 2.0,
                keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Bollinger bands with the population deviation, plus the relative band width."""
-    dev = full(F.col("close"), n, keys, F.stddev_pop)
-    df = numbered.withColumns({"bb_middle": sma(n, keys=keys), "_dev": dev})
+    df = numbered.withColumns({"bb_middle": sma(n, keys), "_dev": full_close(n, keys, F.stddev_pop)})
     df = df.withColumns({"bb_upper": F.col("bb_middle") + F.col("_dev") * width,
                          "bb_lower": F.col("bb_middle") - F.col("_dev") * width}).drop("_dev")
     return df.withColumn("bandwidth", ratio(F.col("bb_upper") - F.col("bb_lower"), F.col("bb_middle")))
@@ -81,18 +86,18 @@ def with_bands(numbered: DataFrame, n: int = 20, width: float = 2.0,
 
 def features(bars: DataFrame) -> DataFrame:
     """The wide feature row per symbol and day used by signals, scores, screens and backtests."""
-    df = number_rows(bars)
-    df = with_macd(with_rsi(df))
-    df = with_bands(df).withColumns({
+    # rolling windows first, while rows lie in day order; the averages then sort once by block
+    df = with_bands(number_rows(bars)).withColumns({
         "ma50": sma(50), "ma200": sma(200),
         "mom_1m": F.sum("ret").over(_rows(21, ("symbol",))) * 100,
         "mom_3m": F.sum("ret").over(_rows(63, ("symbol",))) * 100,
         "support": F.min("close").over(_rows(60, ("symbol",))),
         "resistance": F.max("close").over(_rows(60, ("symbol",))),
-        "peak": F.max("close").over(Window.partitionBy("symbol").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)),
+        "peak": F.max("close").over(Window.partitionBy("symbol").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)),
     })
     if "volume" in bars.columns:
         df = df.withColumn("volume_ma20", full(F.col("volume"), 20))
+    df = with_macd(with_rsi(df))
     return df.withColumn("signal", sig.dca_signal(F.col("close"), F.col("ma50"), F.col("ma200"), F.col("rsi")))
 
 
@@ -137,7 +142,7 @@ def ma_cross_dates(feats: DataFrame, fast: str = "ma50", slow: str = "ma200") ->
 
 def cross_flags(feats: DataFrame, n: int, mode: str) -> DataFrame:
     """Last row per symbol with ``golden``/``death``: a 50/200 cross within the last ``n`` rows."""
-    w = Window.partitionBy("symbol").orderBy("rn")
+    w = Window.partitionBy("symbol").orderBy("dt")
     f, s = F.col("ma50"), F.col("ma200")
     df = feats.withColumns({"_up": cross_up(f, s, w, mode), "_down": cross_down(f, s, w, mode)})
     df = df.withColumns({"golden": within(F.col("_up"), n), "death": within(F.col("_down"), n)})

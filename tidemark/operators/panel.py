@@ -135,9 +135,9 @@ def weekly_bars(bars: DataFrame) -> DataFrame:
 
 
 def daily_returns(prices: DataFrame) -> DataFrame:
-    """One-day return per symbol over its own rows; a day without a row yields no return."""
+    """One-day return per symbol over its own rows; a day without a price yields no return."""
     prev = F.lag("close").over(by_day())
-    return (prices.select("symbol", "dt", (ratio(F.col("close"), prev) - 1).alias("ret"))
+    return (prices.filter(F.col("close").isNotNull()).select("symbol", "dt", (ratio(F.col("close"), prev) - 1).alias("ret"))
             .filter(F.col("ret").isNotNull()))
 
 

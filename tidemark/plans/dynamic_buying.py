@@ -59,8 +59,8 @@ def buy_rows(rows: DataFrame, mix: DataFrame, keys: tuple[str, ...]) -> DataFram
 def decision_features(panel: DataFrame) -> DataFrame:
     """Everything a weight policy may look at, per symbol and day."""
     df = with_scores(ind.features(panel))
-    rows = lambda n: Window.partitionBy("symbol").orderBy("rn").rowsBetween(-(n - 1), 0)
-    w = Window.partitionBy("symbol").orderBy("rn")
+    rows = lambda n: Window.partitionBy("symbol").orderBy("dt").rowsBetween(-(n - 1), 0)
+    w = Window.partitionBy("symbol").orderBy("dt")
     return df.withColumns({
         "n_hist": F.col("rn") + 1,
         "vol63": F.stddev_samp("ret").over(rows(63)),
