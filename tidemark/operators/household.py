@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import bisect_root, clamp, dbl
+from tidemark.operators.ranking import log_bucket, numbered
 
 # Risk points, multipliers, return assumptions and thresholds.
 JOB_POINTS = {"very_stable": 0, "stable": 20, "unstable": 60, "freelance": 80}
@@ -153,9 +154,8 @@ def months_until(target_date: Column, as_of) -> Column:
 
 
 def goals_summary(progress: DataFrame) -> DataFrame:
-    """Names on and off track as rows, with the count of each side (lists could grow without bound)."""
-    side = Window.partitionBy("on_track")
-    return progress.select("goal_id", "on_track", F.count("*").over(side).alias("n_goals"))
+    """Names on and off track as rows with the count of their side (lists could grow without bound)."""
+    return progress.select("goal_id", "on_track").join(F.broadcast(goals_counts(progress)), "on_track")  # two rows at most
 
 
 def goals_counts(progress: DataFrame) -> DataFrame:
@@ -188,22 +188,16 @@ def success_probability(goals: DataFrame, n_paths: int = N_PATHS, seed: int = PA
         "current_amount", "monthly_contribution", "months_remaining", "rate", "volatility", "target_amount"))
 
 
-def debt_order(debts: DataFrame, monthly_budget: float) -> DataFrame:
+def debt_order(debts: DataFrame, monthly_budget: float, id_range: int = 1_000_000) -> DataFrame:
     """Is the budget enough for all minimums, and each debt's place in the two payoff orders.
 
-    Places come from counts per distinct rate (or balance), not from sorting a household's raw
-    rows: equal keys keep input order by id inside their own group.
+    Highest rate first and smallest balance first, equal keys by id. Places are numbered over
+    coarse buckets, so one household's debts are never sorted in a single task.
     """
-    def place(order_key: Column, name: str, df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("_k", order_key)
-        counts = keyed.groupBy("household_id", "_k").agg(F.count("*").alias("_n"))
-        before = Window.partitionBy("household_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-        starts = counts.select("household_id", "_k", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-        inside = Window.partitionBy("household_id", "_k").orderBy("debt_id")
-        return keyed.join(starts, ["household_id", "_k"]).withColumn(name, F.col("_start") + F.row_number().over(inside)).drop("_k", "_start")
-
+    key, debt = ["household_id"], F.col("debt_id")
     total = debts.groupBy("household_id").agg(F.sum("min_payment").alias("total_min"))
-    ranked = place(F.col("balance"), "snowball", place(-F.col("interest_rate"), "avalanche", debts))
+    ranked = numbered(debts, key, [-F.col("interest_rate"), F.floor(debt / id_range)], [debt], "avalanche")
+    ranked = numbered(ranked, key, [log_bucket(F.col("balance"))], [F.col("balance"), debt], "snowball")
     return ranked.join(total, "household_id").withColumn("feasible", F.lit(float(monthly_budget)) >= F.col("total_min"))
 
 

@@ -97,9 +97,7 @@ def _(t):
 @query("A24_goal_summary", "goal_id:i on_track:b n_goals:i", """
 SELECT goal_id, monthly_contribution >= required_pmt*0.85 AS on_track, count(*) OVER (PARTITION BY monthly_contribution >= required_pmt*0.85) AS n_goals FROM gprog""")
 def _(t):
-    progress = hh.goal_progress(t.goals())
-    counts = F.broadcast(hh.goals_counts(progress))  # two rows at most
-    return progress.select("goal_id", "on_track").join(counts, "on_track")
+    return hh.goals_summary(hh.goal_progress(t.goals()))
 
 
 @query("B21_goal_success_probability", "goal_id:i months_remaining:i probability:4")

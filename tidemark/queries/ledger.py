@@ -41,7 +41,6 @@ def holding_values(t):
 def raw_ledger(t):
     """Ledger as untyped text with gaps: odd kinds, padded tickers, missing rates and bad numbers."""
     tx = t.transactions()
-    n = F.hash("tx_id")
     seq = F.substring_index("tx_id", "-", -1)
     text = lambda c: F.col(c).cast("string")
     return tx.select(
@@ -204,7 +203,7 @@ FROM (SELECT *, {npv('(lo + hi)/2')} AS m FROM roots WHERE i < 60)"""
 SELECT n.portfolio_id, n.n_flows, (r.lo + r.hi)/2 AS xirr FROM (SELECT portfolio_id, count(*) AS n_flows FROM flows WHERE amount <> 0 GROUP BY 1) n
 LEFT JOIN (SELECT * FROM roots WHERE i = 60) r ON r.portfolio_id = n.portfolio_id""")
 def _(t):
-    # buys are summed per day on the Spark side, so flows are counted from the raw rows here
+    # raw rows, not the per-day sums of cash_flows, because this query also counts the flows
     tx = t.transactions()
     raw = (tx.filter("tx_type <> 'dividend'").select("portfolio_id", "date", (-F.col("shares") * F.col("price_usd")).alias("amount"))
            .unionByName(lg.dividends(tx).select("portfolio_id", "date", F.col("amount_usd").alias("amount")))

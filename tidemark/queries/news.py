@@ -77,7 +77,6 @@ SELECT v.symbol, v.doc_id, a.position FROM (SELECT d.source AS symbol, d.doc_id,
 LEFT JOIN a ON a.symbol = v.symbol AND a.k = v.k""")
 def _(t):
     docs = t.table("documents").select(F.col("source").alias("symbol"), "doc_id", F.col("text").alias("title"))
-    verdicts = docs.join(t.table("labels").select("doc_id"), "doc_id").withColumn("title", F.concat(F.lit(" "), F.upper(F.lower("title")), F.lit("  ")))
     verdicts = docs.join(t.table("labels").select("doc_id"), "doc_id")
     articles = docs.filter(F.col("doc_id") % 3 > 0).select("symbol", "title", F.lit("-").alias("url"), F.col("doc_id").alias("position"))
     return nw.attach_articles(verdicts, articles, "position")

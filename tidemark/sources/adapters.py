@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,17 +30,37 @@ def _day(name: str) -> Column:
 
 
 class Domain:
-    """Lazy domain tables over one folder of Parquet tables."""
+    """Lazy domain tables over one folder of Parquet tables.
 
-    def __init__(self, spark: SparkSession, folder: str, by_brand: bool = False):
+    The daily bars are a roll-up (one row per symbol and day, whatever the number of trades) that
+    nearly every job reads, most of them several times. They are laid out by symbol and day and
+    persisted (memory, then disk), so the raw tables are read once per session and later windows
+    need neither a shuffle nor a sort. Lost blocks are recomputed. ``share=False`` turns it off.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, by_brand: bool = False, share: bool = True):
         self.spark = spark
         self.folder = folder
+        self.share = share
         self.symbol = (F.concat_ws("/", "p_brand", "p_type") if by_brand else F.col("p_type"))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def bars(self) -> DataFrame:
+        bars = self.daily_rollup()
+        if not self.share:
+            return bars
+        laid_out = bars.repartition("symbol").sortWithinPartitions("symbol", "dt")
+        if laid_out.storageLevel == StorageLevel.NONE:
+            laid_out.persist(StorageLevel.MEMORY_AND_DISK)
+        return laid_out
+
+    def release(self) -> None:
+        """Drop the persisted bars."""
+        self.bars().unpersist()
+
+    def daily_rollup(self) -> DataFrame:
         unit = F.col("l_extendedprice") / F.col("l_quantity")
         lines = self.table("lineitem").select(
             "l_partkey", _day("l_shipdate").alias("dt"), unit.alias("px"), "l_quantity",
