@@ -194,7 +194,6 @@ def cash_flows(tx: DataFrame, held: DataFrame, as_of) -> DataFrame:
     return buys.unionByName(divs).unionByName(value).filter(F.col("amount").isNotNull())
 
 
-@F.pandas_udf("double")
 def solve_rate(times: pd.Series, amounts: pd.Series) -> pd.Series:
     """Rate with zero present value per row, for a whole Arrow batch of portfolios at a time.
 
@@ -240,7 +239,8 @@ def xirr(flows: DataFrame) -> DataFrame:
     solvable = (F.col("n_flows") >= 2) & (F.col("n_neg") > 0) & (F.col("n_pos") > 0)
     times = F.transform("days", lambda d: F.date_diff(d["date"], F.col("t0")) / DAYS_PER_YEAR)
     rows = per.select("portfolio_id", "n_flows", "t0", solvable.alias("solvable"), times.alias("t"), F.col("days.amount").alias("a"))
-    return rows.withColumn("rate", solve_rate("t", "a")).select(
+    solve = F.pandas_udf(solve_rate, "double")
+    return rows.withColumn("rate", solve("t", "a")).select(
         "portfolio_id", "n_flows", "t0", F.when(F.col("solvable"), F.nanvl("rate", F.lit(None).cast("double"))).alias("xirr"))
 
 
