@@ -72,28 +72,31 @@ def _(t):
 
 
 @query("J8_verdict_to_article", "symbol:s doc_id:i position:i", """
-WITH a AS (SELECT source AS symbol, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k, max(doc_id) AS position FROM documents WHERE doc_id % 3 > 0 GROUP BY 1, 2 HAVING length(k) > 0)
+WITH a AS (SELECT source AS symbol, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k, max(doc_id) AS position FROM documents GROUP BY 1, 2 HAVING length(k) > 0)
 SELECT v.symbol, v.doc_id, a.position FROM (SELECT d.source AS symbol, d.doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k FROM documents d JOIN labels l ON l.doc_id = d.doc_id) v
 LEFT JOIN a ON a.symbol = v.symbol AND a.k = v.k""")
 def _(t):
     docs = t.table("documents").select(F.col("source").alias("symbol"), "doc_id", F.col("text").alias("title"))
     verdicts = docs.join(t.table("labels").select("doc_id"), "doc_id")
-    articles = docs.filter(F.col("doc_id") % 3 > 0).select("symbol", "title", F.lit("-").alias("url"), F.col("doc_id").alias("position"))
+    articles = docs.select("symbol", "title", F.lit("-").alias("url"), F.col("doc_id").alias("position"))
     return nw.attach_articles(verdicts, articles, "position")
 
 
 def replies(t):
-    """A fenced JSON reply per document with one proper row, one row with gaps and one stray item."""
-    row = F.struct(F.col("title"), F.col("sentiment"), F.col("confidence"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("reason"))
-    gap = F.struct(F.col("title"), F.lit("high").alias("confidence"))
+    """A fenced JSON reply per labelled document: one proper row with the whole text, one row with
+    gaps and one stray item. Toxic documents got an answer that is no JSON list."""
+    docs = t.table("documents").select("doc_id", F.col("source").alias("symbol"), F.col("text").alias("title")).join(t.table("labels"), "doc_id")
+    row = F.struct("title", F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("sentiment"), F.lit(0.75).alias("confidence"),
+                   F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("reason"))
+    gap = F.struct("title", F.lit("high").alias("confidence"))
     text = F.concat(F.lit("```json\n["), F.to_json(row), F.lit(", 17, "), F.to_json(gap), F.lit("]\n```"))
-    broken = F.col("doc_id") % 5 == 0
-    return t.sentiment_results().select("symbol", "doc_id", F.when(broken, F.concat(F.lit("sorry: "), text)).otherwise(text).alias("reply"))
+    return docs.select("symbol", "doc_id", F.when(F.col("toxic") == 1, F.concat(F.lit("sorry: "), text)).otherwise(text).alias("reply"))
 
 
 @query("JS1_parse_replies", "symbol:s doc_id:i title:s sentiment:s confidence:6 reason:s", """
-SELECT symbol, doc_id, title, sentiment, confidence, 'doc ' || doc_id AS reason FROM sentiment_results WHERE doc_id % 5 <> 0
-UNION ALL SELECT symbol, doc_id, title, 'neutral', 0, '' FROM sentiment_results WHERE doc_id % 5 <> 0""")
+WITH d AS (SELECT source AS symbol, d.doc_id, text AS title, quality FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE toxic <> 1)
+SELECT symbol, doc_id, title, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END AS sentiment, 0.75 AS confidence, 'doc ' || doc_id AS reason FROM d
+UNION ALL SELECT symbol, doc_id, title, 'neutral', 0, '' FROM d""")
 def _(t):
     return nw.parse_replies(replies(t))
 
