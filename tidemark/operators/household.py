@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import bisect_root, clamp, dbl
 from tidemark.operators.ranking import log_bucket, numbered
+from tidemark.session import spread
 
 # Risk points, multipliers, return assumptions and thresholds.
 JOB_POINTS = {"very_stable": 0, "stable": 20, "unstable": 60, "freelance": 80}
@@ -128,7 +129,8 @@ def goal_progress(goals: DataFrame, assumptions: DataFrame | None = None) -> Dat
     preset = F.lit(DEFAULT_RETURN)
     for name, value in EXPECTED_RETURNS.items():
         preset = F.when(F.col("risk_profile") == name, value).otherwise(preset)
-    rows = goals.withColumn("preset_return", preset)
+    # the rate search folds sixty steps per row
+    rows = spread(goals, "goal_id").withColumn("preset_return", preset)
     rows = rows.join(assumptions, "risk_profile", "left") if assumptions is not None else rows.withColumn("mu", F.lit(None).cast("double"))
     rows = rows.withColumn("rate", F.coalesce("mu", "preset_return"))
     m, n = F.col("rate") / 12, F.col("months_remaining").cast("double")
@@ -184,7 +186,8 @@ def success_probability(goals: DataFrame, n_paths: int = N_PATHS, seed: int = PA
             out[at] = (value >= goal.to_numpy(float)[at][:, None]).mean(axis=1)
         return pd.Series(out)
 
-    return goals.withColumn("probability", share(
+    # some hundred thousand steps per row: worth a shuffle of the (narrow) goal rows
+    return spread(goals, "goal_id").withColumn("probability", share(
         "current_amount", "monthly_contribution", "months_remaining", "rate", "volatility", "target_amount"))
 
 

@@ -46,3 +46,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over all shuffle partitions before work that costs far more than moving them.
+
+    A small table may sit in one file and so in one task; the fixed count keeps adaptive
+    execution from folding the small partitions back together.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
