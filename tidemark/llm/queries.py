@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, quality, simhash
+from tidemark.llm import language, quality, simhash, winnowing
 from tidemark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_language_id")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op5_benchmark_decontamination", winnowing.ORACLE)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("oid", "key")
