@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, quality, simhash, superkmers, transducer, winnowing
+from tidemark.llm import language, quality, simhash, superkmers, transducer, winnowing, wordtable
 from tidemark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+@query("op9_bpe_word_table")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordtable.digest(wordtable.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
