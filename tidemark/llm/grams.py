@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 SLICE = 400_000  # code points handled at once; longer texts come in several pieces
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -90,3 +91,14 @@ def _slice(parts: list[str], rows: list[int]) -> Slice:
     codes = np.frombuffer(("\n" + "\n".join(parts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.cumsum([0] + [len(p) + 1 for p in parts[:-1]])
     return Slice(codes, starts, np.array(rows))
+
+
+def packed(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    """Features and counts of each text as two columns of bytes, which stay small on the driver."""
+    return [pa.array([r[i].astype(np.int32).tobytes() for r in rows], pa.binary()) for i in (0, 1)]
+
+
+def unpacked(table: pa.Table) -> list[dict]:
+    """The rows of a table with columns doc_id, f and c (see ``packed``), in an order that only its content sets."""
+    rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"], r["f"], r["c"]))
+    return [{**r, "f": np.frombuffer(r["f"], np.int32), "c": np.frombuffer(r["c"], np.int32)} for r in rows]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.grams import Slice, bucket, slices
+from tidemark.llm.grams import Slice, bucket, packed, slices, unpacked
 from tidemark.llm.tables import held_out, map_texts
 
 BITS = 17
@@ -119,17 +119,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = counted([t or "" for t in batch.column(2).to_pylist()])
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([f.astype(np.int32) for f, _ in rows], pa.list_(pa.int32())),
-             pa.array([c.astype(np.int32) for _, c in rows], pa.list_(pa.int32()))], ["doc_id", "label", "f", "c"])
+            [batch.column(0), batch.column(1), *packed(rows)], ["doc_id", "label", "f", "c"])
 
     # the sample has a fixed bound, so it may be broadcast whatever the input's size
     sample = docs.select(F.col("doc_id").cast("bigint"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = map_texts(sample, run, "doc_id bigint, label int, f array<int>, c array<int>").collect()
-    rows.sort(key=lambda r: (r.doc_id, len(r.f), r.f))
-    if len({r.label for r in rows}) < 2:
+    rows = unpacked(map_texts(sample, run, "doc_id bigint, label int, f binary, c binary").toArrow())
+    if len({r["label"] for r in rows}) < 2:
         return Model(np.zeros(1 << BITS), float(np.log(n1 / n0)))
-    y = np.array([r.label for r in rows])
-    weights = sgd([(np.array(r.f), np.array(r.c)) for r in rows], y)
+    y = np.array([r["label"] for r in rows])
+    weights = sgd([(r["f"], r["c"]) for r in rows], y)
     return Model(weights.astype(np.float64), float(np.log(n1 / n0) - np.log((y == 1).sum() / (y == 0).sum())))
 
 
