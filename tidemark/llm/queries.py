@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, quality, simhash, superkmers, transducer, winnowing, wordtable
+from tidemark.llm import language, quality, simhash, spotsigs, superkmers, transducer, winnowing, wordtable
 from tidemark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_bpe_word_table")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordtable.digest(wordtable.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op2_spot_signatures")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.digest(table(spark, sf_dir, "documents"))
