@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.grams import Slice, slices
+from tidemark.llm.grams import Slice, packed, slices, unpacked
 from tidemark.llm.tables import held_out, map_texts
 
 BITS = 16
@@ -136,30 +136,34 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_language
     the ``max_languages`` most frequent languages, chosen by a hash of the id.
     """
     known = docs.where(F.col("lang").isNotNull() & ~held_out()).select(F.col("doc_id").cast("bigint"), "lang", "text")
-    langs = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
+    sizes = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros((1 << BITS, 1)), np.zeros(1), 1.0)
     found, n = document_frequency(known)
     idf = np.where(found > 0, np.log((n + 1) / (found + 1)) + 1, 0.0)
 
+    # a share of each language's hash range that holds twice the rows wanted, then the least hashes of these:
+    # so no language, however frequent, brings all its rows to one task
+    share = F.element_at(F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(1.0, 2 * per_language / sizes[lang]))]), F.col("lang"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = (known.where(F.col("lang").isin(langs)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+              .where(F.pmod(F.col("h"), F.lit(1 << 20)) < share * (1 << 20))
               .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-              .select("doc_id", "lang", (F.pmod("h", F.lit(5)) == 0).alias("aside")).dropDuplicates(["doc_id", "lang"]))
+              .select("doc_id", "lang", (F.pmod(F.xxhash64("h"), F.lit(5)) == 0).alias("aside")).dropDuplicates(["doc_id", "lang"]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = counted([t or "" for t in batch.column(3).to_pylist()])
         return pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array([f.astype(np.int32) for f, _ in rows], pa.list_(pa.int32())),
-             pa.array([c.astype(np.int32) for _, c in rows], pa.list_(pa.int32()))], ["doc_id", "lang", "aside", "f", "c"])
+            [*batch.columns[:3], *packed(rows)], ["doc_id", "lang", "aside", "f", "c"])
 
     # the sample has a fixed bound, so it may be broadcast whatever the input's size
     sample = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "aside", "text")
-    rows = map_texts(sample, run, "doc_id bigint, lang string, aside boolean, f array<int>, c array<int>").collect()
-    rows = sorted((r for r in rows if r.f), key=lambda r: (r.doc_id, r.lang, len(r.f), r.f))
-    y = np.array([langs.index(r.lang) for r in rows], int)
-    x = [(f := np.array(r.f), np.array(r.c) / sum(r.c) * idf[f] * SCALE) for r in rows]
-    aside = np.array([r.aside for r in rows], bool)
+    rows = unpacked(map_texts(sample, run, "doc_id bigint, lang string, aside boolean, f binary, c binary").toArrow())
+    rows = [r for r in rows if len(r["f"])]
+    y = np.array([langs.index(r["lang"]) for r in rows], int)
+    x = [(r["f"], r["c"] / r["c"].sum() * idf[r["f"]] * SCALE) for r in rows]
+    aside = np.array([r["aside"] for r in rows], bool)
     if aside.all():
         aside[:] = False
     w, bias = ftrl([v for v, a in zip(x, aside) if not a], y[~aside], len(langs))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, quality, simhash, spotsigs, superkmers, transducer, winnowing, wordtable
+from tidemark.llm import language, packing, quality, secret_scan, simhash, spotsigs, superkmers, transducer, winnowing, wordtable
 from tidemark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_spot_signatures")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op7_secret_scan")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), threshold=0.5)
+    spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return rows.select("doc_id", "n_candidates", F.size("secrets").cast("bigint").alias("n_secrets"), spans.alias("spans"), "score",
+                       F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"))
+
+
+@query("op10_packed_rows")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=2048)

@@ -21,10 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import order_id, raw_texts, text_key
+from tidemark.llm.tables import bounded, order_id, raw_texts, text_key
 
 WINDOW, TRIPLE = 20, 3
-BUCKET_BYTES = 32 << 20  # stored input bytes for each bucket
+BUCKET_BYTES = 64 << 20  # stored input bytes for each bucket
+SLICE_BYTES = 6 << 20    # text handled at once before sending
+PARTS = 16               # a bucket is settled in so many parts, by the minimiser's first bits, to bound memory
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -147,7 +149,7 @@ def pack_batch(oids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets:
     ends = np.cumsum(np.fromiter((len(w) + 1 for w in words), np.int64, n))
     left, right = (ends[sent[a]] - np.fromiter((len(words[i]) + 1 for i in sent[a].tolist()), np.int64, len(a))), ends[sent[b] + window - 1] - 1
     rows_of = owner[sent[a]]
-    meta = np.stack((oids[rows][rows_of], keys[rows][rows_of], sent[a] - base[rows_of]), axis=1)
+    meta = np.stack((oids[rows][rows_of], keys[rows][rows_of], sent[a] - base[rows_of], (least[a] >> np.uint64(60)).astype(np.int64)), axis=1)
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     squeeze = zstandard.ZstdCompressor(level=3)
     for k in np.nonzero(np.diff(edges))[0]:
@@ -156,18 +158,27 @@ def pack_batch(oids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets:
         yield int(k), None, None, squeeze.compress(meta[part].astype("<i8").tobytes()), squeeze.compress(strings)
 
 
-def settle_bucket(parts: list[tuple[bytes, bytes]], window: int) -> list[tuple[int, int, bytes]]:
-    """Marks of all windows of a bucket that start earlier elsewhere."""
-    known: dict[bytes, int] = {}
+def deal(meta: bytes, strings: bytes, parts: list[list[tuple[np.ndarray, bytes]]]) -> None:
+    """Open packed super-k-mers and append them to the parts of their minimisers (they come in that order)."""
     open_up = zstandard.ZstdDecompressor()
+    rows = np.frombuffer(open_up.decompress(meta), "<i8").reshape(-1, 4)
+    text = open_up.decompress(strings) + b"\n"
+    ends = np.concatenate(([0], np.nonzero(np.frombuffer(text, np.uint8) == 10)[0] + 1))
+    edges = np.searchsorted(rows[:, 3], np.arange(PARTS + 1))
+    for k in np.nonzero(np.diff(edges))[0]:
+        parts[k].append((rows[edges[k]:edges[k + 1], :3], text[ends[edges[k]]:ends[edges[k + 1]]]))
+
+
+def settle_part(part: list[tuple[np.ndarray, bytes]], window: int) -> list[tuple[int, int, bytes]]:
+    """Marks of all windows of a part that start earlier elsewhere."""
+    known: dict[bytes, int] = {}
     metas, ids, sizes = [], [], []
-    for meta, strings in parts:
-        metas.append(np.frombuffer(open_up.decompress(meta), "<i8").reshape(-1, 3))
-        text = open_up.decompress(strings)
+    for meta, text in part:
+        metas.append(meta)
         ids.append(word_ids(text.split(), known))
         raw = np.frombuffer(text, np.uint8)
-        lines = np.concatenate(([0], np.cumsum((raw == 32) | (raw == 10))[raw == 10], [len(ids[-1])]))
-        sizes.append(np.diff(lines))
+        lines = np.cumsum((raw == 32) | (raw == 10))[raw == 10]
+        sizes.append(np.diff(lines, prepend=0))
     meta, words, size = np.concatenate(metas), np.concatenate(ids), np.concatenate(sizes)
     count = size - window + 1
     which = np.repeat(np.arange(len(size)), count)
@@ -195,21 +206,27 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, buckets: int | None =
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                rows = list(pack_batch(batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw_texts(batch.column(2)), buckets, window))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, packed_types)], packed_names)
+            texts = raw_texts(batch.column(2))
+            for a, b in bounded(texts, SLICE_BYTES):
+                rows = pack_batch(batch.column(0).to_numpy()[a:b], batch.column(1).to_numpy()[a:b], texts[a:b], buckets, window)
+                columns = list(zip(*rows)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, packed_types)], packed_names)
 
     packed_names = ["bucket", "oid", "key", "data", "strings"]
     packed_types = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts: list[list[tuple[np.ndarray, bytes]]] = [[] for _ in range(PARTS)]
         for batch in batches:
             oid, key, data, strings = (batch.column(i).to_pylist() for i in range(1, 5))
-            parts += [(d, s) for d, s in zip(data, strings) if s is not None]
+            for d, s in zip(data, strings):
+                if s is not None:
+                    deal(d, s, parts)
             yield as_marks([(o, k, d) for o, k, d, s in zip(oid, key, data, strings) if s is None])
-        if parts:
-            yield as_marks(settle_bucket(parts, window))
+        for k in range(PARTS):
+            if parts[k]:
+                yield as_marks(settle_part(parts[k], window))
+            parts[k] = []
 
     def as_marks(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         cols = list(zip(*rows)) if rows else [[], [], []]

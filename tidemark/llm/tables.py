@@ -68,3 +68,15 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
                 yield fn(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def bounded(texts: list[str] | list[bytes], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with at most ``limit`` characters (or bytes) each; a longer text stands alone."""
+    a = size = 0
+    for b, text in enumerate(texts):
+        if size and size + len(text) > limit:
+            yield a, b
+            a, size = b, 0
+        size += len(text)
+    if a < len(texts):
+        yield a, len(texts)

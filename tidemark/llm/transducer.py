@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.pretokens import split_pieces
-from tidemark.llm.tables import map_texts
+from tidemark.llm.tables import bounded, map_texts
 
 CACHED_PIECES, CACHED_STEPS = 600_000, 400_000  # memory bounds of a worker; when full, a cache starts anew
 
@@ -188,18 +188,6 @@ def token_counts(texts: list[str], path: str) -> np.ndarray:
     return total
 
 
-def bounded(parts: list[str], limit: int = 1_000_000):
-    """Ranges of parts with about ``limit`` characters each; a longer text stands alone."""
-    a = size = 0
-    for b, part in enumerate(parts):
-        if size and size + len(part) > limit:
-            yield a, b
-            a, size = b, 0
-        size += len(part)
-    if a < len(parts):
-        yield a, len(parts)
-
-
 def counted(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit. A null text is empty: no bytes, no tokens."""
 

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.pretokens import split_pieces
-from tidemark.llm.transducer import Vocabulary, bounded
+from tidemark.llm.tables import bounded
+from tidemark.llm.transducer import Vocabulary
 
 BLOCK = 8_000_000  # characters of a block
 
