@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -204,18 +205,31 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def scan(docs: DataFrame, vocabulary: str, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with added columns n_candidates, secrets (spans in code points), score (highest
-    probability, 0 without candidates) and redacted (the text with secrets masked; null for a null text)."""
+    """One row per row of ``docs``: doc_id, n_candidates, secrets (spans in code points), score (highest probability,
+    0 without candidates) and redacted (the text with secrets masked; null for a null text)."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, vocabulary, findings))
-    result = "n_candidates bigint, secrets array<struct<start:int,end:int>>, score double, redacted string"
+    spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
-    @F.pandas_udf(result)
-    def scanned(text, path):
-        import pandas as pd
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, rows = dictionary(vocabulary), []
-        for t, p in zip(text, path):
+        for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             spans, n, score = scan_text(t or "", p, sent.value, words, threshold)
             rows.append((n, [{"start": a, "end": b} for a, b in spans], score, None if t is None else redact(t, spans)))
-        return pd.DataFrame(rows, columns=["n_candidates", "secrets", "score", "redacted"])
+        n, spans, score, text = zip(*rows)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, spans_type), pa.array(score, pa.float64()),
+                                           pa.array(text, pa.string())], ["doc_id", "n_candidates", "secrets", "score", "redacted"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", _path(docs).alias("path"))
+    return map_texts(rows, run, "doc_id bigint, n_candidates bigint, secrets array<struct<start:int,end:int>>, score double, redacted string")
+
+
+def masked(docs: DataFrame, vocabulary: str, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """``docs`` with the secrets in its texts masked, in the columns of ``docs``; null texts stay null."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, vocabulary, findings))
+
+    @F.pandas_udf("string")
+    def mask(text: pd.Series, path: pd.Series) -> pd.Series:
+        words = dictionary(vocabulary)
+        return pd.Series([t if t is None else redact(t, scan_text(t, p, sent.value, words, threshold)[0]) for t, p in zip(text, path)], dtype=object)
 
-    return docs.withColumn("_scan", scanned("text", _path(docs))).select(*[docs[c] for c in docs.columns], "_scan.*")
+    return docs.withColumn("text", mask("text", _path(docs)))

@@ -44,9 +44,9 @@ def order_id(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(LOWEST_ID)).cast("bigint")
 
 
-def text_key(text: str = "text") -> Column:
+def text_key(text: str | Column = "text") -> Column:
     """64-bit key that tells apart rows which repeat an id; equal for equal texts."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
