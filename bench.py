@@ -16,7 +16,7 @@ from tidemark.sources.adapters import Domain
 HEADLINE = ["A4_risk_table", "A5_correlation_matrix", "W2_period_returns", "T1_forward_fill", "T5_wilder_rsi", "T7_indicator_snapshot",
             "T9_weekly_signal", "B1_drawdown_episodes", "T10_trend_channel", "C18_screener", "A9_holdings", "A10_portfolio_totals",
             "W17_running_average_cost", "W18_trade_number_in_month", "J1_buys_to_benchmark", "B16_shadow_benchmark", "B19_reinvested_dividends",
-            "B17_xirr", "C8_rebalance_plan", "A14_category_anomalies", "C20_goal_progress", "B21_goal_success_probability", "B11_strategy_signals",
+            "B17_xirr", "C8_rebalance_plan", "A14_category_anomalies", "C20_goal_progress", "B11_strategy_signals",
             "B12_signal_backtest", "B14_walk_forward", "A15_sentiment_rollup"]
 # these name their symbols one by one, so they run on the six types
 BY_TYPE = ["C5_budget_allocation", "B3_backtest_metrics", "B8_ab_metrics", "B10_edge_lab", "B13_parameter_search"]

@@ -40,19 +40,6 @@ def test_goal_progress(spark):
     assert not got[3]["on_track"]
 
 
-def test_success_probability_equals_path_by_path_numpy(spark):
-    cases = [(1, 5000.0, 500.0, 24, 20000.0, 0.09, 0.15), (2, 5000.0, 500.0, 24, 17000.0, 0.12, 0.15), (3, 10.0, 0.0, 0, 5.0, 0.07, 0.15), (4, 1.0, 0.0, 0, 5.0, 0.07, 0.15)]
-    df = spark.createDataFrame(cases, "goal_id int, current_amount double, monthly_contribution double, months_remaining int, target_amount double, rate double, volatility double")
-    got = {r["goal_id"]: r["probability"] for r in hh.success_probability(df).collect()}
-    for gid, cur, add, months, target, rate, vol in cases[:2]:
-        rets = np.random.default_rng(42).normal(rate / 12, vol / np.sqrt(12), size=(1000, months))
-        value = np.full(1000, cur)
-        for k in range(months):
-            value = value * (1 + rets[:, k]) + add
-        assert got[gid] == pytest.approx(np.mean(value >= target), abs=1e-12)
-    assert (got[3], got[4]) == (1.0, 0.0)
-
-
 def test_months_until(spark):
     df = spark.createDataFrame([("2025-01-31",), ("2024-06-01",), ("",), (None,), ("2026-03-10T00",)], "d string")
     assert [r[0] for r in df.select(hh.months_until(F.col("d"), "2024-12-15")).collect()][:4] == [1, 1, 0, 0]

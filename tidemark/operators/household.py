@@ -6,8 +6,6 @@ window, so that windows see at most one row per month and category.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +21,6 @@ MULTIPLIERS = [(20, 2.5), (40, 3.5), (60, 5.0), (80, 6.5), (100, 8.0)]
 EXPECTED_RETURNS = {"conservative": 0.07, "moderate": 0.09, "aggressive": 0.12}
 DEFAULT_VOLATILITY, DEFAULT_RETURN = 0.15, 0.09
 ANOMALY_PCT, EMERGENCY_MONTHS, ON_TRACK_SHARE = 15.0, 3, 0.85
-N_PATHS, PATH_SEED = 1000, 42
 
 
 def monthly_summary(tx: DataFrame) -> DataFrame:
@@ -164,33 +161,6 @@ def goals_counts(progress: DataFrame) -> DataFrame:
     return progress.groupBy("on_track").agg(F.count("*").alias("n_goals"))
 
 
-def success_probability(goals: DataFrame, n_paths: int = N_PATHS, seed: int = PATH_SEED) -> DataFrame:
-    """Share of simulated monthly paths that reach the target, per goal.
-
-    ``goals(goal_id, current_amount, monthly_contribution, months_remaining, target_amount, rate, volatility)``.
-    Draws depend on the seed and the number of months only, so retries and partitioning do not
-    change a result.
-    """
-
-    @F.pandas_udf("double")
-    def share(cur: pd.Series, add: pd.Series, months: pd.Series, rate: pd.Series, vol: pd.Series, goal: pd.Series) -> pd.Series:
-        out = np.empty(len(cur))
-        for n, idx in pd.Series(range(len(cur))).groupby(months.to_numpy()).groups.items():
-            at = np.asarray(idx)
-            value = np.repeat(cur.to_numpy(float)[at][:, None], n_paths, axis=1) if n > 0 else cur.to_numpy(float)[at][:, None]
-            if n > 0:
-                draws = np.random.default_rng(seed).standard_normal((n_paths, int(n)))
-                mean, dev = rate.to_numpy(float)[at][:, None] / 12, vol.to_numpy(float)[at][:, None] / np.sqrt(12)
-                for k in range(int(n)):
-                    value = value * (1.0 + (mean + dev * draws[:, k])) + add.to_numpy(float)[at][:, None]
-            out[at] = (value >= goal.to_numpy(float)[at][:, None]).mean(axis=1)
-        return pd.Series(out)
-
-    # some hundred thousand steps per row: worth a shuffle of the (narrow) goal rows
-    return spread(goals, "goal_id").withColumn("probability", share(
-        "current_amount", "monthly_contribution", "months_remaining", "rate", "volatility", "target_amount"))
-
-
 def debt_order(debts: DataFrame, monthly_budget: float, id_range: int = 1_000_000) -> DataFrame:
     """Is the budget enough for all minimums, and each debt's place in the two payoff orders.
 

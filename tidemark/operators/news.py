@@ -13,17 +13,14 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import clamp, number_or_null
 
-TITLE_CAP, DESCRIPTION_CAP = 80, 300
 NEWS_LIMIT = 30
 ROW_SCHEMA = "array<string>"
 REPLY_SCHEMA = "title string, sentiment string, confidence string, reason string"
 
 
-def feed_rows(feed: DataFrame, source: str, priority: int, title: Column, description: Column, url: Column, published: Column,
-              capped: bool = True) -> DataFrame:
-    """One feed in the common schema; post-like feeds show their first letters as title."""
-    cut = lambda c, n: F.substring(c, 1, n) if capped else c
-    return feed.select("symbol", cut(title, TITLE_CAP).alias("title"), cut(description, DESCRIPTION_CAP).alias("description"),
+def feed_rows(feed: DataFrame, source: str, priority: int, title: Column, description: Column, url: Column, published: Column) -> DataFrame:
+    """One feed in the common schema, titles and descriptions whole."""
+    return feed.select("symbol", title.alias("title"), description.alias("description"),
                        url.alias("url"), published.alias("published_at"), F.lit(source).alias("source"), F.lit(priority).alias("source_priority"))
 
 
@@ -31,18 +28,18 @@ def union_feeds(feeds: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), feeds)
 
 
-def dedupe_by_url(news: DataFrame) -> DataFrame:
-    """First source in priority order keeps a URL; blank URLs are dropped."""
+def dedupe_by_url(news: DataFrame, position: Column) -> DataFrame:
+    """First source in priority order keeps a URL, the least position within a source; blank URLs are dropped."""
     url = F.trim("url")
     cols = [c for c in news.columns if c not in ("symbol", "url")]
     return (news.withColumn("url", url).filter(F.length("url") > 0)
-            .groupBy("symbol", "url").agg(F.min_by(F.struct(*cols), "source_priority").alias("n")).select("symbol", "url", "n.*"))
+            .groupBy("symbol", "url").agg(F.min_by(F.struct(*cols), F.struct("source_priority", position)).alias("n")).select("symbol", "url", "n.*"))
 
 
-def newest_news(news: DataFrame, published: Column, tie: list[Column], limit: int = NEWS_LIMIT) -> DataFrame:
+def newest_news(news: DataFrame, published: Column, position: Column, tie: list[Column], limit: int = NEWS_LIMIT) -> DataFrame:
     """The newest articles per symbol after de-duplication, undated ones last."""
     w = Window.partitionBy("symbol").orderBy(published.desc_nulls_last(), *tie)
-    return dedupe_by_url(news).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    return dedupe_by_url(news, position).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
 def parse_time(text: Column) -> Column:
@@ -102,12 +99,17 @@ def parse_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
         "confidence": F.coalesce(conf, F.lit(0.0)), "reason": F.coalesce("o.reason", F.lit(""))}).drop("o", "item", reply)
 
 
-def screen_summary(history: DataFrame, as_of, limit: int = 500, days: int = 30) -> DataFrame:
-    """Counts per preset over the newest 500 results, of the last 30 days, with totals.
+def recent_screens(history: DataFrame, as_of, days: int = 30) -> DataFrame:
+    return history.filter(F.col("created_at") >= F.date_sub(F.lit(as_of).cast("date"), days))
 
-    The limit is the history page the summary is defined on.
-    """
-    page = history.orderBy(F.desc("created_at"), "symbol", "preset").limit(limit)
-    recent = page.filter(F.col("created_at") >= F.date_sub(F.lit(as_of).cast("date"), days))
+
+def screen_summary(history: DataFrame, as_of, days: int = 30) -> DataFrame:
+    """Counts per preset over all results of the last days, with totals."""
+    recent = recent_screens(history, as_of, days)
     total = recent.agg(F.count("*").alias("total"), F.count_distinct("symbol").alias("n_symbols"))
-    return recent.groupBy("preset").agg(F.count("*").alias("n")).join(F.broadcast(total))
+    return recent.groupBy("preset").agg(F.count("*").alias("n")).join(F.broadcast(total))  # one row
+
+
+def screen_symbols(history: DataFrame, as_of, days: int = 30) -> DataFrame:
+    """The symbols behind the summary, with their number of results and the newest."""
+    return recent_screens(history, as_of, days).groupBy("symbol").agg(F.count("*").alias("n"), F.max("created_at").alias("newest"))

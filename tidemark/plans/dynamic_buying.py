@@ -38,9 +38,10 @@ def mapped_mix(weights: DataFrame, spans: dict[str, str], proxies: DataFrame) ->
 
 def require_prices(mix: DataFrame, panel: DataFrame) -> None:
     """Raise when a mapped symbol has no price at all."""
-    lost = [r["symbol"] for r in mix.select("symbol").distinct().join(panel.select("symbol").distinct(), "symbol", "left_anti").take(20)]
-    if lost:
-        raise ValueError(f"no price column for {sorted(lost)}")
+    lost = mix.select("symbol").distinct().join(panel.select("symbol").distinct(), "symbol", "left_anti")
+    n, first = lost.agg(F.count("*"), F.min("symbol")).first()
+    if n:
+        raise ValueError(f"no price column for {n} symbols, the first is {first}")
 
 
 def buy_rows(rows: DataFrame, mix: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -353,14 +353,14 @@ def segment_shares(t):
     """Shares per customer segment: the segment stands for one large portfolio."""
     seg = t.table("customer").select(F.col("c_custkey").alias("portfolio_id"), "c_mktsegment")
     tx = t.transactions().filter("tx_type <> 'dividend'").groupBy("portfolio_id", "ticker").agg(F.sum("shares").alias("shares"))
-    return (tx.join(seg, "portfolio_id").filter(F.col("ticker") != "PROMO").groupBy(F.col("c_mktsegment").alias("portfolio_id"), F.col("ticker").alias("symbol"))
+    return (tx.join(seg, "portfolio_id").groupBy(F.col("c_mktsegment").alias("portfolio_id"), F.col("ticker").alias("symbol"))
             .agg(F.sum("shares").alias("shares")))
 
 
 CTES["stress_curve"] = """
 SELECT portfolio_id, dt, v AS close, row_number() OVER (PARTITION BY portfolio_id ORDER BY dt) AS rn, v / max(v) OVER (PARTITION BY portfolio_id ORDER BY dt) - 1 AS uw FROM (
  SELECT s.portfolio_id, b.dt, sum(s.sh*b.close) AS v FROM (SELECT c_mktsegment AS portfolio_id, ticker, sum(shares) AS sh FROM transactions JOIN customer ON c_custkey = portfolio_id
-  WHERE tx_type <> 'dividend' AND ticker <> 'PROMO' GROUP BY 1, 2) s JOIN bars b ON b.symbol = s.ticker GROUP BY 1, 2 HAVING count(*) = 5)"""
+  WHERE tx_type <> 'dividend' GROUP BY 1, 2) s JOIN bars b ON b.symbol = s.ticker GROUP BY 1, 2 HAVING count(*) = 6)"""
 
 
 @query("B20_stress_curve", "portfolio_id:s dt:d close:1 underwater:6", "SELECT portfolio_id, dt, close, uw AS underwater FROM stress_curve")

@@ -100,15 +100,6 @@ def _(t):
     return hh.goals_summary(hh.goal_progress(t.goals()))
 
 
-@query("B21_goal_success_probability", "goal_id:i months_remaining:i probability:4")
-def _(t):
-    preset = F.lit(None).cast("double")
-    for name, value in hh.EXPECTED_RETURNS.items():
-        preset = F.when(F.col("risk_profile") == name, value).otherwise(preset)
-    goals = t.goals().withColumns({"rate": preset, "volatility": F.lit(hh.DEFAULT_VOLATILITY)})
-    return hh.success_probability(goals)
-
-
 @query("C21_debt_order", "household_id:i debt_id:i avalanche:i snowball:i total_min:2 feasible:b", """
 SELECT household_id, debt_id, row_number() OVER (PARTITION BY household_id ORDER BY interest_rate DESC, debt_id) AS avalanche, row_number() OVER (PARTITION BY household_id ORDER BY balance, debt_id) AS snowball,
  sum(min_payment) OVER (PARTITION BY household_id) AS total_min, 2000 >= sum(min_payment) OVER (PARTITION BY household_id) AS feasible FROM debts""")

@@ -10,24 +10,16 @@ from tidemark.queries.registry import query
 from tidemark.sources import sinks
 from tidemark.sources.adapters import AS_OF, BENCHMARK
 
-SINCE = "1996-07-01"  # benchmark history starts later than the ledger, so some rows have no price
-CTES["known"] = "SELECT symbol, price FROM latest WHERE symbol <> 'PROMO'"
 CTES["holdings"] = """
 SELECT *, shares*price AS current_value_usd, shares*price*33.5 AS current_value_thb, price IS NOT NULL AS price_ok FROM (
  SELECT portfolio_id, ticker, sum(shares) AS shares, sum(shares*price_usd) AS invested_usd, sum(shares*price_usd*fx_rate_thb) AS invested_thb,
   sum(coalesce(fee_thb, shares*price_usd*0.0015*fx_rate_thb)) AS fee_thb FROM transactions WHERE tx_type <> 'dividend' GROUP BY 1, 2) h
-LEFT JOIN known k ON k.symbol = h.ticker"""
-CTES["bench"] = "SELECT dt, close FROM bars WHERE symbol = 'STANDARD' AND dt >= DATE '1996-07-01'"
-CTES["late_bars"] = "SELECT symbol, dt, close FROM bars WHERE dt >= DATE '1996-07-01'"
-
-
-def known_prices(t):
-    """Latest prices with one symbol missing, to keep the missing-price path in view."""
-    return t.latest().filter(F.col("symbol") != "PROMO")
+LEFT JOIN latest k ON k.symbol = h.ticker"""
+CTES["bench"] = "SELECT dt, close FROM bars WHERE symbol = 'STANDARD'"
 
 
 def held(t):
-    return lg.holdings(t.transactions(), known_prices(t))
+    return lg.holdings(t.transactions(), t.latest())
 
 
 def holding_positions(t):
@@ -150,14 +142,13 @@ def _(t):
 SELECT t.portfolio_id, t.tx_id, t.date, b.close, b.dt AS price_date FROM transactions t ASOF LEFT JOIN bench b ON t.date >= b.dt WHERE t.tx_type <> 'dividend'""")
 def _(t):
     buys = t.transactions().filter("tx_type <> 'dividend'").select("portfolio_id", "tx_id", "date")
-    bench = t.benchmark().filter(F.col("dt") >= SINCE)
-    return asof_join(buys, bench, "date", "dt", ["close"]).withColumnRenamed("matched_on", "price_date")
+    return asof_join(buys, t.benchmark(), "date", "dt", ["close"]).withColumnRenamed("matched_on", "price_date")
 
 
 @query("J2_dividends_to_prices", "portfolio_id:i tx_id:s date:d ticker:s close:4", """
-SELECT t.portfolio_id, t.tx_id, t.date, t.ticker, b.close FROM transactions t ASOF LEFT JOIN late_bars b ON t.ticker = b.symbol AND t.date >= b.dt WHERE t.tx_type = 'dividend'""")
+SELECT t.portfolio_id, t.tx_id, t.date, t.ticker, b.close FROM transactions t ASOF LEFT JOIN bars b ON t.ticker = b.symbol AND t.date >= b.dt WHERE t.tx_type = 'dividend'""")
 def _(t):
-    ref = t.prices().filter(F.col("dt") >= SINCE).withColumnRenamed("symbol", "ticker")
+    ref = t.prices().withColumnRenamed("symbol", "ticker")
     return asof_join(lg.dividends(t.transactions()), ref, "date", "dt", ["close"], by=["ticker"])
 
 
@@ -166,16 +157,16 @@ SELECT portfolio_id, coalesce(sum(v) FILTER (WHERE close IS NOT NULL), 0) AS inv
  coalesce(sum(v/close), 0) * (SELECT max_by(close, dt) FROM bench) AS benchmark_value_usd, count(close) AS rounds, count(*) - count(close) AS skipped
 FROM (SELECT t.portfolio_id, t.shares*t.price_usd AS v, b.close FROM transactions t ASOF LEFT JOIN bench b ON t.date >= b.dt WHERE t.tx_type <> 'dividend') GROUP BY 1""")
 def _(t):
-    return lg.shadow_benchmark(t.transactions(), t.benchmark().filter(F.col("dt") >= SINCE))
+    return lg.shadow_benchmark(t.transactions(), t.benchmark())
 
 
 @query("B19_reinvested_dividends", "portfolio_id:i ticker:s cash_usd:5 extra_shares:6 drip_value_usd:3 advantage_usd:3 rounds:i skipped:i", """
 SELECT portfolio_id, ticker, coalesce(sum(v) FILTER (WHERE close IS NOT NULL), 0) AS cash_usd, coalesce(sum(v/close), 0) AS extra_shares, coalesce(sum(v/close), 0)*max(lp) AS drip_value_usd,
  coalesce(sum(v/close), 0)*max(lp) - coalesce(sum(v) FILTER (WHERE close IS NOT NULL), 0) AS advantage_usd, count(close) AS rounds, count(*) - count(close) AS skipped
-FROM (SELECT t.portfolio_id, t.ticker, t.amount_thb/t.fx_rate_thb AS v, b.close, l.price AS lp FROM transactions t ASOF LEFT JOIN late_bars b ON t.ticker = b.symbol AND t.date >= b.dt
+FROM (SELECT t.portfolio_id, t.ticker, t.amount_thb/t.fx_rate_thb AS v, b.close, l.price AS lp FROM transactions t ASOF LEFT JOIN bars b ON t.ticker = b.symbol AND t.date >= b.dt
  JOIN latest l ON l.symbol = t.ticker WHERE t.tx_type = 'dividend') GROUP BY 1, 2""")
 def _(t):
-    return lg.reinvested_dividends(t.transactions(), t.prices().filter(F.col("dt") >= SINCE))
+    return lg.reinvested_dividends(t.transactions(), t.prices())
 
 
 CTES["flows"] = """
@@ -227,9 +218,12 @@ def _(t):
         F.count("*").alias("n"), F.sum("amount").alias("total"))
 
 
-@query("U3_missing_symbols", "symbol:s", "SELECT DISTINCT symbol FROM bars WHERE symbol NOT IN (SELECT symbol FROM known)")
+@query("U3_missing_symbols", "symbol:s", "SELECT DISTINCT p_brand AS symbol FROM part WHERE p_brand NOT IN (SELECT symbol FROM latest) "
+       "UNION SELECT DISTINCT p_type FROM part WHERE p_type NOT IN (SELECT symbol FROM latest)")
 def _(t):
-    return t.prices().select("symbol").distinct().join(known_prices(t), "symbol", "left_anti")
+    # brands are asked for beside the types; they have no prices of their own
+    asked = t.table("part").select(F.explode(F.array("p_brand", "p_type")).alias("symbol")).distinct()
+    return asked.join(t.latest(), "symbol", "left_anti")
 
 
 @query("U1_tracked_symbols", "symbol:s", f"SELECT DISTINCT ticker AS symbol FROM holdings UNION SELECT ticker FROM alerts UNION SELECT '{BENCHMARK}'")

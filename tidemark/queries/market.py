@@ -19,24 +19,23 @@ def _(t):
     return pan.price_panel(t.prices(), [s for s, w in TARGETS.items() if w > 0], "1997-01-01")
 
 
-@query("SRC2_clean_closes", "symbol:s dt:d close:4", """
-SELECT symbol, dt, close FROM bars WHERE extract(day FROM dt) NOT IN (13, 14)""")
+@query("SRC2_clean_closes", "symbol:s dt:d close:4", "SELECT symbol, dt, close FROM bars")
 def _(t):
-    day = F.dayofmonth("dt")
-    raw = t.prices().withColumn("close", F.when(day == 13, "N/D").when(day == 14, "NaN")
-                                .otherwise(F.col("close").cast("string")))
-    return pan.clean_closes(raw)
+    # unusable rows stand beside the good ones: texts that are no numbers, and no price at all
+    good = t.prices().withColumn("close", F.col("close").cast("string"))
+    bad = t.prices().select("symbol", "dt", F.explode(F.array(F.lit("N/D"), F.lit("NaN"), F.lit(None).cast("string"))).alias("close"))
+    return pan.clean_closes(good.unionByName(bad))
 
 
 @query("SRC3_ohlc_bars", "symbol:s dt:d open:4 high:4 low:4 close:4 volume:2", """
-SELECT symbol, dt, open, high, low, CASE WHEN extract(day FROM dt) = 14 THEN NULL ELSE close END AS close, volume
-FROM bars WHERE extract(day FROM dt) <> 13""")
-def _(t):
-    day = F.dayofmonth("dt")
-    gap = lambda c, when: F.when(~when, F.col(c)).alias(c)
-    raw = t.bars().select("symbol", "dt", gap("open", day == 13), gap("high", day == 13), gap("low", day == 13),
-                          gap("close", day.isin(13, 14)), "volume")
-    return pan.clean_bars(raw)
+SELECT symbol, dt, open, high, low, close, volume FROM bars UNION ALL SELECT symbol || '-gap', dt, open, high, low, NULL, volume FROM bars""")
+def _(t):
+    # beside the bars: rows without any price, which go, and bars of further symbols without a close, which stay
+    bars = t.bars().select("symbol", "dt", "open", "high", "low", "close", "volume")
+    none = F.lit(None).cast("double")
+    empty = bars.withColumns({c: none for c in ("open", "high", "low", "close")})
+    gaps = bars.withColumns({"symbol": F.concat("symbol", F.lit("-gap")), "close": none})
+    return pan.clean_bars(bars.unionByName(empty).unionByName(gaps))
 
 
 @query("SRC8_macro_series", "series_id:s dt:d value:4", "SELECT series_id, dt, value FROM macro")

@@ -7,14 +7,13 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import news as nw
 from tidemark.operators import reports as rp
 from tidemark.operators.panel import weekly_bars
-from tidemark.queries.ledger import known_prices
 from tidemark.queries.oracle_ctes import CTES
 from tidemark.queries.registry import query
 from tidemark.sources import sinks
 from tidemark.sources.adapters import AS_OF
 
 CTES["feeds"] = """
-SELECT 'ALL' AS symbol, substring(html, 1, 80) AS title, substring(html, 1, 300) AS description, url, 'posts' AS source, 2 AS source_priority FROM pages
+SELECT 'ALL' AS symbol, html AS title, html AS description, url, 'posts' AS source, 2 AS source_priority FROM pages
 UNION ALL SELECT 'ALL', html, html, url, 'wire', 1 FROM pages WHERE page_id % 5 = 0"""
 
 
@@ -24,13 +23,13 @@ def _(t):
     pages = t.table("pages").withColumn("symbol", F.lit("ALL"))
     html, url, when = F.col("html"), F.col("url"), F.lit(None).cast("string")
     feeds = nw.union_feeds([nw.feed_rows(pages, "posts", 2, html, html, url, when),
-                            nw.feed_rows(pages.filter(F.col("page_id") % 5 == 0), "wire", 1, html, html, url, when, capped=False)])
+                            nw.feed_rows(pages.filter(F.col("page_id") % 5 == 0), "wire", 1, html, html, url, when)])
     return feeds.withColumn("n_description", F.length("description"))
 
 
 @query("U1_feed_dedupe", "symbol:s url:s source_priority:i", "SELECT symbol, trim(url) AS url, min(source_priority) AS source_priority FROM news WHERE length(trim(url)) > 0 GROUP BY 1, 2")
 def _(t):
-    return nw.dedupe_by_url(t.news())
+    return nw.dedupe_by_url(t.news(), F.col("page_id"))
 
 
 @query("K3_newest_news", "symbol:s url:s age_days:i rank:i", """
@@ -39,8 +38,8 @@ SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN age_days = 7
 def _(t):
     # the same page is listed by both feeds, so the earlier source decides; age 7 stands for an unparsable date
     text = F.when(F.col("age_days") == 7, "soon").otherwise(F.concat(F.date_format(F.date_sub(F.lit(AS_OF), F.col("age_days").cast("int")), "yyyy-MM-dd"), F.lit("T00:00:00Z")))
-    news = t.news().withColumns({"published_at": text, "source_priority": F.col("source_priority") * 1000000 + F.col("page_id")})
-    return nw.newest_news(news, nw.parse_time(F.col("published_at")), [F.col("url")])
+    news = t.news().withColumn("published_at", text)
+    return nw.newest_news(news, nw.parse_time(F.col("published_at")), F.col("page_id"), [F.col("url")])
 
 
 @query("A15_sentiment_rollup", "symbol:s total:i positive:i negative:i neutral:i avg_confidence:5 score:5 overall:s", """
@@ -120,29 +119,35 @@ def _(t):
 
 
 @query("A17_screen_summary", "preset:s n:i total:i n_symbols:i", """
-WITH p AS (SELECT * FROM history ORDER BY created_at DESC, symbol, preset LIMIT 500), r AS (SELECT * FROM p WHERE created_at >= DATE '2001-11-05' - 30)
+WITH r AS (SELECT * FROM history WHERE created_at >= DATE '2001-11-05' - 30)
 SELECT preset, count(*) AS n, (SELECT count(*) FROM r) AS total, (SELECT count(DISTINCT symbol) FROM r) AS n_symbols FROM r GROUP BY 1""")
 def _(t):
     return nw.screen_summary(history(t), AS_OF)
 
 
+@query("A17_screen_symbols", "symbol:s n:i newest:d", """
+SELECT symbol, count(*) AS n, max(created_at) AS newest FROM history WHERE created_at >= DATE '2001-11-05' - 30 GROUP BY 1""")
+def _(t):
+    return nw.screen_symbols(history(t), AS_OF)
+
+
 # --- alerts and quotes ---------------------------------------------------------------------
 
-CTES["shifted"] = "SELECT symbol, price*CASE symbol WHEN 'LARGE' THEN 1.05 WHEN 'SMALL' THEN 0.9 WHEN 'MEDIUM' THEN 1.01 ELSE 1 END AS price FROM known"
+CTES["shifted"] = "SELECT symbol, price*CASE symbol WHEN 'LARGE' THEN 1.05 WHEN 'SMALL' THEN 0.9 WHEN 'MEDIUM' THEN 1.01 ELSE 1 END AS price FROM latest"
 
 
 def moved_prices(t):
     """Latest prices after a move of some symbols, so that alerts fire or come near."""
     s = F.col("symbol")
-    return known_prices(t).withColumn("price", F.col("price") * F.when(s == "LARGE", 1.05).when(s == "SMALL", 0.9).when(s == "MEDIUM", 1.01).otherwise(1.0))
+    return t.latest().withColumn("price", F.col("price") * F.when(s == "LARGE", 1.05).when(s == "SMALL", 0.9).when(s == "MEDIUM", 1.01).otherwise(1.0))
 
 
-@query("SRC5_alert_documents", "alert_id:s ticker:s alert_type:s price:4", "SELECT alert_id, ticker, alert_type, target AS price FROM alerts WHERE ticker <> 'SMALL'")
+@query("SRC5_alert_documents", "alert_id:s ticker:s alert_type:s price:4", "SELECT alert_id, ticker, alert_type, target AS price FROM alerts")
 def _(t):
     row = F.struct(F.col("alert_id").alias("id"), "ticker", "alert_type", "price", "triggered")
     docs = t.alerts().groupBy("ticker").agg(F.to_json(F.struct(F.collect_list(row).alias("alerts"))).alias("value"))  # two alerts per symbol
-    docs = docs.withColumn("value", F.when(F.col("ticker") == "SMALL", F.substring("value", 1, 20)).otherwise(F.col("value")))
-    return al.parse_alert_documents(docs).withColumnRenamed("id", "alert_id")
+    broken = docs.withColumn("value", F.regexp_replace("value", r"\}$", ""))  # documents that end too soon stand beside the good ones
+    return al.parse_alert_documents(docs.unionByName(broken)).withColumnRenamed("id", "alert_id")
 
 
 @query("P9_alert_trigger", "alert_id:s fired:b triggered_price:4", """
@@ -204,11 +209,11 @@ def _(t):
 
 @query("J4_signal_bars", "symbol:s bar_dt:d high:4 low:4", """
 WITH wk AS (SELECT symbol, CAST(dt + CAST((12 - dayofweek(dt)) % 7 AS INTEGER) AS DATE) AS bar_dt, max(high) AS high, min(low) AS low FROM bars GROUP BY 1, 2),
-early AS (SELECT * FROM wk WHERE bar_dt <= DATE '2001-06-30'), lastw AS (SELECT symbol, max_by(bar_dt, bar_dt) AS bar_dt, max_by(high, bar_dt) AS high, max_by(low, bar_dt) AS low FROM early GROUP BY 1),
+early AS (SELECT * FROM wk), lastw AS (SELECT symbol, max_by(bar_dt, bar_dt) AS bar_dt, max_by(high, bar_dt) AS high, max_by(low, bar_dt) AS low FROM early GROUP BY 1),
 s AS (SELECT symbol, dt FROM feat WHERE rsi < 30 OR rsi > 70)
 SELECT DISTINCT s.symbol, coalesce(e.bar_dt, l.bar_dt) AS bar_dt, coalesce(e.high, l.high) AS high, coalesce(e.low, l.low) AS low FROM s ASOF LEFT JOIN early e ON e.symbol = s.symbol AND s.dt <= e.bar_dt JOIN lastw l ON l.symbol = s.symbol""")
 def _(t):
     rsi = F.col("rsi")
     signals = ind.with_rsi(ind.number_rows(t.prices())).filter((rsi < 30) | (rsi > 70)).select("symbol", "dt")
-    bars = weekly_bars(t.bars()).select("symbol", F.col("period").alias("bar_dt"), "high", "low").filter(F.col("bar_dt") <= "2001-06-30")
+    bars = weekly_bars(t.bars()).select("symbol", F.col("period").alias("bar_dt"), "high", "low")
     return al.bars_for_signals(bars, signals)

@@ -93,7 +93,7 @@ SELECT o_custkey AS household_id, CAST(o_orderdate AS DATE) AS date,
 FROM orders"""
 
 CTES["sentiment_results"] = """
-SELECT source AS symbol, d.doc_id AS doc_id, substring(text, 1, 80) AS title,
+SELECT source AS symbol, d.doc_id AS doc_id, text AS title,
        CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS sentiment,
        CAST(least(1.0, n_chars/5000.0) AS DOUBLE) AS confidence
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
@@ -156,9 +156,9 @@ UNION ALL SELECT 'DXY', dt, dxy FROM macro_daily
 UNION ALL SELECT 'TNX', dt, tnx FROM macro_daily"""
 
 CTES["news"] = """
-SELECT 'ALL' AS symbol, substring(html, 1, 80) AS title, url, page_id % 30 AS age_days, page_id, 1 AS source_priority FROM pages
+SELECT 'ALL' AS symbol, html AS title, url, page_id % 30 AS age_days, page_id, 1 AS source_priority FROM pages
 UNION ALL
-SELECT 'ALL', substring(html, 1, 80), url, page_id % 30, page_id, 2 FROM pages WHERE page_id % 5 = 0"""
+SELECT 'ALL', html, url, page_id % 30, page_id, 2 FROM pages WHERE page_id % 5 = 0"""
 
 CTES["alerts"] = """
 SELECT symbol || '-above' AS alert_id, symbol AS ticker, 'above' AS alert_type, price * 1.02 AS target FROM latest

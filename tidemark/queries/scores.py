@@ -7,7 +7,6 @@ from tidemark.operators import allocation as al
 from tidemark.operators import indicators as ind
 from tidemark.operators import scoring as sc
 from tidemark.operators import valuation as va
-from tidemark.queries.ledger import known_prices
 from tidemark.queries.oracle_ctes import CTES
 from tidemark.queries.registry import query
 from tidemark.sources.adapters import TARGETS
@@ -91,10 +90,10 @@ def _(t):
 
 @query("C12_order_list", "portfolio_id:s symbol:s amount:i usd:4 est_shares:6 fee_thb:4", """
 SELECT portfolio_id, p.symbol, amount, amount/33.5 AS usd, amount/33.5/k.price AS est_shares, amount*0.0015 AS fee_thb
-FROM plan p LEFT JOIN known k ON k.symbol = p.symbol WHERE amount > 0""")
+FROM plan p LEFT JOIN latest k ON k.symbol = p.symbol WHERE amount > 0""")
 def _(t):
     plan = al.allocate_budget(sc.symbol_scores(t.prices(), t.fundamentals()), t.weights(), BUDGET)
-    return al.order_list(plan, known_prices(t), 33.5)
+    return al.order_list(plan, t.latest(), 33.5)
 
 
 @query("C6_target_weights", "portfolio_id:s symbol:s weight:6", """
@@ -158,7 +157,7 @@ def _(t):
 
 
 @query("C8_rebalance_plan", "portfolio_id:i symbol:s action:s shares:5 usd_amount:2 thb_amount:2 fee_thb:3", """
-WITH d AS (SELECT d.*, k.price, max(coalesce(abs(cur - target), 1.0)) OVER (PARTITION BY d.portfolio_id) AS md FROM drifts d LEFT JOIN known k ON k.symbol = d.symbol),
+WITH d AS (SELECT d.*, k.price, max(coalesce(abs(cur - target), 1.0)) OVER (PARTITION BY d.portfolio_id) AS md FROM drifts d LEFT JOIN latest k ON k.symbol = d.symbol),
 e AS (SELECT *, target*(total + 300) - value AS delta FROM d WHERE md >= 0.05 AND price > 0)
 SELECT portfolio_id, symbol, CASE WHEN abs(delta) < 0.01 THEN 'hold' WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS action,
  CASE WHEN abs(delta) < 0.01 THEN 0 ELSE abs(delta) END / price AS shares, CASE WHEN abs(delta) < 0.01 THEN 0 ELSE abs(delta) END AS usd_amount,
@@ -166,7 +165,7 @@ SELECT portfolio_id, symbol, CASE WHEN abs(delta) < 0.01 THEN 'hold' WHEN delta
 def _(t):
     from tidemark.queries.ledger import holding_positions
     held = holding_positions(t)
-    return al.rebalance_plan(held, al.assign_mix(held.select("portfolio_id").distinct(), TARGETS), known_prices(t), 300.0, 33.5)
+    return al.rebalance_plan(held, al.assign_mix(held.select("portfolio_id").distinct(), TARGETS), t.latest(), 300.0, 33.5)
 
 
 @query("C9_price_level_drift", "portfolio_id:s symbol:s target:6 current:6 drift:6 need_rebalance:b", """

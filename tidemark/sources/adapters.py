@@ -113,7 +113,7 @@ class Domain:
     def sentiment_results(self) -> DataFrame:
         docs = self.table("documents").select("doc_id", "text", "source", "n_chars")
         return docs.join(self.table("labels"), "doc_id").select(
-            F.col("source").alias("symbol"), "doc_id", F.substring("text", 1, 80).alias("title"),
+            F.col("source").alias("symbol"), "doc_id", F.col("text").alias("title"),
             F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive")
             .otherwise("neutral").alias("sentiment"),
             F.least(F.lit(1.0), F.col("n_chars") / 5000.0).cast("double").alias("confidence"))
@@ -192,7 +192,7 @@ class Domain:
 
     def news(self) -> DataFrame:
         pages = self.table("pages").select(
-            F.lit("ALL").alias("symbol"), F.substring("html", 1, 80).alias("title"), "url",
+            F.lit("ALL").alias("symbol"), F.col("html").alias("title"), "url",
             (F.col("page_id") % 30).alias("age_days"), "page_id")
         first = pages.withColumn("source_priority", F.lit(1))
         second = pages.filter(F.col("page_id") % 5 == 0).withColumn("source_priority", F.lit(2))
