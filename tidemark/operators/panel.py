@@ -53,7 +53,7 @@ def price_panel(prices: DataFrame, symbols: list[str], since=None) -> DataFrame:
 def calendar(panel: DataFrame) -> DataFrame:
     """Shared calendar ``(dt, day_no)`` from 0; its size is bounded by the days covered."""
     days = panel.select("dt").distinct().agg(F.array_sort(F.collect_set("dt")).alias("days"))
-    return days.select(F.posexplode("days").alias("day_no", "dt")).select("dt", "day_no")
+    return days.select(F.size("days").alias("n_days"), F.posexplode("days").alias("day_no", "dt")).select("dt", "day_no", "n_days")
 
 
 def forward_fill(panel: DataFrame, value: str = "close") -> DataFrame:
@@ -62,25 +62,24 @@ def forward_fill(panel: DataFrame, value: str = "close") -> DataFrame:
     Each bar covers the days up to the symbol's next bar, so the fill is an explode of that
     span: no symbol-by-calendar product is formed.
     """
-    days = F.broadcast(calendar(panel))
-    n_days = calendar(panel).agg(F.count("*").alias("n")).scalar()
+    days = F.broadcast(calendar(panel))  # one row per shared day
     known = panel.filter(F.col(value).isNotNull()).join(days, "dt")
     w = Window.partitionBy("symbol").orderBy("day_no")
     spans = known.select(
         "symbol", value, F.col("dt").alias("bar_dt"),
         F.sequence("day_no", F.lead("day_no").over(w) - 1).alias("inner"),
-        F.col("day_no"), F.lead("day_no").over(w).alias("next_no"))
-    spans = spans.withColumn("n_days", n_days).withColumn(
-        "span", F.coalesce(F.col("inner"), F.sequence(F.col("day_no"), (F.col("n_days") - 1).cast("int"))))
+        F.col("day_no"), F.col("n_days"))
+    spans = spans.withColumn("span", F.coalesce(F.col("inner"), F.sequence(F.col("day_no"), F.col("n_days") - 1)))
     filled = spans.select("symbol", value, "bar_dt", F.explode("span").alias("day_no"))
     return (filled.join(days, "day_no")
             .select("symbol", "dt", "day_no", value, (F.col("dt") != F.col("bar_dt")).alias("filled")))
 
 
-def common_history(panel: DataFrame, weights: DataFrame) -> DataFrame:
+def common_history(panel: DataFrame, weights: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows ``(portfolio_id, symbol, dt, close, weight)`` on days where every weighted symbol has a price.
 
-    Weights above zero only; symbols without any price are left out and the rest renormalised.
+    Weights above zero only; symbols without any price are left out and the rest renormalised. ``keep`` names
+    further columns of the panel. A portfolio with fewer than two such days is an error.
     """
     held = weights.filter(F.col("weight") > 0).select("portfolio_id", "symbol", "weight")
     # symbols are unique within a panel, so one aggregate row per symbol is enough to test presence
@@ -90,10 +89,14 @@ def common_history(panel: DataFrame, weights: DataFrame) -> DataFrame:
         "portfolio_id", "symbol",
         (F.col("weight") / F.sum("weight").over(per_pf)).alias("weight"),
         F.count("*").over(per_pf).alias("n_symbols"))
-    rows = panel.select("symbol", "dt", "close").filter(F.col("close").isNotNull()).join(mix, "symbol")
+    rows = panel.select("symbol", "dt", "close", *keep).filter(F.col("close").isNotNull()).join(mix, "symbol")
     on_day = Window.partitionBy("portfolio_id", "dt")
-    return (rows.withColumn("n_priced", F.count("*").over(on_day))
-            .filter(F.col("n_priced") == F.col("n_symbols")).drop("n_priced", "n_symbols"))
+    common = (rows.withColumn("n_priced", F.count("*").over(on_day))
+              .filter(F.col("n_priced") == F.col("n_symbols")).drop("n_priced", "n_symbols"))
+    per_pf = Window.partitionBy("portfolio_id")
+    too_short = F.min("dt").over(per_pf) == F.max("dt").over(per_pf)
+    message = F.concat(F.lit("fewer than two common days for portfolio "), F.col("portfolio_id").cast("string"))
+    return common.withColumn("close", F.when(too_short, F.raise_error(message).cast("double")).otherwise(F.col("close")))
 
 
 def month_end(day: Column) -> Column:

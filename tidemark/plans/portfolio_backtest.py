@@ -14,34 +14,43 @@ KEYS = ("portfolio_id",)
 
 
 def value_curve(returns: DataFrame, capital: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Running product of one plus the return, times the starting capital."""
+    """Running product of one plus the return, times the starting capital.
+
+    ``log_growth`` is its logarithm without the capital; it stays finite where the product leaves the range of doubles.
+    """
     w = Window.partitionBy(*keys).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    return returns.withColumn("value", F.product(F.col("ret") + 1).over(w) * capital)
+    grown = F.col("ret") + 1
+    return returns.withColumns({"value": F.product(grown).over(w) * capital, "log_growth": F.sum(F.log(grown)).over(w)})
 
 
 def portfolio_curve(panel: DataFrame, weights: DataFrame, capital: float = 10000.0, start=None) -> DataFrame:
-    """Daily rebalanced portfolio from the first day on which every weighted symbol has a price."""
+    """Daily rebalanced portfolio from the first day on which every weighted symbol has a price.
+
+    Steps are taken per symbol before the fan-out to portfolios; a portfolio's first day has none.
+    """
     filled = forward_fill(panel)
     if start is not None:
         filled = filled.filter(F.col("dt") >= F.lit(start).cast("date"))
-    rows = common_history(filled, weights)
-    w = Window.partitionBy("portfolio_id", "symbol").orderBy("dt")
-    step = F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0))
-    daily = rows.withColumn("r", step).groupBy("portfolio_id", "dt").agg(F.sum(F.col("r") * F.col("weight")).alias("ret"))
-    return value_curve(daily, capital)
+    step = F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("dt")) - 1
+    rows = common_history(filled.withColumn("r", step), weights, keep=("r",))
+    first = F.min("dt").over(Window.partitionBy("portfolio_id"))
+    daily = rows.groupBy("portfolio_id", "dt").agg(F.sum(F.col("r") * F.col("weight")).alias("ret"))
+    ret = F.when(F.col("dt") == first, 0.0).otherwise(F.coalesce("ret", F.lit(0.0)))
+    return value_curve(daily.withColumn("ret", ret), capital)
 
 
-def curve_metrics(curves: DataFrame, value: str = "value", ret: str = "ret", keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Total and yearly return, maximum drawdown and Sharpe ratio; the first zero return counts."""
+def curve_metrics(curves: DataFrame, log_growth: str = "log_growth", ret: str = "ret", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Total and yearly return with their logarithms, maximum drawdown and Sharpe ratio; the first zero return counts."""
     w = Window.partitionBy(*keys).orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
-    rows = curves.withColumn("_uw", F.col(value) / F.max(value).over(w) - 1)
+    rows = curves.withColumn("_uw", F.exp(F.col(log_growth) - F.max(log_growth).over(w)) - 1)
     agg = rows.groupBy(*keys).agg(
-        (F.max_by(value, "dt") / F.min_by(value, "dt") - 1).alias("total"),
+        (F.max_by(log_growth, "dt") - F.min_by(log_growth, "dt")).alias("log_growth"),
         F.greatest(F.date_diff(F.max("dt"), F.min("dt")), F.lit(1)).alias("days"), F.min("_uw").alias("dd"),
         F.avg(ret).alias("mean"), (F.stddev_samp(ret) * math.sqrt(TRADING_DAYS)).alias("vol"))
     return agg.select(
-        *keys, (F.col("total") * 100).alias("total_return_pct"),
-        ((F.pow(1 + F.col("total"), 365.25 / F.col("days")) - 1) * 100).alias("annual_return_pct"),
+        *keys, "log_growth", (F.col("log_growth") * 365.25 / F.col("days")).alias("annual_log_growth"),
+        ((F.exp("log_growth") - 1) * 100).alias("total_return_pct"),
+        ((F.exp(F.col("log_growth") * 365.25 / F.col("days")) - 1) * 100).alias("annual_return_pct"),
         (F.col("dd") * 100).alias("max_drawdown_pct"),
         F.when(F.col("vol") > 0, (F.col("mean") * TRADING_DAYS - RISK_FREE) / F.col("vol")).otherwise(0.0).alias("sharpe"))
 
@@ -53,16 +62,16 @@ def curve_against_benchmark(panel: DataFrame, weights: DataFrame, benchmark: Dat
     w = Window.partitionBy("one").orderBy("dt")
     rets = alone.withColumn("ret", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)))
     other = value_curve(rets, capital, ("one",)).select(
-        "dt", F.col("value").alias("benchmark_value"), F.col("ret").alias("benchmark_ret"))
+        "dt", F.col("value").alias("benchmark_value"), F.col("ret").alias("benchmark_ret"), F.col("log_growth").alias("benchmark_log_growth"))
     return mine.join(other, "dt")
 
 
 def backtest_metrics(panel: DataFrame, weights: DataFrame, benchmark: DataFrame, capital: float, start) -> DataFrame:
     both = curve_against_benchmark(panel, weights, benchmark, capital, start)
     side = F.explode(F.array(
-        F.struct(F.lit("portfolio").alias("curve"), F.col("value").alias("v"), F.col("ret").alias("r")),
-        F.struct(F.lit("benchmark").alias("curve"), F.col("benchmark_value").alias("v"), F.col("benchmark_ret").alias("r"))))
-    rows = both.select("portfolio_id", "dt", side.alias("s")).select("portfolio_id", "dt", "s.curve", F.col("s.v").alias("value"), F.col("s.r").alias("ret"))
+        F.struct(F.lit("portfolio").alias("curve"), F.col("log_growth").alias("v"), F.col("ret").alias("r")),
+        F.struct(F.lit("benchmark").alias("curve"), F.col("benchmark_log_growth").alias("v"), F.col("benchmark_ret").alias("r"))))
+    rows = both.select("portfolio_id", "dt", side.alias("s")).select("portfolio_id", "dt", "s.curve", F.col("s.v").alias("log_growth"), F.col("s.r").alias("ret"))
     return curve_metrics(rows, keys=("portfolio_id", "curve"))
 
 

@@ -1,6 +1,5 @@
 """Queries for curves, backtests, tilts, the signal strategy and forecasts."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.plans import dynamic_buying as dyn
@@ -13,13 +12,8 @@ from tidemark.sources.adapters import BENCHMARK
 START, AMOUNT = "1998-01-01", 10000.0
 SPANS = {"proxy": "1997-01-01", "real": "1999-06-01"}
 
-# The sample prices jump from day to day; a daily rebalanced curve over them leaves the range of
-# doubles. Curves therefore run over 50-day averages of the same prices.
-CTES["smooth"] = "SELECT symbol, dt, avg(close) OVER (PARTITION BY symbol ORDER BY dt ROWS 49 PRECEDING) AS close FROM bars"
-CTES["spanel"] = """
-SELECT symbol, dt, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt) AS close FROM (
- SELECT f.symbol, cal.dt, b.close FROM (SELECT symbol, min(dt) AS f FROM bars GROUP BY 1) f JOIN (SELECT DISTINCT dt FROM bars) cal ON cal.dt >= f.f
- LEFT JOIN smooth b ON b.symbol = f.symbol AND b.dt = cal.dt)"""
+# The sample prices jump from day to day, so a daily rebalanced value leaves the range of doubles: curves report the
+# logarithm of their growth.
 CTES["fpanel"] = """
 SELECT symbol, dt, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt) AS close FROM (
  SELECT f.symbol, cal.dt, b.close FROM (SELECT symbol, min(dt) AS f FROM bars GROUP BY 1) f JOIN (SELECT DISTINCT dt FROM bars) cal ON cal.dt >= f.f
@@ -30,30 +24,21 @@ def curve_sql(where: str) -> str:
     return f"""
 SELECT portfolio_id, dt, sum(r*weight) AS ret FROM (
  SELECT *, coalesce(close / lag(close) OVER (PARTITION BY portfolio_id, symbol ORDER BY dt) - 1, 0) AS r FROM (
-  SELECT w.portfolio_id, w.symbol, w.weight, p.dt, p.close, count(*) OVER (PARTITION BY w.portfolio_id, p.dt) AS c FROM weights w JOIN spanel p ON p.symbol = w.symbol {where}) WHERE c = 5) GROUP BY 1, 2"""
+  SELECT w.portfolio_id, w.symbol, w.weight, p.dt, p.close, count(*) OVER (PARTITION BY w.portfolio_id, p.dt) AS c FROM weights w JOIN fpanel p ON p.symbol = w.symbol {where}) WHERE c = 5) GROUP BY 1, 2"""
 
 
 CTES["pcurve"] = curve_sql("")
 CTES["scurve"] = curve_sql(f"WHERE p.dt >= DATE '{START}'")
 CTES["both_curves"] = f"""
-SELECT s.portfolio_id, s.dt, s.ret, 10000*product(1 + s.ret) OVER w AS value, b.ret AS benchmark_ret, b.v AS benchmark_value FROM scurve s JOIN (
- SELECT dt, ret, 10000*product(1 + ret) OVER (ORDER BY dt) AS v FROM (SELECT dt, coalesce(close / lag(close) OVER (ORDER BY dt) - 1, 0) AS ret FROM smooth WHERE symbol = 'STANDARD' AND dt >= DATE '{START}')) b ON b.dt = s.dt
+SELECT s.portfolio_id, s.dt, s.ret, sum(ln(1 + s.ret)) OVER w AS lg, b.ret AS benchmark_ret, b.v AS benchmark_lg FROM scurve s JOIN (
+ SELECT dt, ret, sum(ln(1 + ret)) OVER (ORDER BY dt) AS v FROM (SELECT dt, coalesce(close / lag(close) OVER (ORDER BY dt) - 1, 0) AS ret FROM bars WHERE symbol = 'STANDARD' AND dt >= DATE '{START}')) b ON b.dt = s.dt
 WINDOW w AS (PARTITION BY s.portfolio_id ORDER BY s.dt)"""
 
 
-def smooth(t):
-    w = Window.partitionBy("symbol").orderBy("dt").rowsBetween(-49, 0)
-    return t.prices().withColumn("close", F.avg("close").over(w))
-
-
-def bench(t):
-    return smooth(t).filter(F.col("symbol") == BENCHMARK).select("dt", "close")
-
-
-@query("B2_portfolio_curve", "portfolio_id:s dt:d ret:8 value:3", """
-SELECT portfolio_id, dt, ret, 10000*product(1 + ret) OVER (PARTITION BY portfolio_id ORDER BY dt) AS value FROM pcurve""")
+@query("B2_portfolio_curve", "portfolio_id:s dt:d ret:8 log_growth:6", """
+SELECT portfolio_id, dt, ret, sum(ln(1 + ret)) OVER (PARTITION BY portfolio_id ORDER BY dt) AS log_growth FROM pcurve""")
 def _(t):
-    return pb.portfolio_curve(smooth(t), t.weights())
+    return pb.portfolio_curve(t.prices(), t.weights())
 
 
 @query("W7_value_curve", "symbol:s dt:d value:3", """
@@ -63,28 +48,28 @@ def _(t):
     return pb.value_curve(daily_returns(t.prices()), 10000.0, ("symbol",))
 
 
-@query("J6_curve_and_benchmark", "portfolio_id:s dt:d value:3 benchmark_value:3", "SELECT portfolio_id, dt, 10000*product(1 + ret) OVER (PARTITION BY portfolio_id ORDER BY dt) AS value, benchmark_value FROM ("
-       "SELECT s.portfolio_id, s.dt, s.ret, b.benchmark_value FROM scurve s LEFT JOIN (SELECT DISTINCT dt, benchmark_value FROM both_curves) b ON b.dt = s.dt) QUALIFY benchmark_value IS NOT NULL")
+@query("J6_curve_and_benchmark", "portfolio_id:s dt:d log_growth:6 benchmark_log_growth:6", "SELECT portfolio_id, dt, sum(ln(1 + ret)) OVER (PARTITION BY portfolio_id ORDER BY dt) AS log_growth, benchmark_log_growth FROM ("
+       "SELECT s.portfolio_id, s.dt, s.ret, b.benchmark_lg AS benchmark_log_growth FROM scurve s LEFT JOIN (SELECT DISTINCT dt, benchmark_lg FROM both_curves) b ON b.dt = s.dt) QUALIFY benchmark_log_growth IS NOT NULL")
 def _(t):
-    return pb.curve_against_benchmark(smooth(t), t.weights(), bench(t), 10000.0, START)
+    return pb.curve_against_benchmark(t.prices(), t.weights(), t.benchmark(), 10000.0, START)
 
 
 @query("U2_common_dates", "portfolio_id:s n_days:i first_dt:d last_dt:d", """
 SELECT portfolio_id, count(*) AS n_days, min(dt) AS first_dt, max(dt) AS last_dt FROM both_curves GROUP BY 1""")
 def _(t):
-    both = pb.curve_against_benchmark(smooth(t), t.weights(), bench(t), 10000.0, START)
+    both = pb.curve_against_benchmark(t.prices(), t.weights(), t.benchmark(), 10000.0, START)
     return both.groupBy("portfolio_id").agg(F.count("*").alias("n_days"), F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt"))
 
 
-@query("B3_backtest_metrics", "portfolio_id:s curve:s total_return_pct:4 annual_return_pct:4 max_drawdown_pct:4 sharpe:6", """
-WITH full_v AS (SELECT portfolio_id, dt, ret, 10000*product(1 + ret) OVER (PARTITION BY portfolio_id ORDER BY dt) AS value FROM scurve),
-c AS (SELECT f.portfolio_id, f.dt, unnest(['portfolio', 'benchmark']) AS curve, unnest([f.value, b.benchmark_value]) AS v, unnest([f.ret, b.benchmark_ret]) AS r
+@query("B3_backtest_metrics", "portfolio_id:s curve:s log_growth:6 annual_log_growth:6 max_drawdown_pct:4 sharpe:6", """
+WITH full_v AS (SELECT portfolio_id, dt, ret, sum(ln(1 + ret)) OVER (PARTITION BY portfolio_id ORDER BY dt) AS lg FROM scurve),
+c AS (SELECT f.portfolio_id, f.dt, unnest(['portfolio', 'benchmark']) AS curve, unnest([f.lg, b.benchmark_lg]) AS v, unnest([f.ret, b.benchmark_ret]) AS r
   FROM full_v f JOIN both_curves b ON b.portfolio_id = f.portfolio_id AND b.dt = f.dt),
-d AS (SELECT *, v / max(v) OVER (PARTITION BY portfolio_id, curve ORDER BY dt) - 1 AS uw FROM c)
-SELECT portfolio_id, curve, (max_by(v, dt)/min_by(v, dt) - 1)*100 AS total_return_pct, (power(max_by(v, dt)/min_by(v, dt), 365.25/greatest(date_diff('day', min(dt), max(dt)), 1)) - 1)*100 AS annual_return_pct,
+d AS (SELECT *, exp(v - max(v) OVER (PARTITION BY portfolio_id, curve ORDER BY dt)) - 1 AS uw FROM c)
+SELECT portfolio_id, curve, max_by(v, dt) - min_by(v, dt) AS log_growth, (max_by(v, dt) - min_by(v, dt))*365.25/greatest(date_diff('day', min(dt), max(dt)), 1) AS annual_log_growth,
  min(uw)*100 AS max_drawdown_pct, (avg(r)*252 - 0.02)/(stddev_samp(r)*sqrt(252)) AS sharpe FROM d GROUP BY 1, 2""")
 def _(t):
-    return pb.backtest_metrics(smooth(t), t.weights(), bench(t), 10000.0, START)
+    return pb.backtest_metrics(t.prices(), t.weights(), t.benchmark(), 10000.0, START)
 
 
 @query("B4_monthly_buying", "portfolio_id:s period:d invested:2 value:3 profit:3 profit_pct:4", """
