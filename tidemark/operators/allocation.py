@@ -62,14 +62,17 @@ def allocate_budget(scores: DataFrame, targets: DataFrame, budget: float) -> Dat
 
 
 def plan_rollup(plan: DataFrame, scores: DataFrame, budget: float) -> DataFrame:
-    """Allocated and left-over money per portfolio and the symbols left out for want of data."""
-    missing = scores.filter(~F.col("data_ok")).agg(
-        F.concat_ws(",", F.array_sort(F.collect_set("symbol"))).alias("no_data"))
+    """Allocated and left-over money per portfolio, with the number of symbols left out for want of data."""
+    missing = scores.agg(F.count_if(~F.col("data_ok")).alias("n_no_data"))
     total = plan.groupBy("portfolio_id").agg(F.sum("amount").alias("allocated"))
-    return total.join(F.broadcast(missing)).withColumn(
+    return total.join(F.broadcast(missing)).withColumn(  # one row
         "unallocated", F.greatest(F.lit(0.0), dbl(budget) - F.col("allocated")))
 
 
+def symbols_without_data(scores: DataFrame) -> DataFrame:
+    return scores.filter(~F.col("data_ok")).select("symbol")
+
+
 def new_money_plan(holdings: DataFrame, targets: DataFrame, budget: float) -> DataFrame:
     """Spread new money over the symbols furthest below target; nothing is sold.
 

@@ -121,15 +121,17 @@ def required_rate(months: Column, monthly: Column, current: Column, target: Colu
 def goal_progress(goals: DataFrame, assumptions: DataFrame | None = None) -> DataFrame:
     """Savings plan check per goal.
 
-    ``assumptions(risk_profile, mu)`` replaces the preset return where present.
+    ``assumptions(owner_id, mu)`` replaces the preset return for goals whose owner has a row there, as the
+    owner's portfolio gives it (``risk.owner_returns``); ``from_portfolio`` tells which one was used.
+    ``shortfall`` is what the monthly saving lacks, for goals off track.
     """
     preset = F.lit(DEFAULT_RETURN)
     for name, value in EXPECTED_RETURNS.items():
         preset = F.when(F.col("risk_profile") == name, value).otherwise(preset)
     # the rate search folds sixty steps per row
     rows = spread(goals, "goal_id").withColumn("preset_return", preset)
-    rows = rows.join(assumptions, "risk_profile", "left") if assumptions is not None else rows.withColumn("mu", F.lit(None).cast("double"))
-    rows = rows.withColumn("rate", F.coalesce("mu", "preset_return"))
+    rows = rows.join(assumptions.select("owner_id", "mu"), "owner_id", "left") if assumptions is not None else rows.withColumn("mu", F.lit(None).cast("double"))
+    rows = rows.withColumns({"rate": F.coalesce("mu", "preset_return"), "from_portfolio": F.col("mu").isNotNull()})
     m, n = F.col("rate") / 12, F.col("months_remaining").cast("double")
     cur, add, goal = F.col("current_amount"), F.col("monthly_contribution"), F.col("target_amount")
     growth = F.pow(1 + m, n)
@@ -140,10 +142,20 @@ def goal_progress(goals: DataFrame, assumptions: DataFrame | None = None) -> Dat
         "required_pmt": F.greatest(F.lit(0.0), pmt),
         "projected_value": F.when(m > 0, cur * growth + add * (growth - 1) / safe_m).otherwise(cur + add * n)})
     needed = required_rate(F.col("months_remaining"), add, cur, goal)
-    return rows.withColumns({"required_return": needed, "on_track": add >= F.col("required_pmt") * ON_TRACK_SHARE}).withColumn(
+    on_track = add >= F.col("required_pmt") * ON_TRACK_SHARE
+    lacking = F.when(~on_track, F.col("required_pmt") - add)
+    return rows.withColumns({"required_return": needed, "on_track": on_track, "shortfall": lacking}).withColumn(
         "warning", F.coalesce(F.coalesce("required_return", "rate") > F.col("preset_return") * 1.2, F.lit(False)))
 
 
+def goal_allocation(goals: DataFrame, weights: DataFrame, default: str = "moderate") -> DataFrame:
+    """The mix of each goal's risk profile as rows; an unknown profile takes the default's."""
+    known = weights.select(F.col("portfolio_id").alias("profile"), "symbol", "weight")
+    named = goals.join(known.select(F.col("profile").alias("risk_profile")).distinct().withColumn("known", F.lit(True)), "risk_profile", "left")
+    profile = F.when(F.col("known"), F.col("risk_profile")).otherwise(F.lit(default))
+    return named.select("goal_id", profile.alias("profile")).join(known, "profile").select("goal_id", "symbol", "weight")
+
+
 def months_until(target_date: Column, as_of) -> Column:
     """Calendar months left, at least 1 for a valid date and 0 without one."""
     day = target_date.try_cast("date")

@@ -35,11 +35,15 @@ def normalize_ledger(raw: DataFrame) -> DataFrame:
             raw = raw.withColumn(name, F.lit(None).cast("string"))
     kind = F.lower(F.trim(F.coalesce(F.col("tx_type"), F.lit(""))))
     tx_id = F.trim("tx_id")
-    # a blank id is derived from the row and its place in the input, so a retried task repeats it
-    made_id = F.sha2(F.concat_ws("|", *raw.columns, F.monotonically_increasing_id().cast("string")), 256)
+    # a blank id is derived from the row and a running number among equal rows, so any reading repeats it
+    content = F.to_json(F.struct(*raw.columns))
+    blank = F.coalesce(F.length(tx_id) == 0, F.lit(True))
+    nth = F.row_number().over(Window.partitionBy("_content").orderBy("_content"))
+    without = raw.filter(blank).withColumn("_content", content).withColumn("_made", F.sha2(F.concat_ws("|", "_content", nth), 256)).drop("_content")
+    raw = raw.filter(~blank).withColumn("_made", F.lit(None).cast("string")).unionByName(without)
     keys = [c for c in ("portfolio_id",) if c in raw.columns]
     typed = raw.select(
-        *keys, F.when(F.length(tx_id) > 0, tx_id).otherwise(made_id).alias("tx_id"),
+        *keys, F.coalesce("_made", tx_id).alias("tx_id"),
         F.col("date").try_cast("date").alias("date"), F.upper(F.trim("ticker")).alias("ticker"),
         number_or_null(F.col("shares")).alias("shares"), number_or_null(F.col("price_usd")).alias("price_usd"),
         F.coalesce(number_or_null(F.col("fx_rate_thb")), dbl(DEFAULT_FX)).alias("fx_rate_thb"),

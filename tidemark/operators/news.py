@@ -76,10 +76,15 @@ def title_key(title: Column) -> Column:
 
 
 def attach_articles(verdicts: DataFrame, articles: DataFrame, position: str) -> DataFrame:
-    """Each verdict with its source article by normalised title; the latest of equal titles wins."""
-    named = articles.withColumn("k", title_key(F.col("title"))).filter(F.length("k") > 0)
-    one = named.groupBy("symbol", "k").agg(F.max_by(F.struct("url", position), position).alias("a")).select("symbol", "k", "a.*")
-    return verdicts.withColumn("k", title_key(F.col("title"))).join(one, ["symbol", "k"], "left").drop("k")
+    """Each verdict with its source article by normalised title; the latest of equal titles wins.
+
+    Titles may be whole texts, so two 64-bit hashes of the title are the key and no text is shuffled for it.
+    """
+    key = title_key(F.col("title"))
+    hashes = {"k1": F.xxhash64(key), "k2": F.xxhash64(F.reverse(key), F.length(key))}
+    named = articles.filter(F.length(key) > 0).withColumns(hashes)
+    one = named.groupBy("symbol", "k1", "k2").agg(F.max_by(F.struct("url", position), position).alias("a")).select("symbol", "k1", "k2", "a.*")
+    return verdicts.withColumns(hashes).join(one, ["symbol", "k1", "k2"], "left").drop("k1", "k2")
 
 
 def parse_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:

@@ -75,11 +75,11 @@ def forward_fill(panel: DataFrame, value: str = "close") -> DataFrame:
             .select("symbol", "dt", "day_no", value, (F.col("dt") != F.col("bar_dt")).alias("filled")))
 
 
-def common_history(panel: DataFrame, weights: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def common_history(panel: DataFrame, weights: DataFrame, keep: tuple[str, ...] = (), least_days: int = 1) -> DataFrame:
     """Rows ``(portfolio_id, symbol, dt, close, weight)`` on days where every weighted symbol has a price.
 
     Weights above zero only; symbols without any price are left out and the rest renormalised. ``keep`` names
-    further columns of the panel. A portfolio with fewer than two such days is an error.
+    further columns of the panel. With ``least_days=2`` a portfolio that has a single such day is an error.
     """
     held = weights.filter(F.col("weight") > 0).select("portfolio_id", "symbol", "weight")
     # symbols are unique within a panel, so one aggregate row per symbol is enough to test presence
@@ -93,6 +93,8 @@ def common_history(panel: DataFrame, weights: DataFrame, keep: tuple[str, ...] =
     on_day = Window.partitionBy("portfolio_id", "dt")
     common = (rows.withColumn("n_priced", F.count("*").over(on_day))
               .filter(F.col("n_priced") == F.col("n_symbols")).drop("n_priced", "n_symbols"))
+    if least_days < 2:
+        return common
     per_pf = Window.partitionBy("portfolio_id")
     too_short = F.min("dt").over(per_pf) == F.max("dt").over(per_pf)
     message = F.concat(F.lit("fewer than two common days for portfolio "), F.col("portfolio_id").cast("string"))

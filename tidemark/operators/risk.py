@@ -32,12 +32,14 @@ def risk_table(prices: DataFrame, risk_free: float = RISK_FREE, days: int = TRAD
 def correlation_pairs(prices: DataFrame, block: int = CORR_BLOCK) -> DataFrame:
     """Pearson correlation of daily returns for each symbol pair, on the days both have one.
 
-    Symbols are hashed into tiles; each tile pair is one group of at most two blocks of symbols
-    by the days covered, and its sums are matrix products. No row is emitted per pair and day.
+    Symbols are hashed into tiles of about ``block`` symbols, and into so many at least that the tile pairs give
+    every shuffle partition work; each tile pair is one group of two blocks of symbols by the days covered,
+    and its sums are matrix products. No row is emitted per pair and day.
     """
     rets = daily_returns(prices)
+    least = math.ceil(math.sqrt(2 * int(prices.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     n_blocks = rets.select(F.ceil(F.count_distinct("symbol") / block).alias("n")).scalar()
-    tiled = rets.withColumn("n_blocks", F.greatest(n_blocks, F.lit(1)).cast("int")).withColumn(
+    tiled = rets.withColumn("n_blocks", F.greatest(n_blocks, F.lit(least)).cast("int")).withColumn(
         "tile", F.pmod(F.xxhash64("symbol"), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     keyed = tiled.withColumn("other", other).select(
@@ -115,6 +117,22 @@ def portfolio_mu_sigma(prices: DataFrame, weights: DataFrame, days: int = TRADIN
     return out.withColumn("usable", F.coalesce(F.col("sigma") > 0, F.lit(False)))
 
 
+def owner_returns(prices: DataFrame, weights: DataFrame, days: int = TRADING_DAYS) -> DataFrame:
+    """Yearly mean return per portfolio on days where all its symbols have a return (as ``portfolio_mu_sigma``).
+
+    The mean is linear in the weights, so symbols' means are taken once per distinct set of symbols and day
+    rows never fan out to portfolios. Portfolios without any common day are absent.
+    """
+    mix = weights.filter(F.col("weight") > 0).select("portfolio_id", "symbol", "weight")
+    sets = mix.groupBy("portfolio_id").agg(F.array_sort(F.collect_set("symbol")).alias("set"))  # a portfolio's own symbols
+    rows = (sets.select("set").distinct().select("set", F.explode("set").alias("symbol"))
+            .join(daily_returns(prices).select("symbol", "dt", "ret"), "symbol"))
+    common = rows.withColumn("n", F.count("*").over(Window.partitionBy("set", "dt"))).filter(F.col("n") == F.size("set"))
+    means = common.groupBy("set", "symbol").agg(F.avg("ret").alias("mean"))
+    return (mix.join(sets, "portfolio_id").join(means, ["set", "symbol"]).groupBy("portfolio_id")
+            .agg((F.sum(F.col("weight") * F.col("mean")) / F.sum("weight") * days).alias("mu")))
+
+
 def annual_return_stats(prices: DataFrame) -> DataFrame:
     """Mean and sample deviation of year-end to year-end returns, and the mean of the last three."""
     years = resample_last(prices, year_end)

@@ -22,7 +22,6 @@ PRESETS = {
     "overbought_warning": ("AND", [("rsi", "gt", 70.0, "RSI > 70 (overbought)"),
                                    ("macd_cross", "cross_down", None, "MACD bearish crossover")]),
 }
-DAILY_PRESETS = ("oversold_momentum", "golden_cross_alert", "bb_breakout_watch", "overbought_warning")
 
 
 def score_columns(dividend: Column | None) -> dict[str, Column]:

@@ -32,7 +32,7 @@ def portfolio_curve(panel: DataFrame, weights: DataFrame, capital: float = 10000
     if start is not None:
         filled = filled.filter(F.col("dt") >= F.lit(start).cast("date"))
     step = F.col("close") / F.lag("close").over(Window.partitionBy("symbol").orderBy("dt")) - 1
-    rows = common_history(filled.withColumn("r", step), weights, keep=("r",))
+    rows = common_history(filled.withColumn("r", step), weights, keep=("r",), least_days=2)
     first = F.min("dt").over(Window.partitionBy("portfolio_id"))
     daily = rows.groupBy("portfolio_id", "dt").agg(F.sum(F.col("r") * F.col("weight")).alias("ret"))
     ret = F.when(F.col("dt") == first, 0.0).otherwise(F.coalesce("ret", F.lit(0.0)))

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import household as hh
-from tidemark.queries.ledger import held
+from tidemark.operators import risk
+from tidemark.queries.ledger import held, holding_values
 from tidemark.queries.oracle_ctes import CTES
 from tidemark.queries.registry import query
 from tidemark.sources import sinks
@@ -94,6 +95,33 @@ def _(t):
     return hh.goal_progress(t.goals())
 
 
+CTES["owner_mu"] = """
+SELECT portfolio_id, avg(r)*252 AS mu FROM (
+ SELECT w.portfolio_id, p.dt, sum(p.ret*w.w) AS r FROM (SELECT portfolio_id, ticker, current_value_thb/sum(current_value_thb) OVER (PARTITION BY portfolio_id) AS w,
+  count(*) OVER (PARTITION BY portfolio_id) AS k FROM holdings WHERE price_ok AND current_value_thb > 0) w
+ JOIN px p ON p.symbol = w.ticker WHERE p.ret IS NOT NULL GROUP BY 1, 2 HAVING count(*) = max(w.k)) GROUP BY 1"""
+
+
+@query("C20_owner_goal_progress", "goal_id:i rate:6 from_portfolio:b required_pmt:3 shortfall:3 projected_log:6 on_track:b", """
+WITH r AS (SELECT g.*, mu IS NOT NULL AS from_portfolio, months_remaining AS n,
+ coalesce(mu, CASE risk_profile WHEN 'conservative' THEN 0.07 WHEN 'moderate' THEN 0.09 ELSE 0.12 END) AS rate FROM goals g LEFT JOIN owner_mu o ON o.portfolio_id = g.goal_id),
+v AS (SELECT *, rate/12 AS m, power(1 + rate/12, n) AS gr FROM r),
+p AS (SELECT *, greatest(0, CASE WHEN m = 0 THEN (target_amount - current_amount)/n ELSE (target_amount - current_amount*gr)*m/(gr - 1) END) AS required_pmt,
+ CASE WHEN m > 0 THEN current_amount*gr + monthly_contribution*(gr - 1)/m ELSE current_amount + monthly_contribution*n END AS projected FROM v)
+SELECT goal_id, rate, from_portfolio, required_pmt, CASE WHEN monthly_contribution < required_pmt*0.85 THEN required_pmt - monthly_contribution END AS shortfall,
+ ln(projected) AS projected_log, monthly_contribution >= required_pmt*0.85 AS on_track FROM p""")
+def _(t):
+    values = holding_values(t).withColumnRenamed("value", "weight")
+    owner = risk.owner_returns(t.prices(), values).select(F.col("portfolio_id").alias("owner_id"), "mu")
+    return hh.goal_progress(t.goals(), owner).withColumn("projected_log", F.log("projected_value"))
+
+
+@query("C20_goal_allocation", "goal_id:i symbol:s weight:4", """
+SELECT goal_id, symbol, weight FROM goals JOIN weights w ON w.portfolio_id = risk_profile""")
+def _(t):
+    return hh.goal_allocation(t.goals(), t.weights())
+
+
 @query("A24_goal_summary", "goal_id:i on_track:b n_goals:i", """
 SELECT goal_id, monthly_contribution >= required_pmt*0.85 AS on_track, count(*) OVER (PARTITION BY monthly_contribution >= required_pmt*0.85) AS n_goals FROM gprog""")
 def _(t):

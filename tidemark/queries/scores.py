@@ -8,6 +8,7 @@ from tidemark.operators import indicators as ind
 from tidemark.operators import scoring as sc
 from tidemark.operators import valuation as va
 from tidemark.queries.oracle_ctes import CTES
+from tidemark.operators.ranking import numbered
 from tidemark.queries.registry import query
 from tidemark.sources.adapters import TARGETS
 
@@ -81,8 +82,8 @@ def _(t):
     return al.allocate_budget(sc.symbol_scores(t.prices(), t.fundamentals()), t.weights(), BUDGET)
 
 
-@query("C17_plan_rollup", "portfolio_id:s allocated:i unallocated:2 no_data:s", """
-SELECT portfolio_id, sum(amount) AS allocated, 12300.0 - sum(amount) AS unallocated, '' AS no_data FROM plan GROUP BY 1""")
+@query("C17_plan_rollup", "portfolio_id:s allocated:i unallocated:2 n_no_data:i", """
+SELECT portfolio_id, sum(amount) AS allocated, 12300.0 - sum(amount) AS unallocated, 0 AS n_no_data FROM plan GROUP BY 1""")
 def _(t):
     scores = sc.symbol_scores(t.prices(), t.fundamentals())
     return al.plan_rollup(al.allocate_budget(scores, t.weights(), BUDGET), scores, BUDGET)
@@ -251,9 +252,9 @@ def _(t):
 @query("K1_score_ranking", "symbol:s total_pct:1 rank:i", """
 SELECT symbol, total_pct, row_number() OVER (ORDER BY total_pct DESC NULLS LAST, symbol) AS rank FROM scores""")
 def _(t):
-    from pyspark.sql import Window
-    ranked = Window.orderBy(F.col("total_pct").desc_nulls_last(), "symbol")  # one row per symbol
-    return sc.symbol_scores(t.prices(), t.fundamentals()).withColumn("rank", F.row_number().over(ranked))
+    rows = sc.symbol_scores(t.prices(), t.fundamentals()).withColumn("all", F.lit(1))
+    down = -F.coalesce(F.col("total_pct"), F.lit(-1.0))  # scores lie in 0..100, those without one come last
+    return numbered(rows, ["all"], [F.floor(down * 10)], [down, F.col("symbol")], "rank")
 
 
 CTES["screen_rows"] = """

@@ -125,7 +125,7 @@ class Domain:
     def goals(self) -> DataFrame:
         key = F.col("c_custkey")
         return self.table("customer").select(
-            key.alias("goal_id"), (key * 100 + 100000).cast("double").alias("target_amount"),
+            key.alias("goal_id"), key.alias("owner_id"), (key * 100 + 100000).cast("double").alias("target_amount"),
             F.greatest("c_acctbal", F.lit(0.0)).alias("current_amount"),
             (key % 50 * 20 + 500).cast("double").alias("monthly_contribution"),
             (key % 120 + 12).cast("int").alias("months_remaining"),

@@ -86,8 +86,3 @@ def snapshot_rows(snapshots: DataFrame) -> DataFrame:
     return out.withColumns({
         "net_worth_thb": F.col("total_assets_thb") - F.col("total_liabilities_thb"),
         "assets_json": F.to_json("assets"), "liabilities_json": F.to_json("liabilities")})
-
-
-def latest_version(table: DataFrame, key: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(F.desc(order))
-    return table.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
