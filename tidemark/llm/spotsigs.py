@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import cut, order_id, text_key
+from tidemark.llm.tables import LOWEST_ID, cut, order_id, text_key
 
 CHAIN = 3
 # fixed values: frequent function words of English, German, French and Spanish
@@ -84,17 +84,19 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     of the next document, or all of them. A null text is empty; a single document is its own next.
     """
     follow = cut(next_documents(docs))
-    texts = docs.select(F.col("doc_id").cast("bigint"), order_id().alias("oid"), text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    # both uses of the texts need the same columns, so that they are shuffled once and read twice
+    texts = docs.select(order_id().alias("oid"), text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     wanted = follow.select(F.col("next_oid").alias("oid"), F.col("next_key").alias("key"), F.col("oid").alias("for_oid"), F.col("key").alias("for_key"),
                            F.floor(F.col("n_chars") / 3).cast("int").alias("m"))
     # rows that repeat id and text give the same answer; one of them is enough
-    given = (texts.drop("doc_id").join(wanted, ["oid", "key"])
+    given = (texts.join(wanted, ["oid", "key"])
              .select(F.col("for_oid").alias("oid"), F.col("for_key").alias("key"), F.substring("text", F.lit(1), F.col("m")).alias("lent"),
                      signature_set("text").alias("next_sigs")).dropDuplicates(["oid", "key"]))
     rows = texts.join(given, ["oid", "key"]).withColumn("n_chars", F.char_length("text"))
     kept = F.col("n_chars") - F.floor(F.col("n_chars") / 3)
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept.cast("int")), F.col("lent")))
-    return rows.select("doc_id", F.col("n_chars").cast("bigint").alias("n_chars"), "edited", signature_set("text").alias("sigs"),
+    doc_id = F.when(F.col("oid") != LOWEST_ID, F.col("oid")).alias("doc_id")
+    return rows.select(doc_id, F.col("n_chars").cast("bigint").alias("n_chars"), "edited", signature_set("text").alias("sigs"),
                        signature_set("edited").alias("edited_sigs"), "next_sigs")
 
 
