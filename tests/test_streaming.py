@@ -36,3 +36,30 @@ def test_alert_fires_once_and_late_ticks_change_nothing(spark, tmp_path):
     live.start_alert_latch(live.read_ticks(spark, src), alerts, out, ck).awaitTermination(120)
     got = sorted((r["alert_id"], r["triggered_price"], (r["triggered_at"] - T0).seconds) for r in spark.read.parquet(out).collect())
     assert got == [("down", 94.0, 40), ("up", 106.0, 20)]
+
+
+def test_alerts_added_later_join_and_three_batches_latch(spark, tmp_path):
+    src, out, ck, book = (str(tmp_path / n) for n in ("src", "out", "ck", "book"))
+    kind = "alert_id string, ticker string, alert_type string, price double, triggered boolean"
+    spark.createDataFrame([("up", "A", "above", 105.0, False)], kind).write.parquet(book)
+    for batch, late in (([("A", 10, 106.0, 1), ("A", 11, 120.0, 2)], ("low", "A", "below", 95.0, False)),
+                        ([("A", 20, 94.0, 3), ("A", 21, 110.0, 4)], ("top", "A", "above", 119.0, False)),
+                        ([("A", 30, 118.0, 5), ("A", 31, 119.0, 6), ("A", 32, 90.0, 7)], None)):
+        put(spark, src, batch)
+        live.start_alert_latch(live.read_ticks(spark, src), lambda: spark.read.schema(kind).parquet(book), out, ck).awaitTermination(120)
+        if late:
+            spark.createDataFrame([late], kind).write.mode("append").parquet(book)
+    got = sorted((r["alert_id"], r["triggered_price"], r["batch"]) for r in spark.read.parquet(out).collect())
+    assert got == [("low", 94.0, 1), ("top", 119.0, 2), ("up", 106.0, 0)]
+
+
+def test_extremes_keep_every_first_hit(spark):
+    rows = [("A", T0 + dt.timedelta(minutes=7 * i), float((i * 37) % 23), i) for i in range(200)]
+    ticks = spark.createDataFrame(rows, SCHEMA)
+    kept = live.extremes(ticks)
+    assert kept.count() < ticks.count()
+    for target in range(24):
+        first = min((r[1] for r in rows if r[2] >= target), default=None)
+        assert kept.filter(f"price >= {target}").agg({"ts": "min"}).first()[0] == first
+        first = min((r[1] for r in rows if r[2] <= target), default=None)
+        assert kept.filter(f"price <= {target}").agg({"ts": "min"}).first()[0] == first

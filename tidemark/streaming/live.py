@@ -5,7 +5,9 @@ Both jobs take a DataFrame, so the same code serves a stream and a finished tabl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,29 +48,43 @@ def start_snapshot(ticks: DataFrame, previous_close: DataFrame, out: str, checkp
             .trigger(availableNow=True).foreachBatch(write).start())
 
 
+def extremes(ticks: DataFrame) -> DataFrame:
+    """Ticks that set a new high or low of their symbol within their hour: only these can be the first to reach a target.
+
+    A symbol with most of the ticks is spread over its hours, and few of its ticks are left for the join with alerts.
+    """
+    before = (Window.partitionBy("symbol", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    rows = ticks.withColumns({"_high": F.max("price").over(before), "_low": F.min("price").over(before)})
+    new = F.col("_high").isNull() | (F.col("price") > F.col("_high")) | (F.col("price") < F.col("_low"))
+    return rows.filter(new).drop("_high", "_low")
+
+
 def first_hits(ticks: DataFrame, alerts: DataFrame) -> DataFrame:
     """Earliest tick that satisfies each pending alert (partial minimum per alert, then one row)."""
     pending = alerts.filter(~F.col("triggered")).select("alert_id", F.col("ticker").alias("symbol"), "alert_type", F.col("price").alias("target"))
-    hits = ticks.join(pending, "symbol").filter(price_alert_hit(F.col("alert_type"), F.col("price"), F.col("target")))
+    hits = extremes(ticks).join(pending, "symbol").filter(price_alert_hit(F.col("alert_type"), F.col("price"), F.col("target")))
     first = F.min_by(F.struct("ts", "price"), F.struct("ts", "event_id"))
     return hits.groupBy("alert_id").agg(first.alias("f")).select(
         "alert_id", F.col("f.ts").alias("triggered_at"), F.col("f.price").alias("triggered_price"))
 
 
-def start_alert_latch(ticks: DataFrame, alerts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Fire each alert once. Spent alerts live in ``out``; a late tick cannot change them.
+def start_alert_latch(ticks: DataFrame, alerts: DataFrame | Callable[[], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Fire each alert once; a late tick cannot change a spent alert.
 
-    Every micro-batch writes its own ``batch=<n>`` folder and looks only at earlier ones, so a
-    repeated batch replaces its own output and nothing fires twice.
+    ``alerts`` may be a function that reads the alerts anew for every micro-batch, so later alerts join in. A
+    micro-batch writes its hits to ``out/batch=<n>`` and all spent ids, which are no more than alerts, to
+    ``<out>-spent/batch=<n>``; it reads only the spent ids of the batch before. A repeated batch replaces its own output.
     """
     spark = ticks.sparkSession
-    schema = "alert_id string, triggered_at timestamp, triggered_price double, batch bigint"
 
     def latch(batch: DataFrame, batch_id: int) -> None:
-        new = first_hits(batch, alerts)
-        spark.createDataFrame([], schema).drop("batch").write.mode("append").parquet(f"{out}/batch=-1")
-        spent = spark.read.schema(schema).parquet(out).filter(F.col("batch") < batch_id).select("alert_id")
-        new.join(spent, "alert_id", "left_anti").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spent = (spark.read.schema("alert_id string").parquet(f"{out}-spent/batch={batch_id - 1}") if batch_id
+                 else spark.createDataFrame([], "alert_id string"))
+        new = first_hits(batch, alerts() if callable(alerts) else alerts).join(spent, "alert_id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        fired = spark.read.schema(new.schema).parquet(f"{out}/batch={batch_id}").select("alert_id")
+        spent.unionByName(fired).coalesce(1).write.mode("overwrite").parquet(f"{out}-spent/batch={batch_id}")
 
     return (ticks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
             .foreachBatch(latch).start())
