@@ -1,6 +1,5 @@
 import datetime as dt
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

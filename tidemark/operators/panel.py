@@ -98,7 +98,8 @@ def common_history(panel: DataFrame, weights: DataFrame, keep: tuple[str, ...] =
     per_pf = Window.partitionBy("portfolio_id")
     too_short = F.min("dt").over(per_pf) == F.max("dt").over(per_pf)
     message = F.concat(F.lit("fewer than two common days for portfolio "), F.col("portfolio_id").cast("string"))
-    return common.withColumn("close", F.when(too_short, F.raise_error(message).cast("double")).otherwise(F.col("close")))
+    checked = common.withColumn("_short", too_short)
+    return checked.filter(F.when(F.col("_short"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).drop("_short")
 
 
 def month_end(day: Column) -> Column:
