@@ -107,5 +107,5 @@ def test_sentiment_rollup_and_ties(spark):
 def test_news_dedupe_and_undated_last(spark):
     rows = [("A", "u1", 2, "2025-01-02T00:00:00Z"), ("A", "u1", 1, "2025-01-01T00:00:00Z"), ("A", " ", 1, None), ("A", "u2", 1, "not a date"), ("A", "u3", 1, "2025-01-03T08:00:00+07:00")]
     df = spark.createDataFrame(rows, "symbol string, url string, source_priority int, published_at string")
-    got = [r["url"] for r in nw.newest_news(df, nw.parse_time(F.col("published_at")), [F.col("url")]).orderBy("rank").collect()]
+    got = [r["url"] for r in nw.newest_news(df, nw.parse_time(F.col("published_at")), F.col("published_at"), [F.col("url")]).orderBy("rank").collect()]
     assert got == ["u3", "u1", "u2"]
