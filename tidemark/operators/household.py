@@ -105,8 +105,11 @@ def emergency_fund(profiles: DataFrame) -> DataFrame:
     return out.withColumn("months_to_goal", F.when((F.col("gap") > 0) & (saving > 0), F.ceil(F.col("gap") / F.when(saving > 0, saving))))
 
 
-def required_rate(months: Column, monthly: Column, current: Column, target: Column) -> Column:
-    """Yearly return that turns today's amount plus monthly savings into the target; NULL if none."""
+def required_rate(months: Column, monthly: Column, current: Column, target: Column, low: float = -0.99, high: float = 1.0) -> Column:
+    """Yearly return that turns today's amount plus monthly savings into the target.
+
+    The monthly rate is sought between ``low`` and ``high``; NULL where none lies there (-99 % to 100 % a month by default).
+    """
     n = months.cast("double")
 
     def gap(rate: Column) -> Column:
@@ -114,7 +117,7 @@ def required_rate(months: Column, monthly: Column, current: Column, target: Colu
         annuity = F.when(F.abs(rate) < 1e-12, n).otherwise((grown - 1) / F.when(F.abs(rate) >= 1e-12, rate))
         return current * grown + monthly * annuity - target
 
-    root = bisect_root(gap, -0.99, 1.0, 60)
+    root = bisect_root(gap, low, high, 60)
     return F.when((months > 0) & ((monthly > 0) | (current > 0)), F.pow(1 + root, 12) - 1)
 
 
