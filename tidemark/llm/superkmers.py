@@ -134,7 +134,7 @@ def pack_batch(oids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets:
     own = first == np.arange(len(starts))
     again = starts[~own]
     for oid, key, spans in marks(oids[rows][owner[again]], keys[rows][owner[again]], again - base[owner[again]], window):
-        yield key % buckets, oid, key, spans, None
+        yield (oid * 1_000_003 + key) % buckets, oid, key, spans, None  # both, since copies share their text key
 
     least = sliding_minimum(rolling.at(np.arange(n - TRIPLE + 1), TRIPLE), window - TRIPLE + 1)[starts]
     sent, least = starts[own], least[own]
