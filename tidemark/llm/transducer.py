@@ -48,8 +48,6 @@ class Vocabulary:
         self.ids = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rank = {tuple(bytes(alphabet[c] for c in half) for half in m): r for r, m in enumerate(pairs)}
-        self.halves = {a + b: (a, b) for (a, b) in reversed(self.rank)}  # the first merge that makes a token
-        self.openings = {t[:n] for t in self.ids for n in range(1, len(t))}
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Plain byte-pair merging, lowest rank first."""
@@ -71,22 +69,13 @@ class Vocabulary:
         return parts
 
 
-    def seam(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
-        """Parts of a token that lie at its left (0) or right (1) end, each with the rank of the merge that ends it."""
-        out, end = [], len(self.rank)
-        while True:
-            out.append((token, end))
-            halves = self.halves.get(token)
-            if halves is None:
-                return out
-            token, end = halves[side], self.rank[halves]
-
-
 class PieceCounter:
     """The second transducer, compiled on demand; also remembers the counts of pieces."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
+        self.halves = {a + b: (a, b) for (a, b) in reversed(self.vocabulary.rank)}  # the first merge that makes a token
+        self.openings = {t[:n] for t in self.vocabulary.ids for n in range(1, len(t))}
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.seams: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}  # at most two for each token
         self.whole = {t for t in self.vocabulary.ids if self.vocabulary.merge(t) == [t]}
@@ -115,9 +104,17 @@ class PieceCounter:
                    if (r := rank((part, first), none)) < none)
 
     def seam(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        """Parts of a token that lie at its left (0) or right (1) end, each with the rank of the merge that ends it."""
         known = self.seams.get((token, side))
         if known is None:
-            known = self.seams[token, side] = self.vocabulary.seam(token, side)
+            known, part, end = [], token, len(self.vocabulary.rank)
+            while True:
+                known.append((part, end))
+                halves = self.halves.get(part)
+                if halves is None:
+                    break
+                part, end = halves[side], self.vocabulary.rank[halves]
+            self.seams[token, side] = known
         return known
 
     def compile(self, state: int, byte: int) -> tuple[int, int]:
@@ -128,7 +125,7 @@ class PieceCounter:
             grown = opened + x
             if len(grown) > len(token) and grown in self.vocabulary.ids and self.fit(before, grown):
                 token, added = grown, count + 1
-            if grown in self.vocabulary.openings:
+            if grown in self.openings:
                 alive.append((grown, before, count))
         nxt = (*((o, b, c - added) for o, b, c in alive), (b"", token, 0))
         number = self.numbers.get(nxt)

@@ -26,7 +26,7 @@ from tidemark.llm.pretokens import split_pieces
 from tidemark.llm.tables import bounded
 from tidemark.llm.transducer import Vocabulary
 
-BLOCK = 8_000_000  # characters of a block
+BLOCK = 4_000_000  # characters of a block
 
 
 class Codec:
