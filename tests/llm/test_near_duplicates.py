@@ -69,7 +69,7 @@ def test_large_buckets_lose_no_component(spark, radius, monkeypatch):
     fps = {base ^ sum(1 << b for b in rng.sample(range(20), rng.randint(0, 7))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)}
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     monkeypatch.setattr(simhash, "SMALL_BUCKET", 4)
-    pairs = simhash.close_pairs(spark.createDataFrame([(f, f) for f in signed], "id bigint, fp bigint"), radius).collect()
+    pairs = simhash.close_pairs(spark.createDataFrame([(f, [f]) for f in signed], "id bigint, fps array<bigint>"), 1, radius).collect()
     every = [(a, b) for a, b in itertools.combinations(signed, 2) if bin((a ^ b) & (2 ** 64 - 1)).count("1") <= radius]
     assert union(signed, [(r.a, r.b) for r in pairs]) == union(signed, every)
     assert all(bin((r.a ^ r.b) & (2 ** 64 - 1)).count("1") <= radius for r in pairs)

@@ -75,40 +75,71 @@ def apart(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def close_pairs(nodes: DataFrame, radius: int = 2) -> DataFrame:
-    """Pairs (a, b), a < b, of ids of ``nodes`` (id, fp) that lie within ``radius`` bits.
+def close_pairs(nodes: DataFrame, count: int = 1, radius: int = 2, checked: bool = False) -> DataFrame:
+    """Pairs (a, b), a < b, of ids of ``nodes`` (id, fps) with one of ``count`` fingerprints within ``radius`` bits.
 
+    Only a hash of the bucket and the id are shuffled; buckets with a single member go before anything else.
     Small buckets give all their pairs within the radius. In a large bucket every member names the values
     within ``radius // 2`` bits of it in the hidden positions, and members that name the same value -
     which are within ``radius`` of each other - are paired with the least of them: as many rows as
     members times a constant, never all pairs. Every two nodes within the radius are joined by the pairs,
     directly or over the least member that both are paired with. The radius must be even for this.
+
+    ``checked`` says that the caller compares the texts of every pair. Then links over a third member prove nothing, and
+    a large bucket gives pairs with its hubs instead (``hub_pairs``).
     """
     if radius % 2:
         raise ValueError("radius must be even")
     masks = covering_masks(radius)
-    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k"))
-                               for i, m in enumerate(masks)]))
-    buckets = nodes.select("id", "fp", keys.alias("s")).select("id", "fp", "s.t", "s.k")
-    sizes = buckets.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(buckets.join(sizes, ["t", "k"]))
-
-    small = (members.where(F.col("n") <= SMALL_BUCKET).groupBy("t", "k").agg(F.collect_list(F.struct("id", "fp")).alias("all"))
+    tables = [(i, m) for i in range(count) for m in masks]
+    keys = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), F.xxhash64(F.lit(o), F.col("fps")[i].bitwiseAND(F.lit(m))).alias("k"))
+                               for o, (i, m) in enumerate(tables)]))
+    buckets = nodes.select("id", keys.alias("s")).select("id", "s.o", "s.k")
+    sizes = buckets.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    which = (F.col("o") / len(masks)).cast("int")
+    members = cut(buckets.join(sizes, "k").join(nodes.select("id", "fps"), "id")
+                  .select("k", "n", "o", "id", which.alias("i"), F.get("fps", which).alias("fp")))
+
+    small = (members.where(F.col("n") <= SMALL_BUCKET).groupBy("k").agg(F.collect_list(F.struct("id", "fp")).alias("all"))
              .select("all", F.explode("all").alias("x")))
     other = F.filter("all", lambda y: (y["id"] > F.col("x.id")) & (apart(y["fp"], F.col("x.fp")) <= radius))
     small = small.select(F.col("x.id").alias("a"), F.explode(other).alias("y")).select("a", F.col("y.id").alias("b"))
 
-    hidden = F.element_at(F.array(*[F.lit(~m) for m in masks]), F.col("t") + 1)
-    around = members.where(F.col("n") > SMALL_BUCKET).withColumns({"z": F.col("fp"), "free": hidden})
+    of_large = members.where(F.col("n") > SMALL_BUCKET)
+    large = hub_pairs(of_large) if checked else neighbour_pairs(of_large, masks, radius)
+    return small.unionByName(large).distinct()
+
+
+def neighbour_pairs(members: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """Pairs that join all members of large buckets within the radius, by the values between them."""
+    hidden = F.element_at(F.array(*[F.lit(~m) for m in masks]), F.col("o") % len(masks) + 1)
+    around = members.select("id", "i", F.col("fp").alias("z"), hidden.alias("free"))
     for _ in range(radius // 2):
         steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)),
                          lambda bit: F.col("free").bitwiseAND(bit) != 0)
         steps = F.concat(F.array(F.lit(0).cast("bigint")), steps)
-        around = (around.select("t", "k", "id", "free", F.explode(F.transform(steps, lambda s: F.col("z").bitwiseXOR(s))).alias("z"))
-                  .distinct())
-    least = around.groupBy("z").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("z", "a")
-    large = around.join(least, "z").select("a", F.col("id").alias("b")).where("a != b")
-    return small.unionByName(large).distinct()
+        around = around.select("id", "i", "free", F.explode(F.transform(steps, lambda s: F.col("z").bitwiseXOR(s))).alias("z"))
+    around = around.select("i", "z", "id").distinct()
+    least = around.groupBy("i", "z").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("i", "z", "a")
+    return around.join(least, ["i", "z"]).select("a", F.col("id").alias("b")).where("a != b")
+
+
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of each member of a large bucket with the bucket's least id and with its most central member.
+
+    The centre has the majority bit in every place; around an original with many edited copies it is the original.
+    """
+    bits = [F.sum(F.getbit("fp", F.lit(b)).cast("int")).alias(f"b{b}") for b in range(64)]
+    one = [(1 << b) - (1 << 64) if b == 63 else 1 << b for b in range(64)]
+    centre = F.lit(0).cast("bigint")
+    for b in range(64):
+        centre = centre.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("size"), F.lit(one[b]).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    centres = cut(members.groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("size"), *bits).select("k", "least", centre.alias("centre")))
+    near = members.join(centres, "k")
+    hubs = cut(near.groupBy("k").agg(F.min("least").alias("least"), F.min(F.struct(apart("fp", "centre").alias("d"), "id")).alias("hub"))
+               .select("k", F.array_distinct(F.array("least", "hub.id")).alias("hubs")))
+    pairs = members.join(hubs, "k").select("id", F.explode("hubs").alias("h")).where("id != h")
+    return pairs.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -122,7 +153,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 def group_fingerprints(rows: DataFrame, radius: int) -> DataFrame:
     nodes = cut(rows.groupBy("fp").agg(F.min(order_id()).alias("first")))
-    labels = components(close_pairs(nodes.select(F.col("fp").alias("id"), "fp"), radius), "a", "b")
+    labels = components(close_pairs(nodes.select(F.col("fp").alias("id"), F.array("fp").alias("fps")), 1, radius), "a", "b")
     joined = cut(nodes.join(labels, F.col("fp") == F.col("node"), "left")
                  .select("fp", "first", F.coalesce("component", "fp").alias("c")))
     smallest = joined.groupBy("c").agg(F.min("first").alias("component_id"))
@@ -153,13 +184,12 @@ def set_fingerprint(words: set[bytes], seed: int) -> int:
     return majority(np.frombuffer(hashes, np.uint8).reshape(-1, 8))
 
 
-def shingle_hashes(words: list[bytes], size: int) -> list[int]:
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles; fewer words are one shingle, none have none."""
     if not words:
-        return []
+        return np.zeros(0, "<i8")
     n = max(1, len(words) - size + 1)
-    found = {xxhash.xxh64_digest(b" ".join(words[i:i + size])) for i in range(n)}
-    return np.sort(np.frombuffer(b"".join(found), "<i8")).tolist()
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(words[i:i + size])) for i in range(n)]), "<i8"))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -182,17 +212,15 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     known = cut(map_texts(rows, run, "oid bigint, key bigint, fps array<bigint>").groupBy("oid", "key")
                 .agg(F.first("fps").alias("fps"), F.count("*").alias("n")))
     texts = cut(known.groupBy("key").agg(F.first("fps").alias("fps"), F.min("oid").alias("oid")))
-    pairs = None
-    for i in range(SETS):
-        found = close_pairs(texts.select(F.col("key").alias("id"), F.col("fps")[i].alias("fp")), SET_RADIUS)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = cut(pairs.distinct())
+    pairs = cut(close_pairs(texts.select(F.col("key").alias("id"), "fps"), SETS, SET_RADIUS, checked=True))
 
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(texts.select("key", "oid"), "key")
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_hashes(plain_words(t), shingle) for t in raw_texts(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+        return pa.RecordBatch.from_arrays([batch.column(0), column], ["key", "s"])
 
     sets = map_texts(rows.join(wanted, ["key", "oid"]).select("key", "text"), shingles, "key bigint, s array<bigint>")
     sets = written(sets.groupBy("key").agg(F.first("s").alias("s")), "shingle-sets")
