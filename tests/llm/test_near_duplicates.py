@@ -108,6 +108,60 @@ def test_near_copies_stage_keeps_one_of_each_group(spark, docs, corpus):
     assert {groups[r] for r in rows} == set(groups.values())
 
 
+def groups_of(spark, texts):
+    """(groups that near_copies finds, groups by brute force), both as sets of sets of ids."""
+    rows = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    first = {i: i for i in range(len(texts))} | {r.oid: r.first_oid for r in rows}
+    sets = {i: s for (i, _), s in plain_sets(list(enumerate(texts))).items()}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return first, union(sets, links)
+
+
+def test_near_copies_in_a_crowd_of_one_template(spark):
+    rng = random.Random(3)
+
+    def word():
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+
+    template, texts = [word() for _ in range(300)], []
+    for _ in range(150):
+        family = template[:]
+        for slot in range(10, 300, 37):
+            family[slot] = word()
+        copy = family[:]
+        copy[10] = word()
+        texts += [" ".join(family), " ".join(copy)]
+    got, want = groups_of(spark, texts)
+    assert len(set(want.values())) == 150 and got == want
+
+
+def test_near_copies_of_a_large_group_and_its_fringe(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL_BUCKET", 4)
+    rng = random.Random(8)
+    words = [str(rng.random()) for _ in range(120)]
+    texts = [" ".join(words[:100 + k % 21]) + f" end{k}" for k in range(60)]
+    texts += [" ".join(words[k:k + 60]) for k in range(0, 60, 3)] + [" " * k for k in range(20)]
+    got, want = groups_of(spark, texts)
+    assert got == want
+
+
+def test_near_copies_with_words_added_or_cut_and_short_ones(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return [f"{rng.getrandbits(40):x}" for _ in range(n)]
+
+    texts = []
+    for n in (15, 20, 25, 40, 60, 100, 200, 400, 1000):
+        for _ in range(8):
+            w = words(n)
+            texts += [" ".join(w), " ".join(w + words(n * 19 // 100)), " ".join(words(n * 19 // 100) + w), " ".join(w[:n - n * 15 // 100])]
+    texts += [f"{t} x" for t in ("one", "one two three four five six seven eight", "a b c d e f g h i j k l m n o")] + [
+        "one x", "one two three four five six seven eight x y", "a b c d e f g h i j k l m n o x z"]
+    got, want = groups_of(spark, texts)
+    assert got == want
+
+
 def test_edited_texts_and_likeness(spark, docs, corpus):
     got = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in spotsigs.digest(docs).collect()}
     order = sorted({(LOW if i is None else i, t or "") for i, t in corpus}, key=lambda r: -r[0])

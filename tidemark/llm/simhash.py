@@ -10,13 +10,14 @@ in at least one of the ``2 ** (radius + 1) - 1`` tables, always.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -75,7 +76,7 @@ def apart(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def close_pairs(nodes: DataFrame, count: int = 1, radius: int = 2, checked: bool = False) -> DataFrame:
+def close_pairs(nodes: DataFrame, count: int = 1, radius: int = 2) -> DataFrame:
     """Pairs (a, b), a < b, of ids of ``nodes`` (id, fps) with one of ``count`` fingerprints within ``radius`` bits.
 
     Only a hash of the bucket and the id are shuffled; buckets with a single member go before anything else.
@@ -84,9 +85,6 @@ def close_pairs(nodes: DataFrame, count: int = 1, radius: int = 2, checked: bool
     which are within ``radius`` of each other - are paired with the least of them: as many rows as
     members times a constant, never all pairs. Every two nodes within the radius are joined by the pairs,
     directly or over the least member that both are paired with. The radius must be even for this.
-
-    ``checked`` says that the caller compares the texts of every pair. Then links over a third member prove nothing, and
-    a large bucket gives pairs with its hubs instead (``hub_pairs``).
     """
     if radius % 2:
         raise ValueError("radius must be even")
@@ -105,8 +103,7 @@ def close_pairs(nodes: DataFrame, count: int = 1, radius: int = 2, checked: bool
     other = F.filter("all", lambda y: (y["id"] > F.col("x.id")) & (apart(y["fp"], F.col("x.fp")) <= radius))
     small = small.select(F.col("x.id").alias("a"), F.explode(other).alias("y")).select("a", F.col("y.id").alias("b"))
 
-    of_large = members.where(F.col("n") > SMALL_BUCKET)
-    large = hub_pairs(of_large) if checked else neighbour_pairs(of_large, masks, radius)
+    large = neighbour_pairs(members.where(F.col("n") > SMALL_BUCKET), masks, radius)
     return small.unionByName(large).distinct()
 
 
@@ -124,24 +121,6 @@ def neighbour_pairs(members: DataFrame, masks: list[int], radius: int) -> DataFr
     return around.join(least, ["i", "z"]).select("a", F.col("id").alias("b")).where("a != b")
 
 
-def hub_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of each member of a large bucket with the bucket's least id and with its most central member.
-
-    The centre has the majority bit in every place; around an original with many edited copies it is the original.
-    """
-    bits = [F.sum(F.getbit("fp", F.lit(b)).cast("int")).alias(f"b{b}") for b in range(64)]
-    one = [(1 << b) - (1 << 64) if b == 63 else 1 << b for b in range(64)]
-    centre = F.lit(0).cast("bigint")
-    for b in range(64):
-        centre = centre.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("size"), F.lit(one[b]).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    centres = cut(members.groupBy("k").agg(F.min("id").alias("least"), F.count("*").alias("size"), *bits).select("k", "least", centre.alias("centre")))
-    near = members.join(centres, "k")
-    hubs = cut(near.groupBy("k").agg(F.min("least").alias("least"), F.min(F.struct(apart("fp", "centre").alias("d"), "id")).alias("hub"))
-               .select("k", F.array_distinct(F.array("least", "hub.id")).alias("hubs")))
-    pairs = members.join(hubs, "k").select("id", F.explode("hubs").alias("h")).where("id != h")
-    return pairs.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b"))
-
-
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp, component_id (smallest id reachable over links).
 
@@ -167,8 +146,9 @@ def hex16(fp: str = "fp") -> Column:
 
 # near copies -----------------------------------------------------------------------------------------
 
-SETS = 3        # independent fingerprints of the set of words of a text ...
-SET_RADIUS = 4  # ... and the bits by which one of them may differ: on the sample tables 98.7 % of pairs at 0.8
+SAMPLED = 64        # of so many texts one is counted for the order of shingles, which decides time and never results ...
+FREQUENT = 200_000  # ... and at most so many frequent shingles are known to it
+HUBS = 4            # orders of members by which large buckets choose their hubs
 PLAIN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -177,13 +157,6 @@ def plain_words(text: bytes) -> list[bytes]:
     return PLAIN.findall(text.lower())
 
 
-def set_fingerprint(words: set[bytes], seed: int) -> int:
-    if not words:
-        return 0
-    hashes = b"".join([xxhash.xxh64_digest(w, seed) for w in sorted(words)])
-    return majority(np.frombuffer(hashes, np.uint8).reshape(-1, 8))
-
-
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles; fewer words are one shingle, none have none."""
     if not words:
@@ -192,46 +165,105 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(words[i:i + size])) for i in range(n)]), "<i8"))
 
 
+def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of shingles that a sample of the texts repeats."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_hashes(plain_words(t), shingle) for t in raw_texts(batch.column(0))]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["h"])
+
+    sample = rows.where(F.pmod("key", F.lit(SAMPLED)) == 0).select("text")
+    found = (map_texts(sample, run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+             .orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow())
+    hashes, counts = (found.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefix(shingles: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles, rare ones before frequent ones: a set at least so alike shares one of them. Empty sets share a zero."""
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, "<i8")
+    hashes, counts = frequent
+    weight = np.zeros(n, np.int64)
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, shingles), len(hashes) - 1)
+        weight = np.where(hashes[at] == shingles, counts[at], 0)
+    return shingles[np.lexsort((shingles, weight))][:n - math.ceil(least * n - 1e-9) + 1]
+
+
+def meeting(left: DataFrame, right: DataFrame, least: float, allowed: Column) -> DataFrame:
+    """Pairs (a, b), a < b, of members (h, key, size, pos) of the same bucket, without those that cannot be so alike.
+
+    At the first shingle that two sets share, in the order of the prefixes, no more of a set can be common than what follows.
+    """
+    right = right.select("h", *[F.col(c).alias(f"{c}2") for c in right.columns if c != "h"])
+    possible = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2"))
+    enough = possible >= least / (1 + least) * (F.col("size") + F.col("size2")) - 1e-9
+    pairs = left.join(right, "h").where(allowed & enough)
+    return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(oid, key, n, first_oid, first_key): for every document that is an exact or near copy, its group's first.
 
     A document is a distinct pair of order id and text key, ``n`` its number of rows. Groups are components over links
-    between texts whose word shingles have a Jaccard similarity of at least ``least``. Candidates come
-    from covering masks over SETS fingerprints of the texts' sets of words, whose bits few edits change; each is then
-    checked on the whole texts. A group's first is the least id (then text key). Blank texts are copies of each other.
+    between texts whose word shingles have a Jaccard similarity of at least ``least``; none is missed. Candidates are
+    texts that share a shingle of their prefixes (``prefix``); each is then checked on the whole texts. Members of a
+    large bucket meet its hub first; then all those meet that are not yet in one group, so a large group of copies
+    costs no pair per two members. A group's first is the least id (then text key). Blank texts are copies of each other.
     """
     rows = docs.select(order_id().alias("oid"), text_key().alias("key"), "text")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = []
-        for t in raw_texts(batch.column(2)):
-            words = set(plain_words(t))
-            fps.append([set_fingerprint(words, seed) for seed in range(SETS)])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.list_(pa.int64()))], ["oid", "key", "fps"])
-
-    known = cut(map_texts(rows, run, "oid bigint, key bigint, fps array<bigint>").groupBy("oid", "key")
-                .agg(F.first("fps").alias("fps"), F.count("*").alias("n")))
-    texts = cut(known.groupBy("key").agg(F.first("fps").alias("fps"), F.min("oid").alias("oid")))
-    pairs = cut(close_pairs(texts.select(F.col("key").alias("id"), "fps"), SETS, SET_RADIUS, checked=True))
-
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(texts.select("key", "oid"), "key")
+    known = cut(rows.groupBy("oid", "key").agg(F.count("*").alias("n")))
+    texts = cut(known.groupBy("key").agg(F.min("oid").alias("oid")))
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
+
+    def lists(values: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+
+    def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        size, p = [], []
+        for t in raw_texts(batch.column(1)):
+            s = shingle_hashes(plain_words(t), shingle)
+            size.append(len(s))
+            p.append(prefix(s, least, sent.value))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), lists(p)], ["key", "size", "p"])
+
+    each = map_texts(rows.select("key", "text"), prefixes, "key bigint, size int, p array<bigint>")
+    each = each.select("key", "size", F.posexplode("p").alias("pos", "h")).repartition("h").distinct()
+    members = cut(each.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1"))
+    small, large = (members.where(c).select("h", "key", "size", "pos") for c in (F.col("n") <= SMALL_BUCKET, F.col("n") > SMALL_BUCKET))
+    hub = F.min_by(F.struct("key", "size", "pos"), F.xxhash64("key", F.pmod("h", F.lit(HUBS)))).alias("hub")
+    hubs = large.groupBy("h").agg(hub).select("h", "hub.*")
+    pairs = cut(meeting(small, small, least, F.col("key") < F.col("key2"))
+                .union(meeting(large, hubs, least, F.col("key") != F.col("key2"))).distinct())
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_hashes(plain_words(t), shingle) for t in raw_texts(batch.column(1))]
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-        return pa.RecordBatch.from_arrays([batch.column(0), column], ["key", "s"])
+        return pa.RecordBatch.from_arrays([batch.column(0), lists(sets)], ["key", "s"])
 
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(large.select("key")).distinct().join(texts, "key")
     sets = map_texts(rows.join(wanted, ["key", "oid"]).select("key", "text"), shingles, "key bigint, s array<bigint>")
     sets = written(sets.groupBy("key").agg(F.first("s").alias("s")), "shingle-sets")
-    both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("s")), "a")
-            .join(sets.select(F.col("key").alias("b"), F.col("s").alias("r")), "b"))
-    common = F.size(F.array_intersect("s", "r"))
-    union = F.size("s") + F.size("r") - common
-    links = both.where((union == 0) | (common >= least * union)).select("a", "b")
-
-    labels = components(links, "a", "b")
-    grouped = texts.select("key", "oid").join(labels, F.col("key") == F.col("node"), "left").select("key", "oid", F.coalesce("component", "key").alias("c"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("s")), "a")
+                .join(sets.select(F.col("key").alias("b"), F.col("s").alias("r")), "b"))
+        common = F.size(F.array_intersect("s", "r"))
+        union = F.size("s") + F.size("r") - common
+        return both.where((union == 0) | (common >= least * union)).select("a", "b")
+
+    labels = components(linked(pairs), "a", "b")
+    if not large.isEmpty():
+        grouped = large.join(labels, F.col("key") == F.col("node"), "left").select("h", "key", "size", "pos", F.coalesce("component", "key").alias("c"))
+        mixed = grouped.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
+        grouped = cut(grouped.join(mixed, "h"))
+        rest = cut(meeting(grouped, grouped, least, (F.col("key") < F.col("key2")) & (F.col("c") != F.col("c2"))).join(pairs, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            labels = components(linked(rest).union(labels.select("node", "component")), "a", "b")
+    grouped = texts.join(labels, F.col("key") == F.col("node"), "left").select("key", "oid", F.coalesce("component", "key").alias("c"))
     head = grouped.groupBy("c").agg(F.min(F.struct("oid", "key")).alias("head"))
     groups = cut(grouped.join(head, "c").select(F.col("key").alias("k"), F.col("head.oid").alias("first_oid"), F.col("head.key").alias("first_key")))
     return (known.join(groups, F.col("key") == F.col("k")).select("oid", "key", "n", "first_oid", "first_key")
