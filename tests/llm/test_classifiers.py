@@ -123,6 +123,29 @@ def test_secrets_are_found_and_masked(leaky):
     assert {r.doc_id: r.text for r in secret_scan.masked(leaky, PATH).collect()} == rows
 
 
+HEX = "9f8e7d6c5b4a39281706f5e4d3c2b1a0"
+FORMS = [f"API_KEY={HEX}", f"export DB_TOKEN=ghp_{HEX}", f"see https://a.example/x?user=7&access_token={HEX}&page=2", f"Authorization: Bearer {HEX}",
+         f'curl -H "Authorization: Bearer {HEX}"', 'password = "Tr0ub4dor&3x9"', "PASSWORD=hunter2", 'passwd: "correcthorse"', f"SECRET_KEY={HEX}",
+         f"/srv/ghp_{HEX}", f'{{"client_secret": "{HEX}"}}', f"eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.{HEX}", f"bearer {HEX}"]
+
+
+def test_secrets_in_env_files_urls_headers_and_short_values(spark, leaky):
+    rows = spark.createDataFrame([(1000 + i, f"banado\n{t}\ncidole", "x") for i, t in enumerate(FORMS)], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in secret_scan.scan(leaky.unionByName(rows), PATH).where("doc_id >= 1000").collect()}
+    for i, t in enumerate(FORMS):
+        red = got[1000 + i].redacted
+        assert red.count("[SECRET]") == 1 and not any(x in red for x in (HEX, "Tr0ub", "3x9", "hunter2", "correct", "eyJ")), t
+    assert got[1000].redacted == "banado\nAPI_KEY=[SECRET]\ncidole" and "?user=7&access_token=[SECRET]&page=2" in got[1002].redacted
+    assert got[1005].redacted == 'banado\npassword = "[SECRET]"\ncidole'
+
+
+def test_secret_contexts_in_doubt_have_no_label():
+    for text, want in ((f"key {HEX}", None), (f"author: {HEX}", None), (f"order {HEX}", False), (f"task-sk-{HEX}", True), (f"disk-{HEX}", False),
+                       ("token: banana", None), ("password=${PASSWORD}", []), (f"name={HEX}==", False)):
+        spans = list(secret_scan.candidates(text))
+        assert [secret_scan.certain(text, a, b) for a, b in spans] == ([want] if want != [] else []), text
+
+
 def test_labelled_findings_decide(spark, leaky):
     spans = leaky.select("doc_id", F.explode_outer(F.array(F.lit(1))).alias("one"), "text").where("doc_id < 400").collect()
     rows = [(r.doc_id, a, b, int(r.doc_id % 2 == 0)) for r in spans for a, b in secret_scan.candidates(r.text)]

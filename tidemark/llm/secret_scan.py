@@ -1,13 +1,14 @@
 """Secret scan: candidate strings by pattern, false positives removed by a random forest.
 
-A candidate is a long run of letters, digits and the marks of common encodings. Its features are its
-length, the transitions between kinds of characters, how much of it a dictionary of common words covers,
+A candidate is a long run of letters, digits and the marks of common encodings, without the name that an equals sign
+puts before it, or a value of any length that is assigned to a credential's name. Its features are its length, the transitions between kinds of characters, how much of it a dictionary of common words covers,
 words of the path it comes from, and the words and marks beside it. The forest is trained in numpy on
 a bounded sample of labelled findings.
 
 Findings may be labelled by hand (``findings``: doc_id, start, end, is_secret). Where none are given, labels come
-from contexts that leave no doubt: values assigned to names of credentials and tokens with issuers' known
-prefixes are secrets; all other candidates are not.
+from contexts that leave no doubt: values assigned to names of credentials, values of a Bearer header and tokens with
+issuers' known prefixes are secrets, whatever the forest says of them. Candidates beside a credential's name without
+such a context have no label; all others are not secrets.
 """
 
 from __future__ import annotations
@@ -29,8 +30,15 @@ from tidemark.llm.tables import map_texts
 from tidemark.llm.transducer import Vocabulary
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
-ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|auth\w*|credential\w*|private[_-]?key|access[_-]?key)\s*[\"']?\s*(?:[:=]|:=|=>)\s*[\"']?$", re.I)
-ISSUED = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|AIza|eyJ)")  # fixed values: prefixes that issuers publish
+BEFORE_VALUE = re.compile(r".*=(?!=|$)")  # names up to the last equals sign inside a run; padding at its end stays
+ASSIGNS = (r"(?:token|secret|pass(?:wor)?d|passwd|passphrase|pwd|auth(?!or(?!iz))\w*|credential\w*|(?:api|private|access|secret)[_-]?key)"
+           r"\s{0,8}[\"']?\s{0,8}(?::=|=>|[:=])\s{0,8}(?:(?:bearer|basic|token)\s{1,8})?")
+ASSIGNED = re.compile(ASSIGNS + r"[\"'`]?$", re.I)
+NAMED = re.compile(ASSIGNS + r"(?!\$[{(]|\{\{|<|%\()(?:([\"'`])(?P<quoted>(?:(?!\1)[^\n]){4,})\1|(?P<bare>(?:(?!&\w+=)[^\s\"'`,;<>()\[\]{}]){4,}))", re.I)
+BEARER = re.compile(r"\bbearer\s{1,8}$", re.I)
+BORNE = re.compile(r"\bbearer\s{1,8}(?P<bare>[A-Za-z0-9+/_=.~\-]{8,})", re.I)
+WEB_TOKEN = re.compile(r"\b(?P<bare>eyJ[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+){1,2})")
+ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|AIza|eyJ)")  # fixed values: prefixes that issuers publish
 NAMES = ("token", "secret", "passw", "pwd", "key", "auth", "cred", "bearer", "private", "access")
 DECOYS = ("test", "example", "sample", "mock", "fake", "dummy", "doc", "license")
 SAMPLE_PER_CLASS = 3000  # bound of the training sample: so many findings of either kind
@@ -40,16 +48,36 @@ MASK = "[SECRET]"
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of candidates: runs that hold a digit, or change between upper and lower case three times."""
+    """Spans of candidates, in order: values of credentials' names, and runs that hold a digit or change between upper
+    and lower case more than three times. Spans that overlap are one."""
+    spans = [m.span("quoted" if m.lastgroup == "quoted" else "bare") for p in (NAMED, BORNE, WEB_TOKEN) for m in p.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if any("0" <= c <= "9" for c in run) or sum(a.islower() != b.islower() for a, b in zip(run, run[1:])) > 3:
-            yield m.start(), m.end()
-
-
-def certain(text: str, start: int, end: int) -> bool:
-    """Label from context alone."""
-    return bool(ASSIGNED.search(text[max(0, start - BESIDE):start]) or ISSUED.match(text, start, end))
+        named = BEFORE_VALUE.match(text, *m.span())
+        start = named.end() if named else m.start()
+        run = text[start:m.end()]
+        if len(run) >= 16 and (any("0" <= c <= "9" for c in run) or sum(a.islower() != b.islower() for a, b in zip(run, run[1:])) > 3):
+            spans.append((start, m.end()))
+    at = None
+    for a, b in sorted(spans):
+        if at and a < at[1]:
+            at = at[0], max(b, at[1])
+            continue
+        if at:
+            yield at
+        at = a, b
+    if at:
+        yield at
+
+
+def certain(text: str, start: int, end: int) -> bool | None:
+    """Label from context alone; None where the context leaves a doubt."""
+    run, before = text[start:end], text[max(0, start - BESIDE):start]
+    digit = any("0" <= c <= "9" for c in run)
+    if ISSUED.search(run) and len(run) >= 16 or BEARER.search(before) and digit:
+        return True
+    if ASSIGNED.search(before) and not re.search(r"\s", run) and (before[-1] in "\"'`" or digit and any(c.isalpha() for c in run) or CANDIDATE.fullmatch(run)):
+        return True
+    return None if any(w in (before + run).lower() for w in NAMES) else False
 
 
 @lru_cache(maxsize=2)
@@ -169,8 +197,9 @@ def labelled(docs: DataFrame, vocabulary: str, findings: DataFrame | None = None
         words, out = dictionary(vocabulary), []
         for text, path, told in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
             text = text or ""
-            spans = [(a, b, int(certain(text, a, b))) for a, b in candidates(text)] if told is None else [tuple(t.values()) for t in told]
-            out += [(label, np.array(features(text, a, b, path, words), "<f4").tobytes()) for a, b, label in spans if 0 <= a < b - 1 < len(text)]
+            spans = [(a, b, certain(text, a, b)) for a, b in candidates(text)] if told is None else [tuple(t.values()) for t in told]
+            out += [(int(label), np.array(features(text, a, b, path, words), "<f4").tobytes())
+                    for a, b, label in spans if label is not None and 0 <= a < b - 1 < len(text)]
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["label", "x"])
 
     return map_texts(rows, run, "label int, x binary").withColumn("h", F.xxhash64("x"))
@@ -187,12 +216,14 @@ def train(docs: DataFrame, vocabulary: str, findings: DataFrame | None = None, p
     return fit_forest(np.stack([np.frombuffer(r.x, "<f4") for r in rows]).astype(float), np.array([r.label for r in rows]))
 
 
-def scan_text(text: str, path: str, forest: Forest, words: frozenset[str], threshold: float) -> tuple[list[tuple[int, int]], int, float]:
-    """(spans of secrets, number of candidates, highest probability)."""
+def scan_text(text: str, path: str, forest: Forest, words: frozenset[str], threshold: float, sure: bool) -> tuple[list[tuple[int, int]], int, float]:
+    """(spans of secrets, number of candidates, highest probability); with ``sure``, contexts without doubt have probability 1."""
     spans = list(candidates(text))
     if not spans:
         return [], 0, 0.0
     p = forest.predict(np.array([features(text, a, b, path, words) for a, b in spans], "<f4").astype(float))
+    if sure:
+        p = np.where([certain(text, a, b) is True for a, b in spans], 1.0, p)
     return [s for s, q in zip(spans, p) if q >= threshold], len(spans), float(p.max())
 
 
@@ -208,12 +239,13 @@ def scan(docs: DataFrame, vocabulary: str, findings: DataFrame | None = None, th
     """One row per row of ``docs``: doc_id, n_candidates, secrets (spans in code points), score (highest probability,
     0 without candidates) and redacted (the text with secrets masked; null for a null text)."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, vocabulary, findings))
+    sure = findings is None
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words, rows = dictionary(vocabulary), []
         for t, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            spans, n, score = scan_text(t or "", p, sent.value, words, threshold)
+            spans, n, score = scan_text(t or "", p, sent.value, words, threshold, sure)
             rows.append((n, [{"start": a, "end": b} for a, b in spans], score, None if t is None else redact(t, spans)))
         n, spans, score, text = zip(*rows)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, spans_type), pa.array(score, pa.float64()),
@@ -227,9 +259,11 @@ def masked(docs: DataFrame, vocabulary: str, findings: DataFrame | None = None,
     """``docs`` with the secrets in its texts masked, in the columns of ``docs``; null texts stay null."""
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, vocabulary, findings))
 
+    sure = findings is None
+
     @F.pandas_udf("string")
     def mask(text: pd.Series, path: pd.Series) -> pd.Series:
         words = dictionary(vocabulary)
-        return pd.Series([t if t is None else redact(t, scan_text(t, p, sent.value, words, threshold)[0]) for t, p in zip(text, path)], dtype=object)
+        return pd.Series([t if t is None else redact(t, scan_text(t, p, sent.value, words, threshold, sure)[0]) for t, p in zip(text, path)], dtype=object)
 
     return docs.withColumn("text", mask("text", _path(docs)))
