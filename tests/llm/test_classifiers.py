@@ -146,6 +146,12 @@ def test_secret_contexts_in_doubt_have_no_label():
         assert [secret_scan.certain(text, a, b) for a, b in spans] == ([want] if want != [] else []), text
 
 
+def test_coverage_reads_the_whole_run():
+    words = frozenset({"house"})
+    head, tail = (secret_scan.features(r, 0, len(r), "", words) for r in ("x1" * 128, "x1" * 128 + "house" * 60))
+    assert 0 in head and any(v == pytest.approx(300 / 556) for v in tail)
+
+
 def test_labelled_findings_decide(spark, leaky):
     spans = leaky.select("doc_id", F.explode_outer(F.array(F.lit(1))).alias("one"), "text").where("doc_id < 400").collect()
     rows = [(r.doc_id, a, b, int(r.doc_id % 2 == 0)) for r in spans for a, b in secret_scan.candidates(r.text)]

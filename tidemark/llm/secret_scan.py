@@ -107,7 +107,7 @@ def features(text: str, start: int, end: int, path: str, words: frozenset[str])
     opened, closed = before[-1:], after[:1]
     return [n, math.log(n), len(counts) / n, -sum(c / n * math.log2(c / n) for c in counts.values()),
             *(kinds.count(k) / n for k in range(4)), *(moves[a, b] / (n - 1) for a in range(4) for b in range(4)),
-            all(c in "0123456789abcdefABCDEF" for c in run), coverage(run[:256], words),
+            all(c in "0123456789abcdefABCDEF" for c in run), coverage(run, words),
             *(w in near for w in NAMES), *(w in path.lower() for w in DECOYS), path.count("/"), path.count("."),
             opened in "\"'`" and opened != "", closed in "\"'`" and closed != "", bool(re.search(r"[:=]\s*[\"']?$", before)),
             "@" in before[-2:] + after[:2], opened in "./" and opened != "", len(before.split()), len(after.split()),
