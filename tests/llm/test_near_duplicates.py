@@ -187,6 +187,18 @@ def test_spots_are_anchors_with_chains(spark):
     assert row[1].s == []
 
 
+def test_every_content_word_lies_in_a_signature(spark):
+    texts = ["белый дом стоит на высокой горе у моря где живут люди", "белый дом стоит совсем в другом месте и там пусто"]
+    docs = spark.createDataFrame([(i, texts[i % 2] + f" {i}") for i in range(6)], "doc_id bigint, text string")
+    row = docs.orderBy("doc_id").select(spotsigs.spots("text").alias("s")).first()
+    assert " ".join(row.s).split() == (texts[0] + " 0").split()
+    anchors = spotsigs.corpus_anchors(docs)
+    assert {"белый", "моря", "пусто"} <= set(anchors)
+    sigs = docs.orderBy("doc_id").select(spotsigs.signature_set("text").alias("s")).collect()
+    assert sigs[0].s != sigs[1].s and len(set(sigs[0].s) & set(sigs[1].s)) == 1
+    assert spotsigs.corpus_anchors(docs.limit(0)) == sorted(set(spotsigs.ANCHORS))
+
+
 def test_matches_equal_brute_force(spark, docs):
     queries = docs.where("doc_id % 50 = 0")
     got = {(r.query_id, r.set_id): r.near for r in spotsigs.matches(queries, docs, 0.3).collect()}

@@ -1,8 +1,9 @@
 """Document fingerprints by spot signatures, with DataFrame functions only.
 
-Common words of four languages are anchors. A spot signature is an anchor with the chain of up to
-``CHAIN`` content words that follow it before the next anchor; the start of a text is an anchor as well,
-so every text with a content word has a signature. Boilerplate between the sentences of natural text has
+Common words of four languages and the most frequent words of the corpus are anchors. A spot signature is an
+anchor with the chain of up to ``CHAIN`` content words that follow it before the next anchor. Content words
+after a full chain, and at the start of a text, form chains without an anchor, so every content word lies in
+a signature. Boilerplate between the sentences of natural text has
 few anchors and so little weight. A text's fingerprint is the set of its signatures, as sorted 32-bit
 hashes; likeness is the Jaccard similarity of two sets.
 
@@ -14,6 +15,7 @@ rarest signatures that a match cannot avoid, and checks what is left.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.tables import LOWEST_ID, cut, order_id, text_key
 
 CHAIN = 3
+FREQUENT, COMMON = 128, 0.01  # so many words of the corpus become anchors at most, each in this share of its documents or more
 # fixed values: frequent function words of English, German, French and Spanish
 ANCHORS = ("a an and are as at be by for from has he in is it of on or that the this to was were which with "
            "das dem den der des die ein eine einen einer er es im ist mit nicht sich sie und von war zu zum "
@@ -28,18 +31,33 @@ ANCHORS = ("a an and are as at be by for from has he in is it of on or that the
            "al como con del el ella los las lo mas no para pero por sin su sus y").split()
 
 
-def spots(text: str | Column) -> Column:
-    """Spot signatures of a text as strings, in order; null and texts without content words have none."""
+def plain(text: str | Column) -> Column:
+    """Lower-cased runs of letters and digits between single blanks, with a blank at either end."""
     t = F.col(text) if isinstance(text, str) else text
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    anchors = "|".join(sorted(set(ANCHORS)))
-    # chains end before the next anchor, so matches never overlap; ^ stands for the start of the text
-    return F.regexp_extract_all(plain, F.lit(rf"((?:^|(?<= )(?:{anchors}))(?: +(?!(?:{anchors}) )[^ ]+){{1,{CHAIN}}})"), F.lit(1))
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(t, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+
+
+def corpus_anchors(docs: DataFrame) -> list[str]:
+    """The fixed anchors and the corpus's words of highest document frequency, over all rows."""
+    n = docs.count()
+    words = docs.select(F.explode(F.array_distinct(F.split(plain("text"), " +"))).alias("w")).where("w <> ''")
+    found = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, COMMON * n)).orderBy(F.desc("n"), "w").limit(FREQUENT)
+    return sorted({*ANCHORS, *(r.w for r in found.collect())})
+
+
+def spots(text: str | Column, anchors: Iterable[str] = ANCHORS) -> Column:
+    """Spot signatures of a text as strings, in order; null and texts without content words have none."""
+    by_letter: dict[str, list[str]] = {}
+    for w in sorted(set(anchors)):
+        by_letter.setdefault(w[0], []).append(w[1:])
+    among = "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items())
+    # chains end before the next anchor, so matches never overlap; without an anchor they go on where the last chain ended
+    return F.regexp_extract_all(plain(text), F.lit(rf"((?:(?<= )(?:{among}))?(?: +(?!(?:{among}) )[^ ]+){{1,{CHAIN}}})"), F.lit(1))
 
 
-def signature_set(text: str | Column) -> Column:
+def signature_set(text: str | Column, anchors: Iterable[str] = ANCHORS) -> Column:
     """Sorted distinct 32-bit hashes of the spot signatures."""
-    return F.array_sort(F.array_distinct(F.transform(spots(text), lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))))
+    return F.array_sort(F.array_distinct(F.transform(spots(text, anchors), lambda s: F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF)))))
 
 
 def fingerprint(signatures: str) -> Column:
@@ -83,6 +101,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     The edited text has its last third (rounded down, in code points) replaced by as many first code points
     of the next document, or all of them. A null text is empty; a single document is its own next.
     """
+    anchors = corpus_anchors(docs)
     follow = cut(next_documents(docs))
     # both uses of the texts need the same columns, so that they are shuffled once and read twice
     texts = docs.select(order_id().alias("oid"), text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
@@ -91,13 +110,13 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     # rows that repeat id and text give the same answer; one of them is enough
     given = (texts.join(wanted, ["oid", "key"])
              .select(F.col("for_oid").alias("oid"), F.col("for_key").alias("key"), F.substring("text", F.lit(1), F.col("m")).alias("lent"),
-                     signature_set("text").alias("next_sigs")).dropDuplicates(["oid", "key"]))
+                     signature_set("text", anchors).alias("next_sigs")).dropDuplicates(["oid", "key"]))
     rows = texts.join(given, ["oid", "key"]).withColumn("n_chars", F.char_length("text"))
     kept = F.col("n_chars") - F.floor(F.col("n_chars") / 3)
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept.cast("int")), F.col("lent")))
     doc_id = F.when(F.col("oid") != LOWEST_ID, F.col("oid")).alias("doc_id")
-    return rows.select(doc_id, F.col("n_chars").cast("bigint").alias("n_chars"), "edited", signature_set("text").alias("sigs"),
-                       signature_set("edited").alias("edited_sigs"), "next_sigs")
+    return rows.select(doc_id, F.col("n_chars").cast("bigint").alias("n_chars"), "edited", signature_set("text", anchors).alias("sigs"),
+                       signature_set("edited", anchors).alias("edited_sigs"), "next_sigs")
 
 
 def digest(docs: DataFrame) -> DataFrame:
