@@ -244,11 +244,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
         sets = [shingle_hashes(plain_words(t), shingle) for t in raw_texts(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), lists(sets)], ["key", "s"])
 
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(large.select("key")).distinct().join(texts, "key")
-    sets = map_texts(rows.join(wanted, ["key", "oid"]).select("key", "text"), shingles, "key bigint, s array<bigint>")
-    sets = written(sets.groupBy("key").agg(F.first("s").alias("s")), "shingle-sets")
-
     def linked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(texts, "key")
+        sets = map_texts(rows.join(wanted, ["key", "oid"]).select("key", "text"), shingles, "key bigint, s array<bigint>")
+        sets = written(sets.groupBy("key").agg(F.first("s").alias("s")), "shingle-sets")
         both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("s")), "a")
                 .join(sets.select(F.col("key").alias("b"), F.col("s").alias("r")), "b"))
         common = F.size(F.array_intersect("s", "r"))
