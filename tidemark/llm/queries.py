@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, packing, quality, secret_scan, simhash, spotsigs, superkmers, transducer, winnowing, wordtable
+from tidemark.llm import language, linededup, packing, quality, secret_scan, simhash, spotsigs, superkmers, transducer, winnowing, wordtable
 from tidemark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packed_rows")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), length=2048)
+
+
+@query("op11_line_dedup", linededup.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = linededup.deduplicated(table(spark, sf_dir, "documents"), shortest=10)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
