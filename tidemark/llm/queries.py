@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, linededup, packing, quality, secret_scan, simhash, spotsigs, superkmers, transducer, winnowing, wordtable
+from tidemark.llm import divergence, language, linededup, packing, quality, secret_scan, simhash, spotsigs, superkmers, transducer, winnowing, wordtable
 from tidemark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = linededup.deduplicated(table(spark, sf_dir, "documents"), shortest=10)
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_source_divergence", divergence.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
