@@ -33,7 +33,7 @@ TILE = 256      # sources of one language handled at once
 CELLS = 1 << 21  # ANDs made at once
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
+def term_counts(docs: DataFrame, most: int = HELD) -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in each group and documents (rows) that hold it.
 
     Null lang, source and text read as ''. Counters are sent on when they are large, so their memory has a bound.
@@ -57,7 +57,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 total.update(here)
                 among.update(here.keys())
                 held += len(total)
-                if held > HELD:
+                if held > most:
                     yield sent()
                     held = 0
         if held:
@@ -86,9 +86,9 @@ def share(count: str | Column, total: str | Column, kept: str | Column) -> Colum
 class Audit:
     """Counts of a corpus, its groups and kept terms; the parts are made from these tables, each checkpointed once."""
 
-    def __init__(self, docs: DataFrame, least_docs: int = 30):
+    def __init__(self, docs: DataFrame, least_docs: int = 30, held: int = HELD):
         """Empty tables give empty results. Each row is a document, repeated ones too; other columns are not looked at."""
-        counts = cut(term_counts(docs))
+        counts = cut(term_counts(docs, held))
         terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
         terms = cut(terms.select("lang", "term", "all"))
         langs = cut(docs.select(F.coalesce("lang", F.lit("")).alias("lang")).distinct()
@@ -235,9 +235,9 @@ def add_word(total: np.ndarray, zero: np.ndarray, group: np.ndarray, p: np.ndarr
         np.add.at(total, group[some], np.add.reduceat(joint, starts, axis=1))
 
 
-def audit(docs: DataFrame, least_docs: int = 30, top: int = 50) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, held: int = HELD) -> DataFrame:
     """(lang, source, part, item, value, rank): part 'pair' has each other source of the language, part 'term' a group's own terms."""
-    found = Audit(docs, least_docs)
+    found = Audit(docs, least_docs, held)
     return found.pair_part().unionByName(found.term_part(top))
 
 

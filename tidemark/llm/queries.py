@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import divergence, language, linededup, packing, quality, secret_scan, simhash, spotsigs, superkmers, transducer, winnowing, wordtable
+from tidemark.llm import conversations, divergence, language, linededup, packing, quality, secret_scan, simhash, spotsigs, superkmers, transducer, winnowing, wordtable
 from tidemark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_source_divergence", divergence.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audits(conversations.damaged(table(spark, sf_dir, "conversations")))
