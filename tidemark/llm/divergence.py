@@ -12,7 +12,6 @@ a language with most of the documents is spread like any other. Sources come in
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -21,12 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import cut
+from tidemark.llm.tables import cut, written
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: each byte of UTF-8 as it is in a term: ASCII letters in lower case, bytes beyond ASCII, blanks for all else
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
+DOCS = 36  # a task's counters hold documents above this bit and occurrences below it
+DOCUMENT = 1 << DOCS
+LISTED = 20_000  # terms a row
 SCALE = 1_000_000_000
 SMOOTH = 5
-HELD = 300_000  # entries of a task's counters before they are sent on
+HELD = 400_000  # entries of a task's counters before they are sent on
 PER_BLOCK = 48  # terms a block holds on average; a word has 64 bits and a block as many words as it needs
 CHUNKS = 64     # parts of a language's blocks
 TILE = 256      # sources of one language handled at once
@@ -39,40 +42,37 @@ def term_counts(docs: DataFrame, most: int = HELD) -> DataFrame:
     Null lang, source and text read as ''. Counters are sent on when they are large, so their memory has a bound.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = defaultdict(Counter), defaultdict(Counter)
-
-        def sent() -> pa.RecordBatch:
-            rows = [(lang, source, t, c, df[lang, source][t]) for (lang, source), terms in n.items() for t, c in terms.items()]
-            n.clear(), df.clear()
-            lang, source, t, c, d = zip(*rows)
-            return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(source), pa.array(t), pa.array(c, pa.int64()), pa.array(d, pa.int64())],
-                                              ["lang", "source", "term", "n", "docs"])
-
-        held = 0
+        counts, held = defaultdict(dict), 0  # group -> term -> documents << DOCS | occurrences
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                here = Counter(TERM.findall(text.lower() if text.isascii() else lowered(text)))
-                total, among = n[lang, source], df[lang, source]
-                held -= len(total)
-                total.update(here)
-                among.update(here.keys())
-                held += len(total)
+                group = counts[lang, source]
+                known, held = group.get, held - len(group)
+                for term, n in Counter(text.translate(LETTERS).split()).items():
+                    group[term] = known(term, 0) + n + DOCUMENT
+                held += len(group)
                 if held > most:
-                    yield sent()
+                    yield from sent(counts)
+                    counts.clear()
                     held = 0
-        if held:
-            yield sent()
-
-    return (docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-            .mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
-            .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-
+        yield from sent(counts)
 
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+    columns = [F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]
+    rows = docs.select(*columns, F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(
+        run, "lang string, source string, term array<string>, n array<bigint>")
+    each = rows.select("lang", "source", F.inline(F.arrays_zip("term", "n")))
+    both = F.col("n").bitwiseAND(F.lit(DOCUMENT - 1)), F.shiftright("n", DOCS)
+    return each.groupBy("lang", "source", "term").agg(F.sum(both[0]).alias("n"), F.sum(both[1]).alias("docs"))
 
 
-def lowered(text: str) -> str:
-    return text.translate(ASCII_LOWER)
+def sent(counts: dict) -> Iterator[pa.RecordBatch]:
+    """Counters as rows of bounded lists."""
+    for (lang, source), group in counts.items():
+        terms, n = list(group), np.fromiter(group.values(), np.int64, len(group))
+        for a in range(0, len(terms), LISTED):
+            some = pa.array(terms[a:a + LISTED], pa.binary()).cast(pa.string())
+            ends = pa.array([0, len(some)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([source]), pa.ListArray.from_arrays(ends, some),
+                                              pa.ListArray.from_arrays(ends, pa.array(n[a:a + LISTED]))], ["lang", "source", "term", "n"])
 
 
 def share(count: str | Column, total: str | Column, kept: str | Column) -> Column:
@@ -91,20 +91,20 @@ class Audit:
         counts = cut(term_counts(docs, held))
         terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
         terms = cut(terms.select("lang", "term", "all"))
-        langs = cut(docs.select(F.coalesce("lang", F.lit("")).alias("lang")).distinct()
+        langs = written(docs.select(F.coalesce("lang", F.lit("")).alias("lang")).distinct()
                     .join(terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all").alias("lang_total")), "lang", "left")
-                    .select("lang", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("lang_total", F.lit(0)).alias("lang_total")))
+                    .select("lang", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("lang_total", F.lit(0)).alias("lang_total")), "langs")
         cells = cut(counts.select("lang", "source", "term", "n").join(terms, ["lang", "term"]))
         totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         groups = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
         groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang")
-        self.groups = cut(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), "kept", "lang_total"))
+        self.groups = written(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), "kept", "lang_total"), "groups")
         self.terms, self.langs, self.cells = terms, langs, cells
 
         # each kept term's block, word and bit; blocks are small, so numbering them needs no long sort
         block = F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / PER_BLOCK)).alias("block")
         at = F.row_number().over(Window.partitionBy("lang", "block").orderBy("term")) - 1
-        places = terms.join(langs, "lang").select("lang", "term", "kept", block).withColumn("at", at)
+        places = terms.join(langs, "lang").select("lang", "term", "kept", block).repartition("lang", "block").withColumn("at", at)
         self.places = cut(places.select("lang", "term", "block", F.floor(F.col("at") / 64).cast("int").alias("word"), (F.col("at") % 64).alias("bit"),
                                         F.pmod("block", chunks("kept")).cast("int").alias("chunk")))
 
@@ -123,7 +123,7 @@ class Audit:
         tiles = F.greatest(F.lit(1), F.ceil(F.col("sources") / TILE)).cast("int")
         count = self.groups.groupBy("lang").agg(F.count("*").alias("sources"))
         groups = self.groups.join(count, "lang").select("lang", "source", "total", "kept", tiles.alias("tiles"), F.pmod(F.xxhash64("source"), tiles).cast("int").alias("tile"))
-        groups = cut(groups)
+        groups = written(groups, "tiled-groups")
         meets = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("t1"), F.greatest("tile", t).alias("t2")))).alias("m")
         sizes = self.places.groupBy("lang", "chunk").agg(F.count("*").alias("bits"))
         heads = groups.select("*", F.explode(F.sequence(F.lit(0), chunks("kept") - 1)).alias("chunk")).join(sizes, ["lang", "chunk"], "left")
