@@ -84,9 +84,10 @@ def technical_alert(rsi: Column, price: Column, prev: Column, ma200: Column) ->
 
 
 def price_alert_hit(kind: Column, price: Column, target: Column) -> Column:
-    """True when the alert fires; a missing price never fires."""
+    """True when the alert fires; a missing price or one that is not a number never fires."""
+    number = ~F.isnan(price) & ~F.isnan(target)  # NaN is greater than all numbers in Spark
     return F.coalesce(
-        F.when(kind == "above", price >= target).when(kind == "below", price <= target),
+        F.when(kind == "above", number & (price >= target)).when(kind == "below", number & (price <= target)),
         F.lit(False),
     )
 
