@@ -84,7 +84,7 @@ def test_alerts_added_later_join(spark, tmp_path):
                         ([("A", 20, 94.0, 3), ("A", 21, 110.0, 4)], ("top", "A", "above", 119.0, False)),
                         ([("A", 30, 118.0, 5), ("A", 31, 119.0, 6), ("A", 32, 90.0, 7)], None)):
         put(spark, src, batch)
-        live.start_alert_latch(live.read_ticks(spark, src), lambda: spark.read.schema(KIND).parquet(book), out, ck, forget_ms=10 ** 9).awaitTermination(120)
+        live.start_alert_latch(live.read_ticks(spark, src), lambda: spark.read.schema(KIND).parquet(book), out, ck).awaitTermination(120)
         if late:
             spark.createDataFrame([late], KIND).write.mode("append").parquet(book)
     assert fired(spark, out) == [("low", 94.0, 20), ("top", 119.0, 31), ("up", 106.0, 10)]

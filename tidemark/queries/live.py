@@ -1,4 +1,6 @@
-"""Finished-table twins of the streaming jobs."""
+"""The streaming jobs over the sample events as a file stream, run to its end."""
+
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +12,17 @@ CTES["prevclose"] = """
 SELECT symbol, max_by(price, epoch_us(ts)*1.0) AS previous_close FROM ticks WHERE CAST(ts AS DATE) < (SELECT max(CAST(ts AS DATE)) FROM ticks) GROUP BY 1"""
 
 
+def folder(t, name):
+    """A new folder in the shared one, for a stream's result and checkpoint."""
+    shared = t.spark.conf.get("spark.checkpoint.dir", None) or f"{t.spark.conf.get('spark.sql.warehouse.dir')}/_streams"
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def tick_stream(t):
+    """The events table as a stream; a pattern, because a table may be one file and a plain stream path must be a folder."""
+    return t.ticks(t.spark.readStream.schema(t.table("events").schema).parquet(f"{t.folder}/events.parque[t]"))
+
+
 def previous_close(t):
     """Last price before the newest day of the stream."""
     ticks = t.ticks()
@@ -22,7 +35,9 @@ def previous_close(t):
 SELECT symbol, round(p, 2) AS price, round(previous_close, 2) AS previous_close, round(CASE WHEN previous_close > 0 THEN (p - previous_close)/previous_close*100 ELSE 0 END, 2) AS change_pct FROM (
  SELECT symbol, max_by(price, ts) AS p FROM ticks GROUP BY 1) JOIN prevclose USING (symbol)""")
 def _(t):
-    return live.live_snapshot(t.ticks(), previous_close(t))
+    out = folder(t, "snapshot")
+    live.start_snapshot(tick_stream(t), previous_close(t), out, f"{out}-checkpoint").awaitTermination()
+    return live.read_snapshot(t.spark, out, live.live_snapshot(t.ticks(), previous_close(t)).schema)
 
 
 def tick_alerts(t):
@@ -39,4 +54,6 @@ WITH m AS (SELECT symbol, avg(price) AS m FROM ticks GROUP BY 1),
 a AS (SELECT symbol || '-above' AS alert_id, symbol, 'above' AS k, m*3 AS tg FROM m UNION ALL SELECT symbol || '-below', symbol, 'below', m*0.001 FROM m)
 SELECT alert_id, CAST(min(ts) AS DATE) AS triggered_date, min_by(price, ts) AS triggered_price FROM a JOIN ticks t ON t.symbol = a.symbol AND CASE k WHEN 'above' THEN price >= tg ELSE price <= tg END GROUP BY 1""")
 def _(t):
-    return live.first_hits(t.ticks(), tick_alerts(t)).withColumn("triggered_date", F.to_date("triggered_at"))
+    out = folder(t, "fired")
+    live.start_alert_latch(tick_stream(t), tick_alerts(t), out, f"{out}-checkpoint").awaitTermination()
+    return t.spark.read.schema(live.FIRED).parquet(out).withColumn("triggered_date", F.to_date("triggered_at"))

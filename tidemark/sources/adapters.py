@@ -118,8 +118,9 @@ class Domain:
             .otherwise("neutral").alias("sentiment"),
             F.least(F.lit(1.0), F.col("n_chars") / 5000.0).cast("double").alias("confidence"))
 
-    def ticks(self) -> DataFrame:
-        return self.table("events").select(
+    def ticks(self, events: DataFrame | None = None) -> DataFrame:
+        """Price ticks of the events table, or of another table or stream of events."""
+        return (self.table("events") if events is None else events).select(
             F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), "event_id")
 
     def goals(self) -> DataFrame:

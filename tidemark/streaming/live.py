@@ -140,16 +140,9 @@ FIRED = "alert_id string, triggered_at timestamp, triggered_price double"
 
 
 class Latch(StatefulProcessor):
-    """One row of state per alert, from its first hit on: the alert is spent and later or late ticks change nothing.
-
-    With ``forget_ms`` a timer drops the state so long after the hit; by then the alert must no longer be pending.
-    """
-
-    def __init__(self, forget_ms: int | None):
-        self.forget_ms = forget_ms
+    """One row of state per alert, from its first hit on: the alert is spent and later or late ticks change nothing."""
 
     def init(self, handle) -> None:
-        self.handle = handle
         self.spent = handle.getValueState("spent", FIRED.split(", ", 1)[1])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -161,14 +154,8 @@ class Latch(StatefulProcessor):
             if best is None or (first["ts"], first["event_id"]) < (best["ts"], best["event_id"]):
                 best = first
         self.spent.update((best["ts"].to_pydatetime(), float(best["price"])))
-        if self.forget_ms:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.forget_ms)
         yield pd.DataFrame({"alert_id": [key[0]], "triggered_at": [best["ts"]], "triggered_price": [float(best["price"])]})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.spent.clear()
-        yield pd.DataFrame({"alert_id": [], "triggered_at": pd.Series([], dtype="datetime64[ns]"), "triggered_price": pd.Series([], dtype=float)})
-
     def close(self) -> None:
         pass
 
@@ -185,8 +172,7 @@ def rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def start_alert_latch(ticks: DataFrame, alerts: DataFrame | Callable[[], DataFrame], out: str, checkpoint: str,
-                      forget_ms: int | None = None) -> StreamingQuery:
+def start_alert_latch(ticks: DataFrame, alerts: DataFrame | Callable[[], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
     """Fire each alert once, as files of ``FIRED`` rows in ``out``; the file sink's log makes each row appear once.
 
     ``alerts`` may be a DataFrame over files, or a function that makes one at the start; alerts that are added to such a
@@ -194,6 +180,6 @@ def start_alert_latch(ticks: DataFrame, alerts: DataFrame | Callable[[], DataFra
     """
     with rocks(ticks.sparkSession):
         fired = hits(ticks, alerts() if callable(alerts) else alerts).groupBy("alert_id").transformWithStateInPandas(
-            Latch(forget_ms), FIRED, outputMode="Append", timeMode="ProcessingTime" if forget_ms else "None")
+            Latch(), FIRED, outputMode="Append", timeMode="None")
         return (fired.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
                 .trigger(availableNow=True).start())
