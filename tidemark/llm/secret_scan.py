@@ -1,6 +1,6 @@
 """Secret scan: candidate strings by pattern, false positives removed by a random forest.
 
-A candidate is a long run of letters, digits and the marks of common encodings, without the name that an equals sign
+A candidate is the password of a link, the body of a private key, a long run of letters, digits and the marks of common encodings, without the name that an equals sign
 puts before it, or a value of any length that is assigned to a credential's name. Its features are its length, the transitions between kinds of characters, how much of it a dictionary of common words covers,
 words of the path it comes from, and the words and marks beside it. The forest is trained in numpy on
 a bounded sample of labelled findings.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import map_texts
+from tidemark.llm.tables import cut, map_texts
 from tidemark.llm.transducer import Vocabulary
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
@@ -38,6 +38,14 @@ NAMED = re.compile(ASSIGNS + r"(?!\$[{(]|\{\{|<|%\()(?:([\"'`])(?P<quoted>(?:(?!
 BEARER = re.compile(r"\bbearer\s{1,8}$", re.I)
 BORNE = re.compile(r"\bbearer\s{1,8}(?P<bare>[A-Za-z0-9+/_=.~\-]{8,})", re.I)
 WEB_TOKEN = re.compile(r"\b(?P<bare>eyJ[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+){1,2})")
+LINK = re.compile(r"://[^\s:/@\"']{0,64}:(?![$<{%*])(?P<bare>[^\s/@\"']{3,})(?=@)")
+IN_LINK = re.compile(r"://[^\s:/@\"']{0,64}:$")
+PRIVATE = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY[A-Z ]{0,10}-----"
+PEM = re.compile(PRIVATE + r"(?:\\[nr]|\s)*(?P<bare>(?:[\w\-]+: [^\n]*\n\s*)*[A-Za-z0-9+/=](?:(?:[A-Za-z0-9+/=\s]|\\[nr])*[A-Za-z0-9+/=])?)")
+BEGUN = re.compile(PRIVATE)
+#: what a text must hold, lower-cased, for each pattern to match; the last two of the first are letters that fold to s and k
+MARKS = ((NAMED, (b"token", b"secret", b"pass", b"pwd", b"auth", b"credential", b"key", "\u017f".encode(), "\u212a".encode())),
+         (BORNE, (b"bearer",)), (WEB_TOKEN, (b"eyj",)), (LINK, (b"://",)), (PEM, (b"private key",)))
 ISSUED = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk-|AIza|eyJ)")  # fixed values: prefixes that issuers publish
 NAMES = ("token", "secret", "passw", "pwd", "key", "auth", "cred", "bearer", "private", "access")
 DECOYS = ("test", "example", "sample", "mock", "fake", "dummy", "doc", "license")
@@ -48,9 +56,12 @@ MASK = "[SECRET]"
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of candidates, in order: values of credentials' names, and runs that hold a digit or change between upper
-    and lower case more than three times. Spans that overlap are one."""
-    spans = [m.span("quoted" if m.lastgroup == "quoted" else "bare") for p in (NAMED, BORNE, WEB_TOKEN) for m in p.finditer(text)]
+    """Spans of candidates, in order: values of credentials' names, passwords in links, bodies of private keys, and runs
+    that hold a digit or change between upper and lower case more than three times. Spans that overlap are one.
+    The costly patterns are tried on texts that hold their marks only, which changes no result."""
+    low = text.encode("utf-8", "surrogatepass").lower()
+    spans = [m.span("quoted" if m.lastgroup == "quoted" else "bare")
+             for p, marks in MARKS if any(mark in low for mark in marks) for m in p.finditer(text)]
     for m in CANDIDATE.finditer(text):
         named = BEFORE_VALUE.match(text, *m.span())
         start = named.end() if named else m.start()
@@ -73,6 +84,8 @@ def certain(text: str, start: int, end: int) -> bool | None:
     """Label from context alone; None where the context leaves a doubt."""
     run, before = text[start:end], text[max(0, start - BESIDE):start]
     digit = any("0" <= c <= "9" for c in run)
+    if BEGUN.search(text, max(0, start - 2 * BESIDE), end) or text[end:end + 1] == "@" and IN_LINK.search(text[max(0, start - 2 * BESIDE):start]):
+        return True
     if ISSUED.search(run) and len(run) >= 16 or BEARER.search(before) and digit:
         return True
     if ASSIGNED.search(before) and not re.search(r"\s", run) and (before[-1] in "\"'`" or digit and any(c.isalpha() for c in run) or CANDIDATE.fullmatch(run)):
@@ -207,7 +220,7 @@ def labelled(docs: DataFrame, vocabulary: str, findings: DataFrame | None = None
 
 def train(docs: DataFrame, vocabulary: str, findings: DataFrame | None = None, per_class: int = SAMPLE_PER_CLASS) -> Forest:
     """Fit on at most ``per_class`` findings of either kind; equal findings count once."""
-    seen = labelled(docs, vocabulary, findings).groupBy("x", "h").agg(F.max("label").alias("label"))
+    seen = cut(labelled(docs, vocabulary, findings).groupBy("x", "h").agg(F.max("label").alias("label")))  # the texts are read once
     rows = []
     for label in (0, 1):
         rows += seen.where(F.col("label") == label).orderBy("h", "x").limit(per_class).select("label", "x").collect()
