@@ -7,6 +7,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash, spotsigs, stages
 from tidemark.llm.components import components
@@ -145,6 +146,34 @@ def test_near_copies_of_a_large_group_and_its_fringe(spark, monkeypatch):
     assert got == want
 
 
+def test_texts_of_one_template_that_are_not_alike_cost_no_pairs(spark):
+    rng = random.Random(21)
+
+    def word():
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+
+    template, texts = [word() for _ in range(200)], []
+    for _ in range(2000):  # six slots of 200 words: 30 of 196 shingles are their own, similarity 0.73
+        text = template[:]
+        for slot in range(8, 200, 33):
+            text[slot] = word()
+        texts.append(" ".join(text))
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:3])], "node bigint, text string")
+    each = simhash.prefix_rows(rows, 5, 0.8).distinct().withColumn("lead", simhash.leads(F.col("size"), F.col("pos"), 0.8))
+    crowded = each.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.col("lead").cast("int")).alias("l")).where("n > 1").collect()
+    assert max(r.n for r in crowded) >= 2000 and sum(r.n * r.l for r in crowded) < 4 * len(texts)
+    got = simhash.near_copies(spark.createDataFrame([(k, t) for k, t in enumerate(texts[:300] + [texts[5] + " x"])], "doc_id bigint, text string")).collect()
+    assert [(r.oid, r.first_oid) for r in got] == [(300, 5)]
+
+
+def test_different_texts_with_one_key_are_two_nodes(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "text_key", lambda text="text": F.length(F.coalesce(F.col(text), F.lit(""))).cast("bigint"))
+    texts = ["one two three four five six", "six five four three two one", "one two three four five six", "x", "y", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.oid, r.first_oid) for r in simhash.near_copies(docs).collect() if r.oid != r.first_oid}
+    assert got == {(2, 0), (6, 5)}
+
+
 def test_near_copies_with_words_added_or_cut_and_short_ones(spark):
     rng = random.Random(5)
 

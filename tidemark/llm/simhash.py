@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,6 +149,7 @@ def hex16(fp: str = "fp") -> Column:
 
 SAMPLED = 64        # of so many texts one is counted for the order of shingles, which decides time and never results ...
 FREQUENT = 200_000  # ... and at most so many frequent shingles are known to it
+SEEN = 1_000_000    # texts that a task knows to have sent
 HUBS = 4            # orders of members by which large buckets choose their hubs
 PLAIN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -172,7 +174,7 @@ def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.nda
         sets = [shingle_hashes(plain_words(t), shingle) for t in raw_texts(batch.column(0))]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets))], ["h"])
 
-    sample = rows.where(F.pmod("key", F.lit(SAMPLED)) == 0).select("text")
+    sample = rows.where(F.pmod("node", F.lit(SAMPLED)) == 0).select("text")
     found = (map_texts(sample, run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
              .orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow())
     hashes, counts = (found.column(c).to_numpy() for c in ("h", "n"))
@@ -193,16 +195,107 @@ def prefix(shingles: np.ndarray, least: float, frequent: tuple[np.ndarray, np.nd
     return shingles[np.lexsort((shingles, weight))][:n - math.ceil(least * n - 1e-9) + 1]
 
 
+def leads(size: Column, pos: Column, least: float) -> Column:
+    """Whether a place of a prefix is among those that must hold the first common shingle when the other set is no smaller."""
+    return pos < F.greatest(F.lit(1), size - F.ceil(2 * least / (1 + least) * size - 1e-9) + 1)
+
+
+def can_be_alike(size: Column, pos: Column, size2: Column, pos2: Column, least: float) -> Column:
+    """At the first shingle that two sets share, no more of a set can be common than what follows it in the order of the prefixes."""
+    return F.least(size - pos, size2 - pos2) >= least / (1 + least) * (size + size2) - 1e-9
+
+
+def lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+
+
+def prefix_rows(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(h, node, size, pos): the prefixes of texts (node, text). A task sends a text that it meets again only once."""
+    sent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, shingle))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            nodes, sizes, found = [], [], []
+            for node, t in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+                if node in seen:
+                    continue
+                seen.add(node)
+                s = shingle_hashes(plain_words(t), shingle)
+                nodes.append(node)
+                sizes.append(len(s))
+                found.append(prefix(s, least, sent.value))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists(found)], ["node", "size", "p"])
+            if len(seen) > SEEN:
+                seen.clear()
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, size int, p array<bigint>").select("node", "size", F.posexplode("p").alias("pos", "h"))
+
+
+def small_pairs(members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of members of small buckets that can be alike."""
+    each = members.groupBy("h").agg(F.collect_list(F.struct("node", "size", "pos", "lead")).alias("all"))
+    each = each.select("all", F.explode(F.filter("all", lambda x: x["lead"])).alias("x"))
+    other = F.filter("all", lambda y: (y["node"] != F.col("x.node")) & (y["size"] >= F.col("x.size")) & can_be_alike(
+        F.col("x.size"), F.col("x.pos"), y["size"], y["pos"], least))
+    pairs = each.select(F.col("x.node").alias("node"), F.explode(other).alias("y"))
+    return pairs.select(F.least("node", "y.node").alias("a"), F.greatest("node", "y.node").alias("b")).distinct()
+
+
 def meeting(left: DataFrame, right: DataFrame, least: float, allowed: Column) -> DataFrame:
-    """Pairs (a, b), a < b, of members (h, key, size, pos) of the same bucket, without those that cannot be so alike.
+    """Pairs (a, b), a < b, of members (h, node, size, pos) of the same bucket that can be alike."""
+    right = right.select("h", *[F.col(c).alias(f"{c}2") for c in right.columns if c != "h"])
+    pairs = left.join(right, "h").where(allowed & can_be_alike(F.col("size"), F.col("pos"), F.col("size2"), F.col("pos2"), least))
+    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
-    At the first shingle that two sets share, in the order of the prefixes, no more of a set can be common than what follows.
+
+def alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts have shingle sets at least so alike. ``texts`` (node, text) may repeat a node.
+
+    Texts travel, not sets: packed text is a third of the hashes of its shingles. Each side is joined on its own.
     """
-    right = right.select("h", *[F.col(c).alias(f"{c}2") for c in right.columns if c != "h"])
-    possible = F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2"))
-    enough = possible >= least / (1 + least) * (F.col("size") + F.col("size2")) - 1e-9
-    pairs = left.join(right, "h").where(allowed & enough)
-    return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "compared-texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[int, np.ndarray] = {}
+            keep = []
+            a, b = (batch.column(i).to_pylist() for i in (0, 1))
+            sides = raw_texts(batch.column(2)), raw_texts(batch.column(3))
+            for i in range(batch.num_rows):
+                sets = []
+                for node, t in ((a[i], sides[0][i]), (b[i], sides[1][i])):
+                    if node not in known:
+                        known[node] = shingle_hashes(plain_words(t), shingle)
+                    sets.append(known[node])
+                common = len(np.intersect1d(*sets, assume_unique=True))
+                union = len(sets[0]) + len(sets[1]) - common
+                keep.append(union == 0 or common >= least * union)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    both = pairs.join(needed.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
+    both = both.join(needed.select(F.col("node").alias("b"), F.col("text").alias("r")), "b")
+    return both.select("a", "b", "s", "r").mapInArrow(run, "a bigint, b bigint")
+
+
+def nodes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, known): ``docs`` as (node, text), and (oid, key, node, n), the distinct documents with their number of rows.
+
+    A node is a text, named by its 64-bit key. Different texts with one key - a second hash tells them apart; some are
+    to be expected among 10 ** 10 texts - are named by the second hash instead.
+    """
+    second = F.xxhash64(F.lit(1), F.coalesce("text", F.lit("")))
+    rows = docs.select(order_id().alias("oid"), text_key().alias("key"), second.alias("key2"), "text")
+    known = cut(rows.groupBy("oid", "key", "key2").agg(F.count("*").alias("n")))
+    odd = cut(known.groupBy("key").agg(F.min("key2").alias("low"), F.max("key2").alias("high")).where("low != high").select(F.col("key").alias("odd")))
+    if odd.isEmpty():
+        return rows.select(F.col("key").alias("node"), "text"), known.select("oid", "key", F.col("key").alias("node"), "n")
+    node = F.when(F.col("odd").isNull(), F.col("key")).otherwise(F.col("key2")).alias("node")
+    rows, known = (t.join(odd, F.col("key") == F.col("odd"), "left") for t in (rows, known))
+    return rows.select(node, "text"), known.select("oid", "key", node, "n")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -210,60 +303,37 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
 
     A document is a distinct pair of order id and text key, ``n`` its number of rows. Groups are components over links
     between texts whose word shingles have a Jaccard similarity of at least ``least``; none is missed. Candidates are
-    texts that share a shingle of their prefixes (``prefix``); each is then checked on the whole texts. Members of a
-    large bucket meet its hub first; then all those meet that are not yet in one group, so a large group of copies
-    costs no pair per two members. A group's first is the least id (then text key). Blank texts are copies of each other.
+    texts that share a shingle of their prefixes (``prefix``), and of the smaller one it is among the leading places
+    (``leads``); each is then checked on the whole texts. Members of a large bucket meet its hub first; then all those
+    meet that are not yet in one group, so a large group of copies costs no pair per two members, and texts of one
+    template that differ in a ninth of their shingles or more have no leading place in a bucket of the template.
+    A group's first is the least id (then text key). Blank texts are copies of each other.
     """
-    rows = docs.select(order_id().alias("oid"), text_key().alias("key"), "text")
-    known = cut(rows.groupBy("oid", "key").agg(F.count("*").alias("n")))
-    texts = cut(known.groupBy("key").agg(F.min("oid").alias("oid")))
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(rows, shingle))
-
-    def lists(values: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
-
-    def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        size, p = [], []
-        for t in raw_texts(batch.column(1)):
-            s = shingle_hashes(plain_words(t), shingle)
-            size.append(len(s))
-            p.append(prefix(s, least, sent.value))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), lists(p)], ["key", "size", "p"])
-
-    each = map_texts(rows.select("key", "text"), prefixes, "key bigint, size int, p array<bigint>")
-    each = each.select("key", "size", F.posexplode("p").alias("pos", "h")).repartition("h").distinct()
-    members = cut(each.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1"))
-    small, large = (members.where(c).select("h", "key", "size", "pos") for c in (F.col("n") <= SMALL_BUCKET, F.col("n") > SMALL_BUCKET))
-    hub = F.min_by(F.struct("key", "size", "pos"), F.xxhash64("key", F.pmod("h", F.lit(HUBS)))).alias("hub")
+    rows, known = nodes_of(docs)
+    each = prefix_rows(rows, shingle, least).repartition("h").distinct()
+    here = Window.partitionBy("h")
+    each = each.withColumn("lead", leads(F.col("size"), F.col("pos"), least))
+    each = each.withColumns({"n": F.count("*").over(here), "leading": F.max("lead").over(here)})
+    members = written(each.where("n > 1 and leading").drop("leading"), "prefix-members")
+    large = members.where(F.col("n") > SMALL_BUCKET)
+    hub = F.min_by(F.struct("node", "size", "pos"), F.xxhash64("node", F.pmod("h", F.lit(HUBS)))).alias("hub")
     hubs = large.groupBy("h").agg(hub).select("h", "hub.*")
-    pairs = cut(meeting(small, small, least, F.col("key") < F.col("key2"))
-                .union(meeting(large, hubs, least, F.col("key") != F.col("key2"))).distinct())
-
-    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_hashes(plain_words(t), shingle) for t in raw_texts(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), lists(sets)], ["key", "s"])
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct().join(texts, "key")
-        sets = map_texts(rows.join(wanted, ["key", "oid"]).select("key", "text"), shingles, "key bigint, s array<bigint>")
-        sets = written(sets.groupBy("key").agg(F.first("s").alias("s")), "shingle-sets")
-        both = (pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("s")), "a")
-                .join(sets.select(F.col("key").alias("b"), F.col("s").alias("r")), "b"))
-        common = F.size(F.array_intersect("s", "r"))
-        union = F.size("s") + F.size("r") - common
-        return both.where((union == 0) | (common >= least * union)).select("a", "b")
-
-    labels = components(linked(pairs), "a", "b")
+    pairs = written(small_pairs(members.where(F.col("n") <= SMALL_BUCKET), least)
+                    .union(meeting(large.select("h", "node", "size", "pos"), hubs, least, F.col("node") != F.col("node2"))).distinct(), "pairs")
+    labels = components(alike(pairs, rows, shingle, least), "a", "b")
     if not large.isEmpty():
-        grouped = large.join(labels, F.col("key") == F.col("node"), "left").select("h", "key", "size", "pos", F.coalesce("component", "key").alias("c"))
+        grouped = large.join(labels.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select(
+            "h", "node", "size", "pos", "lead", F.coalesce("component", "node").alias("c"))
         mixed = grouped.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
         grouped = cut(grouped.join(mixed, "h"))
-        rest = cut(meeting(grouped, grouped, least, (F.col("key") < F.col("key2")) & (F.col("c") != F.col("c2"))).join(pairs, ["a", "b"], "left_anti"))
+        rest = meeting(grouped.where("lead"), grouped.drop("lead"), least,
+                       (F.col("size") <= F.col("size2")) & (F.col("node") != F.col("node2")) & (F.col("c") != F.col("c2")))
+        rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not rest.isEmpty():
-            labels = components(linked(rest).union(labels.select("node", "component")), "a", "b")
-    grouped = texts.join(labels, F.col("key") == F.col("node"), "left").select("key", "oid", F.coalesce("component", "key").alias("c"))
+            labels = components(alike(rest, rows, shingle, least).union(labels.select("node", "component")), "a", "b")
+    grouped = known.join(labels.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select(
+        "oid", "key", "n", F.coalesce("component", "node").alias("c"))
+    grouped = cut(grouped)
     head = grouped.groupBy("c").agg(F.min(F.struct("oid", "key")).alias("head"))
-    groups = cut(grouped.join(head, "c").select(F.col("key").alias("k"), F.col("head.oid").alias("first_oid"), F.col("head.key").alias("first_key")))
-    return (known.join(groups, F.col("key") == F.col("k")).select("oid", "key", "n", "first_oid", "first_key")
+    return (grouped.join(head, "c").select("oid", "key", "n", F.col("head.oid").alias("first_oid"), F.col("head.key").alias("first_key"))
             .where("n > 1 or oid != first_oid or key != first_key"))
