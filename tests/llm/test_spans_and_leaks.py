@@ -96,7 +96,9 @@ def test_repeated_rows_and_null_ids_have_results(spark, docs, corpus):
     items = spark.createDataFrame([(1, corpus[3][1]), (2, corpus[7][1]), (None, corpus[8][1])], "item_id bigint, text string")
     got = [(r.doc_id, r.contaminated) for r in winnowing.contamination(docs, items).collect()]
     assert len(got) == len(corpus)
-    assert got.count((3, True)) == 2 and (None, True) in got and (7, True) in got and (8, False) in got
+    assert got.count((3, True)) == 2 and (None, True) in got and (7, True) in got and (8, True) in got
+    rows = {r.doc_id: (r.n_items, r.items_sha256 == hashlib.sha256(b'').hexdigest(), r.n_hit > 0) for r in winnowing.contamination(docs, items).collect()}
+    assert rows[8] == (0, True, True) and rows[3] == (1, False, True)  # items without an id hit, but are not named
 
 
 def test_no_items_no_leaks(spark, docs):

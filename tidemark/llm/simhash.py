@@ -149,7 +149,7 @@ def hex16(fp: str = "fp") -> Column:
 
 SAMPLED = 64        # of so many texts one is counted for the order of shingles, which decides time and never results ...
 FREQUENT = 200_000  # ... and at most so many frequent shingles are known to it
-SEEN = 1_000_000    # texts that a task knows to have sent
+SEEN = 200_000    # texts that a task knows to have sent
 HUBS = 4            # orders of members by which large buckets choose their hubs
 PLAIN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -267,6 +267,8 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
             sides = raw_texts(batch.column(2)), raw_texts(batch.column(3))
             for i in range(batch.num_rows):
                 sets = []
+                if len(known) > 2000:
+                    known.clear()
                 for node, t in ((a[i], sides[0][i]), (b[i], sides[1][i])):
                     if node not in known:
                         known[node] = shingle_hashes(plain_words(t), shingle)

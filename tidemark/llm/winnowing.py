@@ -55,11 +55,11 @@ def tagged(length: int, values: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, len, window, h): every window of each item, once per item; null ids and items without words have none.
+    """(item_id, len, window, h): every window of each item, once per item; items without words have none. Null ids stay null.
 
     ``len`` is 0 for a full window, whose ``h`` is its fingerprint, else the item's number of words.
     """
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), words().alias("w")).where(F.size("w") > 0)
+    items = benchmark.select(F.col("item_id").cast("string"), words().alias("w")).where(F.size("w") > 0)
     full = items.where(F.size("w") >= SPAN).withColumn("g", gram_hashes("w", GRAM))
     each = F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - SPAN + 1), lambda i: F.struct(
         F.array_join(F.slice("w", i, SPAN), " ").alias("window"), F.array_min(F.slice("g", i, SPAN - GRAM + 1)).alias("h"))))
@@ -86,7 +86,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     helper columns oid, key (order id, text key).
 
     A word is hit if it lies in any occurrence of a benchmark window. Null and blank texts have no words.
-    Rows that repeat both id and text get equal results; null ids are allowed.
+    Rows that repeat both id and text get equal results; null ids are allowed. Benchmark items with a null id give hits
+    and contamination like others; only ``n_items`` and ``items_sha256`` leave them out.
     """
     known = written(benchmark_windows(benchmark), "benchmark-windows")
     lengths = sorted(r[0] for r in known.select("len").distinct().collect())  # at most SPAN values

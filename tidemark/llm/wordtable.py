@@ -77,11 +77,11 @@ def apart(text: str, special: str) -> list[str]:
     return [q for k, p in enumerate(cut) for q in ((special, p) if k else (p,))]
 
 
-def blocks(batch: pa.RecordBatch, special: dict[str, int], buckets: int) -> Iterator[tuple]:
+def blocks(batch: pa.RecordBatch, special: dict[str, int], buckets: int, size: int) -> Iterator[tuple]:
     """(name, ids of the rows, words per row, words' numbers, distinct words, bucket edges) of each block."""
     texts = [t or "" for t in batch.column(1).to_pylist()]
     ids = batch.column(0).to_pylist()
-    for a, b in bounded(texts, BLOCK):
+    for a, b in bounded(texts, size):
         words, counts = words_of(texts[a:b], special)
         numbers: dict[str, int] = {}
         put = numbers.setdefault
@@ -96,10 +96,11 @@ def blocks(batch: pa.RecordBatch, special: dict[str, int], buckets: int) -> Iter
         yield name, ids[a:b], counts, place[index], [distinct[i] for i in order], np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
+def encoded(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, ids (little-endian unsigned 32-bit numbers) and decoded text.
 
-    A null text is empty and has no ids. Special tokens' strings count as these tokens.
+    A null text is empty and has no ids. Special tokens' strings count as these tokens. ``block`` is a block's size in
+    characters: smaller ones need less memory and send more words.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -107,7 +108,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def word_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for name, _, _, _, words, edges in blocks(batch, codec(path).special, buckets):
+            for name, _, _, _, words, edges in blocks(batch, codec(path).special, buckets, block):
                 used = np.nonzero(np.diff(edges))[0]
                 lists = []
                 for k in used:
@@ -143,7 +144,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def texts_by_number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for name, ids, counts, index, words, _ in blocks(batch, codec(path).special, buckets):
+            for name, ids, counts, index, words, _ in blocks(batch, codec(path).special, buckets, block):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name], pa.binary()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
                      pa.array([squeeze.compress(index.astype("<u4").tobytes())], pa.binary()), pa.array([len(words)], pa.int64())],
