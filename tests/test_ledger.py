@@ -91,7 +91,7 @@ def test_trade_numbers_under_a_hot_portfolio(spark):
         pf = "hot" if i % 3 else f"p{i % 50}"
         day = D(2025, rnd.randint(1, 3), rnd.randint(1, 28))
         rows.append(buy(pf, f"{rnd.randint(1, 10**7)}-{i}", day, "A", 1, 10) if i % 5 else div(pf, f"{rnd.randint(1, 10**7)}-{i}", day, "A", 1))
-    got = {r["tx_id"]: r["trade_number_in_month"] for r in lg.trade_numbers(spark.createDataFrame(rows, TX), prefix=2).collect()}
+    got = {r["tx_id"]: r["trade_number_in_month"] for r in lg.trade_numbers(spark.createDataFrame(rows, TX)).collect()}
     seen, want = {}, {}
     for r in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
         if r[9] == "dividend":

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import bisect_root, clamp, dbl
-from tidemark.operators.ranking import log_bucket, numbered
+from tidemark.operators.ranking import numbered
 from tidemark.session import spread
 
 # Risk points, multipliers, return assumptions and thresholds.
@@ -176,17 +176,18 @@ def goals_counts(progress: DataFrame) -> DataFrame:
     return progress.groupBy("on_track").agg(F.count("*").alias("n_goals"))
 
 
-def debt_order(debts: DataFrame, monthly_budget: float, id_range: int = 1_000_000) -> DataFrame:
+def debt_order(debts: DataFrame, monthly_budget: float) -> DataFrame:
     """Is the budget enough for all minimums, and each debt's place in the two payoff orders.
 
-    Highest rate first and smallest balance first, equal keys by id. Places are numbered over
-    coarse buckets, so one household's debts are never sorted in a single task.
+    Highest rate first and smallest balance first, equal keys by id; unknown rates and balances come last. Debts
+    without a household are one group. One household's debts are never sorted in a single task.
     """
     key, debt = ["household_id"], F.col("debt_id")
-    total = debts.groupBy("household_id").agg(F.sum("min_payment").alias("total_min"))
-    ranked = numbered(debts, key, [-F.col("interest_rate"), F.floor(debt / id_range)], [debt], "avalanche")
-    ranked = numbered(ranked, key, [log_bucket(F.col("balance"))], [F.col("balance"), debt], "snowball")
-    return ranked.join(total, "household_id").withColumn("feasible", F.lit(float(monthly_budget)) >= F.col("total_min"))
+    ranked = numbered(debts, key, [F.desc_nulls_last("interest_rate"), debt], "avalanche")
+    ranked = numbered(ranked, key, [F.asc_nulls_last("balance"), debt], "snowball")
+    total = ranked.groupBy(F.col("household_id").alias("_h")).agg(F.sum("min_payment").alias("total_min"))
+    ranked = ranked.join(total, F.col("household_id").eqNullSafe(F.col("_h"))).drop("_h")
+    return ranked.withColumn("feasible", F.lit(float(monthly_budget)) >= F.col("total_min"))
 
 
 def purchase_days(plans: DataFrame, day_col: str = "buy_day") -> DataFrame:

@@ -68,17 +68,15 @@ def gross_up(net: Column) -> Column:
     return F.when(net > 0, net / (1 - WITHHOLDING)).otherwise(0.0)
 
 
-def trade_numbers(tx: DataFrame, prefix: int = 4) -> DataFrame:
+def trade_numbers(tx: DataFrame) -> DataFrame:
     """``trade_number_in_month`` per portfolio, by date then id; dividends get 0.
 
-    A portfolio's month may be very large, so numbers come from ``numbered`` over the buckets
-    (date, first letters of the id), which sort like (date, id).
+    A null portfolio, month or id counts like any other value; a row without a kind is a purchase.
     """
-    month = tx.withColumn("_month", F.trunc("date", "month"))
-    trade = F.col("tx_type") != "dividend"
-    name = "trade_number_in_month"
-    out = numbered(month, ["portfolio_id", "_month"], [F.col("date"), F.substring("tx_id", 1, prefix)], [F.col("tx_id")], name, trade)
-    return out.withColumn(name, F.when(trade, F.col(name)).otherwise(0)).drop("_month")
+    name, dividend = "trade_number_in_month", F.coalesce(F.col("tx_type") == "dividend", F.lit(False))
+    month = tx.withColumns({"_month": F.trunc("date", "month"), "_dividend": dividend})
+    out = numbered(month, ["portfolio_id", "_month", "_dividend"], [F.col("date"), F.col("tx_id")], name)
+    return out.withColumn(name, F.when(F.col("_dividend"), 0).otherwise(F.col(name))).drop("_month", "_dividend")
 
 
 def running_average_cost(tx: DataFrame) -> DataFrame:

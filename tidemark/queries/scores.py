@@ -252,9 +252,7 @@ def _(t):
 @query("K1_score_ranking", "symbol:s total_pct:1 rank:i", """
 SELECT symbol, total_pct, row_number() OVER (ORDER BY total_pct DESC NULLS LAST, symbol) AS rank FROM scores""")
 def _(t):
-    rows = sc.symbol_scores(t.prices(), t.fundamentals()).withColumn("all", F.lit(1))
-    down = -F.coalesce(F.col("total_pct"), F.lit(-1.0))  # scores lie in 0..100, those without one come last
-    return numbered(rows, ["all"], [F.floor(down * 10)], [down, F.col("symbol")], "rank")
+    return numbered(sc.symbol_scores(t.prices(), t.fundamentals()), [], [F.desc_nulls_last("total_pct"), F.col("symbol")], "rank")
 
 
 CTES["screen_rows"] = """

@@ -24,6 +24,15 @@ def build_session(master: str | None = None, app: str = "tidemark", **conf: str)
     return builder.getOrCreate()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; unset (tests), in the warehouse."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread rows over all shuffle partitions before work that costs far more than moving them.
 
