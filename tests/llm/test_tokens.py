@@ -124,3 +124,10 @@ def test_packed_rows_give_back_every_text(spark, docs, corpus, tmp_path):
 
 def test_empty_table(nothing):
     assert transducer.counted(nothing, PATH).count() == wordtable.encoded(nothing, PATH).count() == packing.packed(nothing, PATH).count() == 0
+
+
+def test_large_vocabularies_and_rows_take_wider_numbers(spark, docs, corpus, monkeypatch):
+    assert [packing.number_type(n) for n in (50_000, 65_535, 65_536, 200_000)] == ["<u2", "<u2", "<u4", "<u4"]
+    batch = packing.pack_texts([1, 2], ["one two three", "four"], PATH, 70_000, 0)
+    ids, places = packing.matrices(batch.to_pylist(), 70_000)
+    assert ids.dtype == np.dtype("<u4") and ids.shape == (1, 70_000) and places[0, :3].tolist() == [0, 1, 2]

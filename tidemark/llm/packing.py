@@ -80,16 +80,22 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=vocabulary.ids, special_tokens=vocabulary.special)
 
 
+def number_type(largest: int) -> str:
+    """Little-endian unsigned numbers that hold ``largest``: of 16 bits, or of 32 where these do not do."""
+    return "<u2" if largest < 1 << 16 else "<u4"
+
+
 def pack_texts(ids: list[int | None], texts: list[str], path: str, length: int, first_row: int) -> pa.RecordBatch:
     """The packed rows of some texts; special tokens' strings are ordinary text here."""
-    tokens = [np.asarray(encoding(path).encode_to_numpy(t, disallowed_special=(), allowed_special=set()), np.uint16) if t else np.zeros(0, np.uint16) for t in texts]
+    kind = number_type(max(encoding(path).max_token_value, length))
+    tokens = [np.asarray(encoding(path).encode_to_numpy(t, disallowed_special=(), allowed_special=set()), kind) if t else np.zeros(0, kind) for t in texts]
     segments = [(d, at, t[at:at + length]) for d, t in zip(ids, tokens) for at in range(0, len(t), length)]
     rows = best_fit_decreasing([len(s) for _, _, s in segments], length)
     columns: list[list] = [[] for _ in range(7)]
     for r, members in enumerate(rows):
         parts = [segments[i] for i in members]
         ends = np.cumsum([0] + [len(s) for _, _, s in parts])
-        matrix, places = np.zeros(length, "<u2"), np.zeros(length, "<u2")
+        matrix, places = np.zeros(length, kind), np.zeros(length, kind)
         matrix[:ends[-1]] = np.concatenate([s for _, _, s in parts])
         places[:ends[-1]] = np.arange(ends[-1]) - np.repeat(ends[:-1], np.diff(ends))
         for c, value in zip(columns, (first_row + r, int(ends[-1]), matrix.tobytes(), places.tobytes(), ends.tolist(),
@@ -105,12 +111,11 @@ SCHEMA = ("row_id bigint, n_tokens int, input_ids binary, position_ids binary, c
 
 
 def packed(docs: DataFrame, path: str, length: int = ROW) -> DataFrame:
-    """Packed rows: row_id, n_tokens, input_ids and position_ids (``length`` little-endian 16-bit numbers
-    each, zero after n_tokens), cu_seqlens (where segments end, from 0), and for every segment the id of its
+    """Packed rows: row_id, n_tokens, input_ids and position_ids (``length`` little-endian numbers
+    each, zero after n_tokens, of 16 bits or, for a larger vocabulary or length, of 32), cu_seqlens (where segments end, from 0), and for every segment the id of its
     document and its first token's place there (doc_ids, doc_offsets), from which texts are put together again.
 
-    Positions start anew with each segment. Null and empty texts have no tokens and so no segment. The vocabulary
-    must have at most 65,536 tokens. A row's id holds the number of its input partition in the upper bits.
+    Positions start anew with each segment. Null and empty texts have no tokens and so no segment. A row's id holds the number of its input partition in the upper bits.
     """
     def run(batches):
         part, row = None, 0
@@ -128,7 +133,8 @@ def packed(docs: DataFrame, path: str, length: int = ROW) -> DataFrame:
 
 def matrices(rows: list, length: int = ROW) -> tuple[np.ndarray, np.ndarray]:
     """(ids, positions) of collected rows as matrices with one line for each row."""
-    return tuple(np.frombuffer(b"".join(r[c] for r in rows), "<u2").reshape(-1, length) for c in ("input_ids", "position_ids"))
+    kind = number_type(1 << 16 if rows and len(rows[0]["input_ids"]) > 2 * length else 0)
+    return tuple(np.frombuffer(b"".join(r[c] for r in rows), kind).reshape(-1, length) for c in ("input_ids", "position_ids"))
 
 
 def write(rows: DataFrame, path: str) -> None:
