@@ -198,7 +198,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, buckets: int | None =
     """(oid, key, spans): for every document with repeated windows, the word runs to remove, as pairs of
     32-bit numbers in a list of byte strings. Earlier means smaller id, then text key, then position.
 
-    ``buckets``: by default one for each 32 MB of stored input, and no fewer than the shuffle partitions."""
+    ``buckets``: by default one for each 64 MB of stored input, and no fewer than the shuffle partitions."""
     if buckets is None:
         stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         stored = 0 if stored > 1 << 60 else stored  # the planner's way to say that it does not know
