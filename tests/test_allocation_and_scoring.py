@@ -23,6 +23,22 @@ def test_new_money_goes_to_the_gap(spark):
     assert plan(spark, {"A": 70000, "B": 30000}, 20000) == {"B": 20000}
 
 
+def test_one_mix_equals_targets_per_portfolio(spark):
+    mix = {"A": 0.6, "B": 0.4, "D": 0.0}
+    held = spark.createDataFrame([
+        ("p", "A", 3.0, 10.0), ("p", "C", 1.0, 5.0), ("q", "B", 2.0, None), ("r", "C", 4.0, 2.0), ("r", "A", 1.0, 2.0), ("s", None, 1.0, 3.0)],
+        "portfolio_id string, symbol string, shares double, price double")
+    prices = spark.createDataFrame([("A", 10.0), ("B", 4.0), ("C", 5.0)], "symbol string, price double")
+    rows = alloc.assign_mix(held.select("portfolio_id").distinct(), mix)
+    seen = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    valued = held.withColumn("value", F.col("shares") * F.coalesce("price", F.lit(0.0)))
+    for call in (lambda t: alloc.union_of_symbols(valued, t), lambda t: alloc.max_drift(held, t), lambda t: alloc.rebalance_plan(held, t, prices, 300.0, 33.5),
+                 lambda t: alloc.drift_advisory(held, t).select("portfolio_id", "symbol", F.round("drift_pct", 6)),
+                 lambda t: alloc.new_money_plan(valued.select("portfolio_id", "symbol", "value"), t, 5000)):
+        assert seen(call(mix)) == seen(call(rows)) != []
+    assert alloc.union_of_symbols(valued.limit(0), mix).count() == 0
+
+
 def test_new_money_uses_the_whole_budget(spark):
     got = plan(spark, {"A": 33000, "B": 33000, "C": 34000}, 10000, {"A": 1 / 3, "B": 1 / 3, "C": 1 / 3})
     assert sum(got.values()) == 10000

@@ -27,6 +27,13 @@ def test_constant_prices_by_hand(panel, spark):
     assert [m["twr"] for m in months] == [None, 0.0, 0.0]
 
 
+def test_final_shares_and_days_used(panel, spark):
+    p = panel({"A": [10.0] * 65, "B": [20.0] * 65}, weekdays("2024-01-01", 65))
+    rows = dyn.decisions(p, mix(spark, {"A": 0.5, "B": 0.5})).withColumn("plain", F.lit(1.0))
+    got = {r["symbol"]: (r["shares"], str(r["start_used"]), str(r["end_used"])) for r in dyn.final_shares(dyn.purchases(rows, ("plain",), 1000.0)).collect()}
+    assert got == {"A": (150.0, "2024-01-01", "2024-03-01"), "B": (75.0, "2024-01-01", "2024-03-01")}
+
+
 def test_start_is_warm_up_only(panel, spark):
     p = panel({"A": walk(1, 300)}, weekdays("2023-01-02", 300))
     first = dyn.decisions(p, mix(spark, {"A": 1.0}, "2023-06-15")).agg(F.min("dt")).first()[0]
@@ -132,6 +139,9 @@ def test_search_leaves_out_short_symbols(panel):
     p = panel({"long": walk(1, 200), "short": walk(2, 80)}, weekdays("2022-01-03", 200))
     grid, best = sb.search(p)
     assert {r["symbol"] for r in best.collect()} == {"long"} and grid.filter("symbol = 'long'").count() == 12
+    days, row = weekdays("2022-01-03", 200), best.first()
+    assert [row[c] for c in ("train_start", "train_end", "test_start", "test_end")] == [days[0], days[139], days[140], days[199]]
+    assert {(r["first_day"], r["last_day"]) for r in grid.collect()} == {(days[0], days[139])}
 
 
 def test_folds_clip_short_months(spark):

@@ -73,18 +73,15 @@ def symbols_without_data(scores: DataFrame) -> DataFrame:
     return scores.filter(~F.col("data_ok")).select("symbol")
 
 
-def new_money_plan(holdings: DataFrame, targets: DataFrame, budget: float) -> DataFrame:
+def new_money_plan(holdings: DataFrame, targets: DataFrame | dict[str, float], budget: float) -> DataFrame:
     """Spread new money over the symbols furthest below target; nothing is sold.
 
-    ``holdings(portfolio_id, symbol, value)``; ``targets(portfolio_id, symbol, weight, ord)``.
+    ``holdings(portfolio_id, symbol, value)``; ``targets(portfolio_id, symbol, weight, ord)`` or one mix for all.
     Portfolios without a positive holding get no plan.
     """
     pf = Window.partitionBy("portfolio_id")
-    held = holdings.filter(F.col("value") > 0)
-    totals = held.groupBy("portfolio_id").agg(F.sum("value").alias("total_now"))
-    rows = (targets.filter(F.col("weight") > 0).join(totals, "portfolio_id")
-            .join(held, ["portfolio_id", "symbol"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-            .withColumn("weight", F.col("weight") / F.sum("weight").over(pf)))
+    rows = union_of_symbols(holdings.filter(F.col("value") > 0), targets).withColumn("total_now", F.sum("value").over(pf))
+    rows = rows.filter((F.col("weight") > 0) & (F.col("total_now") > 0)).withColumn("weight", F.col("weight") / F.sum("weight").over(pf))
     after = F.col("total_now") + budget
     rows = rows.withColumn("gap", F.greatest(F.lit(0.0), F.col("weight") * after - F.col("value")))
     rows = rows.withColumn("gaps", F.sum("gap").over(pf))
@@ -106,14 +103,35 @@ def assign_mix(portfolios: DataFrame, mix: dict[str, float]) -> DataFrame:
     return portfolios.select("portfolio_id", rows).select("portfolio_id", "m.*")
 
 
-def union_of_symbols(holdings: DataFrame, targets: DataFrame) -> DataFrame:
-    """Actual and target side by side; a symbol missing on one side counts 0 there."""
-    return (holdings.join(targets, ["portfolio_id", "symbol"], "full_outer")
-            .withColumns({"value": F.coalesce("value", F.lit(0.0)), "target": F.col("weight"),
-                          "weight": F.coalesce("weight", F.lit(0.0))}))
+def beside_mix(holdings: DataFrame, mix: dict[str, float]) -> DataFrame:
+    """Holdings (one row per portfolio and symbol) with the symbols of one mix added to every portfolio, as ``weight`` and ``ord``.
+
+    The first row of a portfolio brings the mix along, so neither the portfolios are listed by a second reading nor is
+    anything joined: one shuffle by portfolio serves this and all that follows per portfolio.
+    """
+    fields = [f for f in holdings.schema if f.name not in ("portfolio_id", "weight", "ord")]
+    null = lambda kind: F.lit(None).cast(kind)
+    own = F.struct(*[F.col(f.name) for f in fields], null("double").alias("weight"), null("int").alias("ord"))
+    wanted = [F.struct(*[F.lit(s).cast(f.dataType).alias("symbol") if f.name == "symbol" else null(f.dataType).alias(f.name) for f in fields],
+                       dbl(w).alias("weight"), F.lit(i).alias("ord")) for i, (s, w) in enumerate(mix.items())]
+    first = F.row_number().over(Window.partitionBy("portfolio_id").orderBy("symbol")) == 1
+    rows = holdings.withColumn("_first", first).select(
+        "portfolio_id", F.explode(F.when(F.col("_first"), F.array(own, *wanted)).otherwise(F.array(own))).alias("r"))
+    return rows.select("portfolio_id", "r.*").groupBy("portfolio_id", "symbol").agg(
+        *[F.max(c).alias(c) for c in [f.name for f in fields if f.name != "symbol"] + ["weight", "ord"]])
+
+
+def union_of_symbols(holdings: DataFrame, targets: DataFrame | dict[str, float]) -> DataFrame:
+    """Actual and target side by side; a symbol missing on one side counts 0 there.
+
+    ``targets`` are rows per portfolio, or one mix (symbol -> weight) for every portfolio with holdings.
+    """
+    both = beside_mix(holdings, targets) if isinstance(targets, dict) else holdings.join(targets, ["portfolio_id", "symbol"], "full_outer")
+    return both.withColumns({"value": F.coalesce("value", F.lit(0.0)), "target": F.col("weight"),
+                             "weight": F.coalesce("weight", F.lit(0.0))})
 
 
-def drift_rows(holdings: DataFrame, targets: DataFrame) -> DataFrame:
+def drift_rows(holdings: DataFrame, targets: DataFrame | dict[str, float]) -> DataFrame:
     """One row per portfolio and symbol with the current weight next to the target weight.
 
     ``holdings(portfolio_id, symbol, shares, price)``; a holding without price has value 0 here,
@@ -129,7 +147,7 @@ def drift_rows(holdings: DataFrame, targets: DataFrame) -> DataFrame:
     }).withColumn("current", ratio(F.col("value"), F.when(F.col("total") > 0, F.col("total"))))
 
 
-def max_drift(holdings: DataFrame, targets: DataFrame) -> DataFrame:
+def max_drift(holdings: DataFrame, targets: DataFrame | dict[str, float]) -> DataFrame:
     """Largest distance from target per portfolio (1 when nothing has value)."""
     rows = drift_rows(holdings, targets)
     return rows.groupBy("portfolio_id").agg(
@@ -138,7 +156,7 @@ def max_drift(holdings: DataFrame, targets: DataFrame) -> DataFrame:
         F.max("unpriced").alias("unpriced"))
 
 
-def rebalance_plan(holdings: DataFrame, targets: DataFrame, prices: DataFrame, budget_usd: float, fx: float,
+def rebalance_plan(holdings: DataFrame, targets: DataFrame | dict[str, float], prices: DataFrame, budget_usd: float, fx: float,
                    limit: float = DRIFT_LIMIT) -> DataFrame:
     """Buy, sell or hold per target symbol for portfolios whose largest drift reaches the limit."""
     pf = Window.partitionBy("portfolio_id")
@@ -165,13 +183,13 @@ def price_level_drift(prices: DataFrame, targets: DataFrame, threshold: float =
     return rows.withColumn("need_rebalance", F.col("drift") > threshold)
 
 
-def drift_advisory(holdings: DataFrame, targets: DataFrame, points: float = 5.0) -> DataFrame:
+def drift_advisory(holdings: DataFrame, targets: DataFrame | dict[str, float], points: float = 5.0) -> DataFrame:
     """Priced holdings at least ``points`` percentage points off target."""
     pf = Window.partitionBy("portfolio_id")
     rows = holdings.filter(F.col("price").isNotNull()).withColumn("value", F.col("shares") * F.col("price"))
-    rows = rows.withColumn("total", F.sum("value").over(pf)).filter(F.col("total") > 0)
-    rows = rows.join(targets.select("portfolio_id", "symbol", "weight"), ["portfolio_id", "symbol"], "left")
-    rows = rows.withColumn("drift_pct", F.col("value") / F.col("total") * 100 - F.coalesce("weight", F.lit(0.0)) * 100)
+    rows = union_of_symbols(rows, targets).withColumn("total", F.sum("value").over(pf))
+    rows = rows.filter((F.col("total") > 0) & F.col("price").isNotNull())
+    rows = rows.withColumn("drift_pct", (F.col("value") / F.col("total") - F.col("weight")) * 100)
     return rows.filter(F.abs("drift_pct") >= points)
 
 

@@ -225,31 +225,72 @@ def solve_rate(times: pd.Series, amounts: pd.Series) -> pd.Series:
     return pd.Series(root).where(found, None)
 
 
+def ledger_flows(tx: DataFrame, prices: DataFrame, as_of) -> DataFrame:
+    """(portfolio_id, date, leg, amount, n_neg, n_pos): signed money per portfolio, day and leg, from one pass over the ledger.
+
+    Legs are ``buy`` (usable purchases, out), ``dividend`` (in) and ``value`` (today's value of what was bought and
+    has a price, on ``as_of``, counted as one flow). All are sums, so a portfolio's rows combine before the only
+    shuffle. A day without a usable purchase keeps its buy row, with a NULL amount and no flows.
+    """
+    buy, usd, last = F.col("tx_type") != "dividend", F.col("shares") * F.col("price_usd"), F.col("_last")
+
+    def leg(name: str, when: Column, date: Column, amount: Column) -> Column:
+        return F.when(when, F.struct(F.lit(name).alias("leg"), date.cast("date").alias("date"), amount.alias("amount")))
+
+    legs = F.array_compact(F.array(
+        leg("buy", buy, F.col("date"), F.when(usd > 0, -usd)),
+        leg("dividend", ~buy, F.col("date"), F.col("amount_thb") / F.col("fx_rate_thb")),
+        leg("value", buy & last.isNotNull(), F.lit(as_of), F.col("shares") * last)))
+    rows = tx.join(prices.select(F.col("symbol").alias("ticker"), F.col("price").alias("_last")), "ticker", "left")
+    rows = rows.select("portfolio_id", F.explode(legs).alias("l")).select("portfolio_id", "l.*")
+    out = rows.groupBy("portfolio_id", "date", "leg").agg(
+        F.sum("amount").alias("amount"), F.count_if(F.col("amount") < 0).alias("n_neg"), F.count_if(F.col("amount") > 0).alias("n_pos"))
+    once = lambda c, sign: F.when(F.col("leg") == "value", F.coalesce(sign, F.lit(False)).cast("bigint")).otherwise(F.col(c))
+    return out.withColumns({"n_neg": once("n_neg", F.col("amount") < 0), "n_pos": once("n_pos", F.col("amount") > 0)})
+
+
 def xirr(flows: DataFrame) -> DataFrame:
     """Money-weighted yearly return per portfolio, NULL where it is not defined.
 
     Present value depends on the sum per day only, so flows are summed per day before the
-    (then calendar-bounded) list per portfolio is formed.
+    (then calendar-bounded) list per portfolio is formed. Rows of ``ledger_flows`` bring their own
+    counts; for these the day of the first purchase comes along as ``first_buy``.
     """
+    counted = "leg" in flows.columns
     amount = F.col("amount")
-    day = flows.filter(amount != 0).groupBy("portfolio_id", "date").agg(
-        F.sum("amount").alias("amount"), F.count("*").alias("n"),
-        F.count_if(amount < 0).alias("n_neg"), F.count_if(amount > 0).alias("n_pos"))
+    if not counted:
+        flows = flows.filter(amount != 0).withColumns({"n_neg": (amount < 0).cast("bigint"), "n_pos": (amount > 0).cast("bigint")})
+    buys = F.count_if(F.col("leg") == "buy" if counted else F.lit(False)).alias("buys")
+    day = flows.groupBy("portfolio_id", "date").agg(
+        F.sum("amount").alias("amount"), F.sum("n_neg").alias("n_neg"), F.sum("n_pos").alias("n_pos"), buys)
+    some = F.col("n_neg") + F.col("n_pos") > 0
     per = day.groupBy("portfolio_id").agg(
-        F.sum("n").alias("n_flows"), F.sum("n_neg").alias("n_neg"), F.sum("n_pos").alias("n_pos"),
-        F.min("date").alias("t0"), F.collect_list(F.struct("date", "amount")).alias("days"))
+        F.sum("n_neg").alias("n_neg"), F.sum("n_pos").alias("n_pos"), F.min(F.when(some, F.col("date"))).alias("t0"),
+        F.min(F.when(F.col("buys") > 0, F.col("date"))).alias("first_buy"),
+        F.collect_list(F.when(some, F.struct("date", "amount"))).alias("days"))
+    per = per.withColumn("n_flows", F.col("n_neg") + F.col("n_pos")).filter("n_flows > 0")
     solvable = (F.col("n_flows") >= 2) & (F.col("n_neg") > 0) & (F.col("n_pos") > 0)
     times = F.transform("days", lambda d: F.date_diff(d["date"], F.col("t0")) / DAYS_PER_YEAR)
-    rows = per.select("portfolio_id", "n_flows", "t0", solvable.alias("solvable"), times.alias("t"), F.col("days.amount").alias("a"))
+    rows = per.select("portfolio_id", "n_flows", "t0", "first_buy", solvable.alias("solvable"), times.alias("t"), F.col("days.amount").alias("a"))
     solve = F.pandas_udf(solve_rate, "double")
     return rows.withColumn("rate", solve("t", "a")).select(
-        "portfolio_id", "n_flows", "t0", F.when(F.col("solvable"), F.nanvl("rate", F.lit(None).cast("double"))).alias("xirr"))
+        "portfolio_id", "n_flows", "t0", *["first_buy"] * counted,
+        F.when(F.col("solvable"), F.nanvl("rate", F.lit(None).cast("double"))).alias("xirr"))
+
+
+def in_percent(rates: DataFrame, as_of, inflation_pct: float) -> DataFrame:
+    """Rates (portfolio_id, n_flows, first_buy, xirr) in percent; portfolios younger than 90 days are not annualised."""
+    old = F.date_diff(F.lit(as_of).cast("date"), "first_buy") >= 90
+    return rates.select("portfolio_id", "n_flows", F.when(old, F.col("xirr") * 100).alias("xirr_pct"),
+                        F.when(old, F.col("xirr") * 100 - inflation_pct).alias("real_pct"))
 
 
 def money_weighted_returns(tx: DataFrame, held: DataFrame, as_of, inflation_pct: float) -> DataFrame:
-    """XIRR and real return in percent; portfolios younger than 90 days are not annualised."""
+    """XIRR and real return in percent, with the value of given holdings."""
     first_buy = purchases_by_day(tx).groupBy("portfolio_id").agg(F.min("date").alias("first_buy"))
-    rows = xirr(cash_flows(tx, held, as_of)).join(first_buy, "portfolio_id", "left")
-    old = F.date_diff(F.lit(as_of).cast("date"), "first_buy") >= 90
-    return rows.select("portfolio_id", "n_flows", F.when(old, F.col("xirr") * 100).alias("xirr_pct"),
-                       F.when(old, F.col("xirr") * 100 - inflation_pct).alias("real_pct"))
+    return in_percent(xirr(cash_flows(tx, held, as_of)).join(first_buy, "portfolio_id", "left"), as_of, inflation_pct)
+
+
+def ledger_returns(tx: DataFrame, prices: DataFrame, as_of, inflation_pct: float) -> DataFrame:
+    """XIRR and real return in percent, with the value of what the ledger bought; the ledger is read once."""
+    return in_percent(xirr(ledger_flows(tx, prices, as_of)), as_of, inflation_pct)

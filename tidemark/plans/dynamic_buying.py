@@ -129,14 +129,27 @@ def decisions(panel: DataFrame, mix: DataFrame, keys: tuple[str, ...] = ("win",)
     return with_tilts(rows, keys)
 
 
-def simulate(rows: DataFrame, arms: tuple[str, ...], amount: float, keys: tuple[str, ...] = ("win",)) -> DataFrame:
-    """Months per key and arm: invested money, value and time-weighted monthly return."""
+def purchases(rows: DataFrame, arms: tuple[str, ...], amount: float, keys: tuple[str, ...] = ("win",)) -> DataFrame:
+    """Shares bought per key, arm, symbol and buy day: each month's money, split by tilted weights."""
     arm = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("t")) for a in arms])).alias("a")
     long = rows.select(*keys, "symbol", "dt", "close", "weight", arm).select("*", "a.*").drop("a")
     raw = F.col("weight") * F.col("t")
     day = Window.partitionBy(*keys, "arm", "dt")
+    return long.withColumn("bought", raw / F.sum(raw).over(day) * amount / F.col("close"))
+
+
+def final_shares(bought: DataFrame, keys: tuple[str, ...] = ("win",)) -> DataFrame:
+    """What a plan holds at its end: shares per symbol, and the first and last day that the plan used."""
+    held = bought.groupBy(*keys, "arm", "symbol").agg(
+        F.sum("bought").alias("shares"), F.min("dt").alias("start_used"), F.max("dt").alias("end_used"))
+    plan = Window.partitionBy(*keys, "arm")  # at most one row per symbol
+    return held.withColumns({"start_used": F.min("start_used").over(plan), "end_used": F.max("end_used").over(plan)})
+
+
+def simulate(rows: DataFrame, arms: tuple[str, ...], amount: float, keys: tuple[str, ...] = ("win",)) -> DataFrame:
+    """Months per key and arm: invested money, value and time-weighted monthly return."""
     line = Window.partitionBy(*keys, "arm", "symbol").orderBy("dt")
-    long = long.withColumn("bought", raw / F.sum(raw).over(day) * amount / F.col("close"))
+    long = purchases(rows, arms, amount, keys)
     long = long.withColumn("shares", F.sum("bought").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     long = long.withColumn("before", F.coalesce(F.lag("shares").over(line), F.lit(0.0)))
     months = long.groupBy(*keys, "arm", "dt").agg(

@@ -92,7 +92,8 @@ def search(prices: DataFrame, train_share: float = 0.7) -> tuple[DataFrame, Data
     """Best RSI settings per symbol on the first 70 % of rows, judged on the rest.
 
     Indicators are recomputed inside each part, so no warm-up crosses the split. Symbols with
-    fewer than 60 training or 30 test rows are left out. Returns (grid, best).
+    fewer than 60 training or 30 test rows are left out. Returns (grid, best); both name the first and
+    last day that each part covers.
     """
     keyed = ind.number_rows(prices).withColumn("split", F.floor(F.col("n_rows") * train_share))
     keyed = keyed.filter((F.col("split") >= 60) & (F.col("n_rows") - F.col("split") >= 30))
@@ -106,13 +107,15 @@ def search(prices: DataFrame, train_share: float = 0.7) -> tuple[DataFrame, Data
     full = (*keys, "no")
     curves = equity(entry_exit(rows, full, F.col("rsi"), F.col("rsi_oversold")), full)
     score = curves.groupBy(*keys, "no", "rsi_period", "rsi_oversold").agg(
-        F.when(F.max("trade") > 0, sharpe_of()).otherwise(0.0).alias("sharpe"))
-    train = score.filter(F.col("part") == "train")
-    best = train.groupBy("symbol").agg(F.min(F.struct((-F.col("sharpe")).alias("neg"), "no", "rsi_period", "rsi_oversold")).alias("b")).select("symbol", "b.*")
-    test = score.filter(F.col("part") == "test").select("symbol", "no", F.col("sharpe").alias("test_sharpe"))
-    out = best.join(test, ["symbol", "no"]).select(
-        "symbol", "rsi_period", "rsi_oversold", F.greatest(-F.col("neg"), F.lit(0.0)).alias("train_sharpe"), "test_sharpe")
-    return train, out
+        F.when(F.max("trade") > 0, sharpe_of()).otherwise(0.0).alias("sharpe"), F.min("dt").alias("first_day"), F.max("dt").alias("last_day"))
+    # one row per symbol: both parts of a setting side by side, then the setting best in training
+    sides = lambda part: F.max(F.when(F.col("part") == part, F.struct("sharpe", "first_day", "last_day"))).alias(part)
+    setting = score.groupBy("symbol", "no", "rsi_period", "rsi_oversold").agg(sides("train"), sides("test"))
+    best = setting.groupBy("symbol").agg(F.min_by(F.struct("rsi_period", "rsi_oversold", "train", "test"), F.struct(-F.col("train.sharpe"), "no")).alias("b"))
+    out = best.select(
+        "symbol", "b.rsi_period", "b.rsi_oversold", F.greatest(F.col("b.train.sharpe"), F.lit(0.0)).alias("train_sharpe"), F.col("b.test.sharpe").alias("test_sharpe"),
+        *[F.col(f"b.{p}.{d}_day").alias(f"{p}_{e}") for p in ("train", "test") for d, e in (("first", "start"), ("last", "end"))])
+    return score.filter(F.col("part") == "train"), out
 
 
 def forecast_rows(bars: DataFrame) -> DataFrame:

@@ -156,6 +156,13 @@ def _(t):
     return dyn.simulate(dyn.decisions(t.prices(), mix(t)), ("plain", "tilt"), AMOUNT)
 
 
+@query("B5_final_shares", "win:s arm:s symbol:s shares:4 start_used:d end_used:d", """
+SELECT win, arm, symbol, sum(b) AS shares, min(min(dt)) OVER (PARTITION BY win, arm) AS start_used, max(max(dt)) OVER (PARTITION BY win, arm) AS end_used FROM (
+ SELECT *, weight*t / sum(weight*t) OVER (PARTITION BY win, arm, dt) * 10000/close AS b FROM armrows WHERE arm IN ('plain', 'tilt')) GROUP BY 1, 2, 3""")
+def _(t):
+    return dyn.final_shares(dyn.purchases(dyn.decisions(t.prices(), mix(t)), ("plain", "tilt"), AMOUNT))
+
+
 METRICS = "win:s arm:s n_months:i total_invested:2 final_value:3 pl_pct:3 cagr_pct:3 vol_pct:3 sharpe:3 max_drawdown_pct:3"
 
 
@@ -273,15 +280,21 @@ SELECT symbol, part, period, thr, CASE WHEN max(pos) = 1 THEN coalesce(avg(f - 1
   WINDOW q AS (PARTITION BY symbol, part, period, thr ORDER BY rn))) GROUP BY 1, 2, 3, 4"""
 
 
-@query("J10_parameter_grid", "symbol:s rsi_period:i rsi_oversold:1 sharpe:4", "SELECT symbol, period AS rsi_period, thr AS rsi_oversold, sharpe FROM gridscore WHERE part = 'train'")
+CTES["partdays"] = "SELECT symbol, part, min(dt) AS first_day, max(dt) AS last_day FROM parts GROUP BY 1, 2"
+
+
+@query("J10_parameter_grid", "symbol:s rsi_period:i rsi_oversold:1 sharpe:4 first_day:d last_day:d", """
+SELECT g.symbol, period AS rsi_period, thr AS rsi_oversold, sharpe, first_day, last_day FROM gridscore g JOIN partdays d ON d.symbol = g.symbol AND d.part = g.part WHERE g.part = 'train'""")
 def _(t):
     return sb.search(t.prices())[0]
 
 
-@query("B13_parameter_search", "symbol:s rsi_period:i rsi_oversold:1 train_sharpe:4 test_sharpe:4", """
-SELECT a.symbol, a.period AS rsi_period, a.thr AS rsi_oversold, greatest(a.sharpe, 0) AS train_sharpe, b.sharpe AS test_sharpe FROM (
+@query("B13_parameter_search", "symbol:s rsi_period:i rsi_oversold:1 train_sharpe:4 test_sharpe:4 train_start:d train_end:d test_start:d test_end:d", """
+SELECT a.symbol, a.period AS rsi_period, a.thr AS rsi_oversold, greatest(a.sharpe, 0) AS train_sharpe, b.sharpe AS test_sharpe,
+ x.first_day AS train_start, x.last_day AS train_end, y.first_day AS test_start, y.last_day AS test_end FROM (
  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, period, thr) AS r FROM gridscore WHERE part = 'train') a
-JOIN gridscore b ON b.symbol = a.symbol AND b.part = 'test' AND b.period = a.period AND b.thr = a.thr WHERE a.r = 1""")
+JOIN gridscore b ON b.symbol = a.symbol AND b.part = 'test' AND b.period = a.period AND b.thr = a.thr
+JOIN partdays x ON x.symbol = a.symbol AND x.part = 'train' JOIN partdays y ON y.symbol = a.symbol AND y.part = 'test' WHERE a.r = 1""")
 def _(t):
     return sb.search(t.prices())[1]
 

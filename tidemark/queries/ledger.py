@@ -194,13 +194,7 @@ FROM (SELECT *, {npv('(lo + hi)/2')} AS m FROM roots WHERE i < 60)"""
 SELECT n.portfolio_id, n.n_flows, (r.lo + r.hi)/2 AS xirr FROM (SELECT portfolio_id, count(*) AS n_flows FROM flows WHERE amount <> 0 GROUP BY 1) n
 LEFT JOIN (SELECT * FROM roots WHERE i = 60) r ON r.portfolio_id = n.portfolio_id""")
 def _(t):
-    # raw rows, not the per-day sums of cash_flows, because this query also counts the flows
-    tx = t.transactions()
-    raw = (tx.filter("tx_type <> 'dividend'").select("portfolio_id", "date", (-F.col("shares") * F.col("price_usd")).alias("amount"))
-           .unionByName(lg.dividends(tx).select("portfolio_id", "date", F.col("amount_usd").alias("amount")))
-           .unionByName(held(t).groupBy("portfolio_id").agg(F.sum("current_value_usd").alias("amount"))
-                        .select("portfolio_id", F.lit(AS_OF).alias("date"), "amount").filter("amount is not null")))
-    return lg.xirr(raw)
+    return lg.xirr(lg.ledger_flows(t.transactions(), t.latest(), AS_OF))
 
 
 @query("B18_money_weighted_return", "portfolio_id:i xirr_pct:4 real_pct:4", """
@@ -208,13 +202,13 @@ SELECT n.portfolio_id, CASE WHEN b.fb <= DATE '2001-08-07' THEN (r.lo + r.hi)/2*
 FROM (SELECT DISTINCT portfolio_id FROM flows WHERE amount <> 0) n LEFT JOIN (SELECT * FROM roots WHERE i = 60) r ON r.portfolio_id = n.portfolio_id
 LEFT JOIN (SELECT portfolio_id, min(date) AS fb FROM transactions WHERE tx_type <> 'dividend' GROUP BY 1) b ON b.portfolio_id = n.portfolio_id""")
 def _(t):
-    return lg.money_weighted_returns(t.transactions(), held(t), AS_OF, 2.5)
+    return lg.ledger_returns(t.transactions(), t.latest(), AS_OF, 2.5)
 
 
 @query("U1_flow_union", "portfolio_id:i n:i total:2", "SELECT portfolio_id, count(*) AS n, sum(amount) AS total FROM (SELECT portfolio_id, date, sum(amount) AS amount, "
        "CASE WHEN amount < 0 THEN 1 WHEN date = DATE '2001-11-05' AND amount > 0 THEN 2 ELSE 3 END AS leg FROM flows GROUP BY 1, 2, 4) GROUP BY 1")
 def _(t):
-    return lg.cash_flows(t.transactions(), held(t), AS_OF).groupBy("portfolio_id").agg(
+    return lg.ledger_flows(t.transactions(), t.latest(), AS_OF).filter("amount is not null").groupBy("portfolio_id").agg(
         F.count("*").alias("n"), F.sum("amount").alias("total"))
 
 

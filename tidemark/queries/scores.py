@@ -130,9 +130,7 @@ SELECT portfolio_id, symbol, amount, value/tot*100 AS current_pct, weight*100 AS
 FROM newmoney WHERE amount > 0""")
 def _(t):
     from tidemark.queries.ledger import holding_values
-    held = holding_values(t)
-    targets = al.assign_mix(held.select("portfolio_id").distinct(), {s: w for s, w in TARGETS.items() if w > 0})
-    return al.new_money_plan(held, targets, BUDGET)
+    return al.new_money_plan(holding_values(t), {s: w for s, w in TARGETS.items() if w > 0}, BUDGET)
 
 
 CTES["drifts"] = """
@@ -145,8 +143,7 @@ CROSS JOIN targets t LEFT JOIN (SELECT portfolio_id, ticker, shares*coalesce(pri
 SELECT portfolio_id, coalesce(max(abs(cur - target)), 1.0) AS max_drift, max(unpriced) AS unpriced FROM drifts GROUP BY 1""")
 def _(t):
     from tidemark.queries.ledger import holding_positions
-    held = holding_positions(t)
-    return al.max_drift(held, al.assign_mix(held.select("portfolio_id").distinct(), TARGETS))
+    return al.max_drift(holding_positions(t), TARGETS)
 
 
 @query("J11_actual_target_union", "portfolio_id:i symbol:s value:2 weight:4", """
@@ -154,7 +151,7 @@ SELECT portfolio_id, symbol, value, target AS weight FROM drifts""")
 def _(t):
     from tidemark.queries.ledger import holding_positions
     held = holding_positions(t).withColumn("value", F.col("shares") * F.coalesce("price", F.lit(0.0)))
-    return al.union_of_symbols(held, al.assign_mix(held.select("portfolio_id").distinct(), TARGETS))
+    return al.union_of_symbols(held, TARGETS)
 
 
 @query("C8_rebalance_plan", "portfolio_id:i symbol:s action:s shares:5 usd_amount:2 thb_amount:2 fee_thb:3", """
@@ -165,8 +162,7 @@ SELECT portfolio_id, symbol, CASE WHEN abs(delta) < 0.01 THEN 'hold' WHEN delta
  CASE WHEN abs(delta) < 0.01 THEN 0 ELSE abs(delta) END * 33.5 AS thb_amount, CASE WHEN abs(delta) < 0.01 THEN 0 ELSE abs(delta) END * 0.0015 * 33.5 AS fee_thb FROM e""")
 def _(t):
     from tidemark.queries.ledger import holding_positions
-    held = holding_positions(t)
-    return al.rebalance_plan(held, al.assign_mix(held.select("portfolio_id").distinct(), TARGETS), t.latest(), 300.0, 33.5)
+    return al.rebalance_plan(holding_positions(t), TARGETS, t.latest(), 300.0, 33.5)
 
 
 @query("C9_price_level_drift", "portfolio_id:s symbol:s target:6 current:6 drift:6 need_rebalance:b", """
@@ -182,8 +178,7 @@ SELECT * FROM (SELECT h.portfolio_id, h.ticker AS symbol, shares*price / sum(sha
  FROM holdings h LEFT JOIN targets t ON t.symbol = h.ticker WHERE price IS NOT NULL AND shares*price > 0) WHERE abs(drift_pct) >= 5""")
 def _(t):
     from tidemark.queries.ledger import holding_positions
-    held = holding_positions(t)
-    return al.drift_advisory(held, al.assign_mix(held.select("portfolio_id").distinct(), TARGETS))
+    return al.drift_advisory(holding_positions(t), TARGETS)
 
 
 @query("C11_alert_levels", "symbol:s price:2 buy_alert:2 buy_reason:s warning_alert:2 warning_reason:s", """
