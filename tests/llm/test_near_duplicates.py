@@ -166,6 +166,31 @@ def test_texts_of_one_template_that_are_not_alike_cost_no_pairs(spark):
     assert [(r.oid, r.first_oid) for r in got] == [(300, 5)]
 
 
+def test_parity_sketches_rule_out_only_pairs_below_the_similarity(spark):
+    rng = random.Random(13)
+    base = [f"{rng.getrandbits(40):x}" for _ in range(400)]
+    texts = []
+    for k in range(60):
+        n = (20, 150, 400)[k % 3]
+        words = base[:n]
+        for at in rng.sample(range(n), rng.randint(0, n // 18)):
+            words[at] = f"{rng.getrandbits(40):x}"
+        texts.append(" ".join(words))
+    texts += ["", "one", "one two"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:5])], "node bigint, text string")
+    sketches = simhash.parity_sketches(rows, rows, 5)
+    sizes = [len(s) for s in plain_sets(list(enumerate(texts))).values()]
+    known = sketches.join(spark.createDataFrame(list(enumerate(sizes)), "node bigint, size int"), "node")
+    other = known.select(*[F.col(c).alias(c + "2") for c in known.columns])
+    may = simhash.may_be_alike(*(F.col(c) for c in ("size", "sketch", "size2", "sketch2")), 0.8)
+    got = {(r.node, r.node2): r.may for r in known.join(other, F.col("node") < F.col("node2")).select("node", "node2", may.alias("may")).collect()}
+    sets = list(plain_sets(list(enumerate(texts))).values())
+    like = {p: len(sets[p[0]] & sets[p[1]]) / max(1, len(sets[p[0]] | sets[p[1]])) for p in got}
+    assert len(got) == len(texts) * (len(texts) - 1) // 2
+    assert all(got[p] for p in got if like[p] >= 0.8) and any(like[p] >= 0.8 for p in got)
+    assert not any(got[p] for p in got if 0 < like[p] < 0.7 and min(sizes[i] for i in p) >= 100)
+
+
 def test_different_texts_with_one_key_are_two_nodes(spark, monkeypatch):
     monkeypatch.setattr(simhash, "text_key", lambda text="text": F.length(F.coalesce(F.col(text), F.lit(""))).cast("bigint"))
     texts = ["one two three four five six", "six five four three two one", "one two three four five six", "x", "y", None, ""]

@@ -151,6 +151,7 @@ SAMPLED = 64        # of so many texts one is counted for the order of shingles,
 FREQUENT = 200_000  # ... and at most so many frequent shingles are known to it
 SEEN = 200_000    # texts that a task knows to have sent
 HUBS = 4            # orders of members by which large buckets choose their hubs
+SKETCH = 512        # bits of a parity sketch
 PLAIN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -251,6 +252,36 @@ def meeting(left: DataFrame, right: DataFrame, least: float, allowed: Column) ->
     return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
+def parity_sketches(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, sketch) for the texts (node, text) of ``nodes``: for each of ``SKETCH`` bins of shingles, whether it holds an odd number.
+
+    Bins in which two sketches differ hold at least one shingle that only one of the sets has (``may_be_alike``).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            if len(seen) > SEEN:
+                seen.clear()
+            found = {}
+            for node, t in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+                if node not in seen:
+                    seen.add(node)
+                    bins = np.bincount(shingle_hashes(plain_words(t), shingle) & (SKETCH - 1), minlength=SKETCH)
+                    found[node] = np.packbits((bins & 1).astype(np.uint8)).view("<i8")
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), lists(list(found.values()))], ["node", "sketch"])
+
+    wanted = texts.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text")
+    return wanted.mapInArrow(run, "node bigint, sketch array<bigint>").groupBy("node").agg(F.first("sketch").alias("sketch"))
+
+
+def may_be_alike(size: Column, sketch: Column, size2: Column, sketch2: Column, least: float) -> Column:
+    """Whether two parity sketches differ in no more bins than sets at least so alike differ in shingles. It rules out no such pair."""
+    differ = sum((apart(F.get(sketch, F.lit(i)), F.get(sketch2, F.lit(i))) for i in range(SKETCH // 64)), F.lit(0))
+    return differ <= (1 - least) / (1 + least) * (size + size2) + 1e-9
+
+
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs (a, b) whose texts have shingle sets at least so alike. ``texts`` (node, text) may repeat a node.
 
@@ -307,7 +338,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     between texts whose word shingles have a Jaccard similarity of at least ``least``; none is missed. Candidates are
     texts that share a shingle of their prefixes (``prefix``), and of the smaller one it is among the leading places
     (``leads``); each is then checked on the whole texts. Members of a large bucket meet its hub first; then all those
-    meet that are not yet in one group, so a large group of copies costs no pair per two members, and texts of one
+    meet that are not yet in one group and whose parity sketches leave room for the similarity, so a large group of copies costs no pair per two members, and texts of one
     template that differ in a ninth of their shingles or more have no leading place in a bucket of the template.
     A group's first is the least id (then text key). Blank texts are copies of each other.
     """
@@ -328,8 +359,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
             "h", "node", "size", "pos", "lead", F.coalesce("component", "node").alias("c"))
         mixed = grouped.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
         grouped = cut(grouped.join(mixed, "h"))
+        grouped = cut(grouped.join(parity_sketches(rows, grouped, shingle), "node"))
         rest = meeting(grouped.where("lead"), grouped.drop("lead"), least,
-                       (F.col("size") <= F.col("size2")) & (F.col("node") != F.col("node2")) & (F.col("c") != F.col("c2")))
+                       (F.col("size") <= F.col("size2")) & (F.col("node") != F.col("node2")) & (F.col("c") != F.col("c2"))
+                       & may_be_alike(F.col("size"), F.col("sketch"), F.col("size2"), F.col("sketch2"), least))
         rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
         if not rest.isEmpty():
             labels = components(alike(rest, rows, shingle, least).union(labels.select("node", "component")), "a", "b")
