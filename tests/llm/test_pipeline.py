@@ -58,11 +58,16 @@ def test_query_runs_over_the_whole_table(spark, name):
     if name.startswith("op10"):
         ids = {d for r in rows for d in r.doc_ids}
         assert ids == {r.doc_id for r in documents.where(F.length("text") > 0).collect()}
+    elif name.startswith("op12"):  # one row per group and item
+        assert {(r.lang, r.source) for r in rows} <= {(r.lang or "", r.source or "") for r in documents.collect()}
+    elif name.startswith("op13"):
+        turns = spark.read.parquet(f"{FOLDER}/conversations.parquet")
+        assert sorted(r.conv_id for r in rows) == sorted(r.conv_id for r in turns.select("conv_id").distinct().collect())
     else:
         assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in documents.collect())
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "benchmark"):
+        for t in ("documents", "benchmark", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
         cur = con.execute(ORACLES[name])
         cols = [d[0] for d in cur.description]
