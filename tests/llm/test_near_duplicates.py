@@ -199,6 +199,41 @@ def test_different_texts_with_one_key_are_two_nodes(spark, monkeypatch):
     assert got == {(2, 0), (6, 5)}
 
 
+def edited_texts():
+    """Texts of 300 words, each with a copy that lacks few shingles and one that lacks many, yet is at 0.8 or more."""
+    rng, texts = random.Random(17), []
+    for _ in range(12):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(300)]
+        texts += [" ".join(words), " ".join(words + ["end"]), " ".join(words[:255])]
+    return texts
+
+
+def test_near_copies_meet_by_fingerprint_first(spark, monkeypatch):
+    texts = edited_texts()
+    fps = [simhash.majority(simhash.each_hash(simhash.plain_words(t.encode()), 5).view("u1").reshape(-1, 8)) for t in texts]
+    close = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if bin((fps[i] ^ fps[j]) & (2 ** 64 - 1)).count("1") <= 2}
+    assert any(j - i == 1 and i % 3 == 0 for i, j in close) and len(close) < 2 * 12
+    marks = simhash.signatures(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string"), 5)
+    assert {r.node: r.fp for r in marks.collect()} == dict(enumerate(fps))
+    assert {(r.a, r.b) for r in simhash.simhash_pairs(marks, 2).collect()} == close
+    got, want = groups_of(spark, texts)
+    assert got == want and len(set(want.values())) == 12          # the prefixes bring those further apart
+    rows = simhash.prefix_rows
+    monkeypatch.setattr(simhash, "prefix_rows", lambda *a: rows(*a).where("false"))
+    found, _ = groups_of(spark, texts)
+    assert found == union(range(len(texts)), close)               # and without them the fingerprints bring theirs
+
+
+def test_texts_that_sketches_tell_apart_are_not_joined_with_pairs(spark, monkeypatch):
+    rng, checked, alike = random.Random(19), [], simhash.alike
+    shared = " ".join(f"{rng.getrandbits(40):x}" for _ in range(60))
+    texts = [shared + " " + " ".join(f"{rng.getrandbits(40):x}" for _ in range(140)) for _ in range(24)]
+    texts += [t + " end" for t in texts[:2]]
+    monkeypatch.setattr(simhash, "alike", lambda pairs, *a: checked.extend(pairs.collect()) or alike(pairs, *a))
+    got, want = groups_of(spark, texts)
+    assert got == want and sorted({(r.a, r.b) for r in checked}) == sorted(checked) and len(checked) == 2
+
+
 def test_near_copies_with_words_added_or_cut_and_short_ones(spark):
     rng = random.Random(5)
 

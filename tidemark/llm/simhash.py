@@ -160,12 +160,15 @@ def plain_words(text: bytes) -> list[bytes]:
     return PLAIN.findall(text.lower())
 
 
+def each_hash(words: list[bytes], size: int) -> np.ndarray:
+    """Hashes of the shingles, repeats included; fewer words are one shingle, none have none."""
+    n = max(1, len(words) - size + 1) if words else 0
+    return np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(words[i:i + size])) for i in range(n)]), "<i8")
+
+
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; fewer words are one shingle, none have none."""
-    if not words:
-        return np.zeros(0, "<i8")
-    n = max(1, len(words) - size + 1)
-    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(words[i:i + size])) for i in range(n)]), "<i8"))
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(each_hash(words, size))
 
 
 def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -252,8 +255,14 @@ def meeting(left: DataFrame, right: DataFrame, least: float, allowed: Column) ->
     return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
-def parity_sketches(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, sketch) for the texts (node, text) of ``nodes``: for each of ``SKETCH`` bins of shingles, whether it holds an odd number.
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``SKETCH`` bins of shingles, whether it holds an odd number of them."""
+    bins = np.bincount(shingles & (SKETCH - 1), minlength=SKETCH)
+    return np.packbits((bins & 1).astype(np.uint8)).view("<i8")
+
+
+def signatures(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, size, fp, sketch) for the texts (node, text): number of different shingles, SimHash fingerprint, parity sketch.
 
     Bins in which two sketches differ hold at least one shingle that only one of the sets has (``may_be_alike``).
     """
@@ -263,17 +272,40 @@ def parity_sketches(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFra
         for batch in batches:
             if len(seen) > SEEN:
                 seen.clear()
-            found = {}
+            nodes, sizes, fps, sketches = [], [], [], []
             for node, t in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
                 if node not in seen:
                     seen.add(node)
-                    bins = np.bincount(shingle_hashes(plain_words(t), shingle) & (SKETCH - 1), minlength=SKETCH)
-                    found[node] = np.packbits((bins & 1).astype(np.uint8)).view("<i8")
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), lists(list(found.values()))], ["node", "sketch"])
+                    hashes = each_hash(plain_words(t), shingle)
+                    shingles = np.unique(hashes)
+                    nodes.append(node)
+                    sizes.append(len(shingles))
+                    fps.append(majority(hashes.view(np.uint8).reshape(-1, 8)))
+                    sketches.append(parity_sketch(shingles))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), lists(sketches)],
+                                                 ["node", "size", "fp", "sketch"])
+
+    each = texts.select("node", "text").mapInArrow(run, "node bigint, size int, fp bigint, sketch array<bigint>")
+    return each.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fp", "sketch")])
+
 
-    wanted = texts.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text")
-    return wanted.mapInArrow(run, "node bigint, sketch array<bigint>").groupBy("node").agg(F.first("sketch").alias("sketch"))
+def parity_sketches(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, sketch) for the texts (node, text) of ``nodes``."""
+    wanted = texts.join(nodes.select("node").distinct(), "node", "left_semi")
+    return signatures(wanted, shingle).select("node", "sketch")
+
+
+def simhash_pairs(known: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes of ``known`` (node, fp) that covering masks bring together: their fingerprints are within the radius.
+
+    Nodes of one fingerprint meet its least node, which stands for them in the tables of the masks.
+    """
+    heads = cut(known.groupBy("fp").agg(F.min("node").alias("head")))
+    same = known.join(heads, "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    close = close_pairs(heads.select(F.col("fp").alias("id"), F.array("fp").alias("fps")), 1, radius)
+    close = close.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    return same.union(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def may_be_alike(size: Column, sketch: Column, size2: Column, sketch2: Column, least: float) -> Column:
@@ -282,6 +314,13 @@ def may_be_alike(size: Column, sketch: Column, size2: Column, sketch2: Column, l
     return differ <= (1 - least) / (1 + least) * (size + size2) + 1e-9
 
 
+def possible(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of ``known`` (node, size, sketch, c) that are not in one group ``c`` and whose sketches leave room for the similarity."""
+    for side, end in (("a", ""), ("b", "2")):
+        pairs = pairs.join(known.select(F.col("node").alias(side), *[F.col(c).alias(c + end) for c in ("size", "sketch", "c")]), side)
+    return pairs.where((F.col("c") != F.col("c2")) & may_be_alike(*[F.col(c) for c in ("size", "sketch", "size2", "sketch2")], least)).select("a", "b")
+
+
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """The pairs (a, b) whose texts have shingle sets at least so alike. ``texts`` (node, text) may repeat a node.
 
@@ -331,18 +370,31 @@ def nodes_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select(node, "text"), known.select("oid", "key", node, "n")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+def grouped_by(known: DataFrame, labels: DataFrame) -> DataFrame:
+    """``known`` (node, ...) with the group ``c`` of each node by ``labels`` (node, component); others are a group of their own."""
+    return known.join(labels.select(F.col("node").alias("k"), "component"), F.col("node") == F.col("k"), "left").select(
+        *known.columns, F.coalesce("component", "node").alias("c"))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
     """(oid, key, n, first_oid, first_key): for every document that is an exact or near copy, its group's first.
 
     A document is a distinct pair of order id and text key, ``n`` its number of rows. Groups are components over links
-    between texts whose word shingles have a Jaccard similarity of at least ``least``; none is missed. Candidates are
-    texts that share a shingle of their prefixes (``prefix``), and of the smaller one it is among the leading places
-    (``leads``); each is then checked on the whole texts. Members of a large bucket meet its hub first; then all those
-    meet that are not yet in one group and whose parity sketches leave room for the similarity, so a large group of copies costs no pair per two members, and texts of one
+    between texts whose word shingles have a Jaccard similarity of at least ``least``; none is missed. First SimHash
+    fingerprints within ``radius`` bits, found by covering masks, name candidates (``simhash_pairs``); those that pass the
+    check on the whole texts make groups. Similar texts can be further apart than the radius, so all links between
+    these groups are found exactly: texts of two groups that share a shingle of their prefixes (``prefix``), and of the smaller one it
+    is among the leading places (``leads``), are checked on the whole texts. Members of a large bucket meet its hub first; then all those
+    meet that are not yet in one group. No pair is checked whose parity sketches leave no room for the similarity,
+    so a large group of copies costs no pair per two members, and texts of one
     template that differ in a ninth of their shingles or more have no leading place in a bucket of the template.
     A group's first is the least id (then text key). Blank texts are copies of each other.
     """
     rows, known = nodes_of(docs)
+    marks = written(signatures(rows, shingle), "signatures")
+    alone = marks.withColumn("c", F.col("node"))
+    close = written(possible(simhash_pairs(marks, radius), alone, least), "pairs")
+    labels = components(alike(close, rows, shingle, least), "a", "b")
     each = prefix_rows(rows, shingle, least).repartition("h").distinct()
     here = Window.partitionBy("h")
     each = each.withColumn("lead", leads(F.col("size"), F.col("pos"), least))
@@ -351,24 +403,21 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     large = members.where(F.col("n") > SMALL_BUCKET)
     hub = F.min_by(F.struct("node", "size", "pos"), F.xxhash64("node", F.pmod("h", F.lit(HUBS)))).alias("hub")
     hubs = large.groupBy("h").agg(hub).select("h", "hub.*")
-    pairs = written(small_pairs(members.where(F.col("n") <= SMALL_BUCKET), least)
-                    .union(meeting(large.select("h", "node", "size", "pos"), hubs, least, F.col("node") != F.col("node2"))).distinct(), "pairs")
-    labels = components(alike(pairs, rows, shingle, least), "a", "b")
+    met = (small_pairs(members.where(F.col("n") <= SMALL_BUCKET), least)
+           .union(meeting(large.select("h", "node", "size", "pos"), hubs, least, F.col("node") != F.col("node2"))).distinct())
+    met = written(possible(met, grouped_by(marks, labels), least).join(close, ["a", "b"], "left_anti"), "pairs")
+    labels = components(alike(met, rows, shingle, least).union(labels.select("node", "component")), "a", "b")
     if not large.isEmpty():
-        grouped = large.join(labels.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select(
-            "h", "node", "size", "pos", "lead", F.coalesce("component", "node").alias("c"))
+        grouped = grouped_by(large.select("h", "node", "size", "pos", "lead"), labels)
         mixed = grouped.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
-        grouped = cut(grouped.join(mixed, "h"))
-        grouped = cut(grouped.join(parity_sketches(rows, grouped, shingle), "node"))
+        grouped = cut(grouped.join(mixed, "h").join(marks.select("node", "sketch"), "node"))
         rest = meeting(grouped.where("lead"), grouped.drop("lead"), least,
                        (F.col("size") <= F.col("size2")) & (F.col("node") != F.col("node2")) & (F.col("c") != F.col("c2"))
                        & may_be_alike(F.col("size"), F.col("sketch"), F.col("size2"), F.col("sketch2"), least))
-        rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+        rest = written(rest.join(close.union(met), ["a", "b"], "left_anti"), "pairs")
         if not rest.isEmpty():
             labels = components(alike(rest, rows, shingle, least).union(labels.select("node", "component")), "a", "b")
-    grouped = known.join(labels.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left").select(
-        "oid", "key", "n", F.coalesce("component", "node").alias("c"))
-    grouped = cut(grouped)
+    grouped = cut(grouped_by(known, labels).select("oid", "key", "n", "c"))
     head = grouped.groupBy("c").agg(F.min(F.struct("oid", "key")).alias("head"))
     return (grouped.join(head, "c").select("oid", "key", "n", F.col("head.oid").alias("first_oid"), F.col("head.key").alias("first_key"))
             .where("n > 1 or oid != first_oid or key != first_key"))
