@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.tables import cut, map_texts, order_id, raw_texts, text_key, written
+from tidemark.llm.tables import cut, map_texts, order_id, raw_texts, sweep, text_key, written
 
 SMALL_BUCKET = 32  # buckets up to this size compare their members; larger ones meet at shared neighbours
 
@@ -395,11 +395,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     alone = marks.withColumn("c", F.col("node"))
     close = written(possible(simhash_pairs(marks, radius), alone, least), "pairs")
     labels = components(alike(close, rows, shingle, least), "a", "b")
+    sweep(docs.sparkSession)
     each = prefix_rows(rows, shingle, least).repartition("h").distinct()
     here = Window.partitionBy("h")
     each = each.withColumn("lead", leads(F.col("size"), F.col("pos"), least))
     each = each.withColumns({"n": F.count("*").over(here), "leading": F.max("lead").over(here)})
     members = written(each.where("n > 1 and leading").drop("leading"), "prefix-members")
+    sweep(docs.sparkSession)
     large = members.where(F.col("n") > SMALL_BUCKET)
     hub = F.min_by(F.struct("node", "size", "pos"), F.xxhash64("node", F.pmod("h", F.lit(HUBS)))).alias("hub")
     hubs = large.groupBy("h").agg(hub).select("h", "hub.*")
@@ -407,6 +409,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
            .union(meeting(large.select("h", "node", "size", "pos"), hubs, least, F.col("node") != F.col("node2"))).distinct())
     met = written(possible(met, grouped_by(marks, labels), least).join(close, ["a", "b"], "left_anti"), "pairs")
     labels = components(alike(met, rows, shingle, least).union(labels.select("node", "component")), "a", "b")
+    sweep(docs.sparkSession)
     if not large.isEmpty():
         grouped = grouped_by(large.select("h", "node", "size", "pos", "lead"), labels)
         mixed = grouped.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
@@ -415,8 +418,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
                        (F.col("size") <= F.col("size2")) & (F.col("node") != F.col("node2")) & (F.col("c") != F.col("c2"))
                        & may_be_alike(F.col("size"), F.col("sketch"), F.col("size2"), F.col("sketch2"), least))
         rest = written(rest.join(close.union(met), ["a", "b"], "left_anti"), "pairs")
+        sweep(docs.sparkSession)
         if not rest.isEmpty():
             labels = components(alike(rest, rows, shingle, least).union(labels.select("node", "component")), "a", "b")
+    sweep(docs.sparkSession)
     grouped = cut(grouped_by(known, labels).select("oid", "key", "n", "c"))
     head = grouped.groupBy("c").agg(F.min(F.struct("oid", "key")).alias("head"))
     return (grouped.join(head, "c").select("oid", "key", "n", F.col("head.oid").alias("first_oid"), F.col("head.key").alias("first_key"))

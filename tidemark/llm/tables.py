@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,6 +48,12 @@ def give_back() -> None:
         trim(0)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints of tables that nothing names any more; a driver with memory to spare seldom collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def order_id(doc_id: str | Column = "doc_id") -> Column:
     """Id used for ordering: a null id stands before all others."""
     return F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(LOWEST_ID)).cast("bigint")
