@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -234,6 +235,57 @@ def test_texts_that_sketches_tell_apart_are_not_joined_with_pairs(spark, monkeyp
     assert got == want and sorted({(r.a, r.b) for r in checked}) == sorted(checked) and len(checked) == 2
 
 
+def test_sketches_tell_long_texts_apart_too(spark, monkeypatch):
+    rng, checked, alike = random.Random(23), [], simhash.alike
+    shared = " ".join(f"{rng.getrandbits(40):x}" for _ in range(1500))
+    texts = [shared + " " + " ".join(f"{rng.getrandbits(40):x}" for _ in range(3000)) for _ in range(12)]
+    texts += [t + " end" for t in texts[:2]]
+    monkeypatch.setattr(simhash, "alike", lambda pairs, *a: checked.extend(pairs.collect()) or alike(pairs, *a))
+    got, want = groups_of(spark, texts)
+    assert got == want and sorted((r.a, r.b) for r in checked) == sorted({(r.a, r.b) for r in checked}) and len(checked) == 2
+
+
+def test_fine_sketches_rule_out_only_pairs_below_the_similarity():
+    rng = np.random.default_rng(29)
+    for n in (1, 2, 5, 60, 511, 512, 513, 3000):
+        for share in (0.0, 0.05, 0.1, 0.11, 0.2, 0.5):
+            drawn = np.unique(rng.integers(-2 ** 63, 2 ** 63 - 1, 3 * n))
+            own = int(share * n)
+            x, y = drawn[:n], np.unique(np.concatenate([drawn[own:n], drawn[n:n + rng.integers(0, own + 1)]]))
+            common, apart = len(np.intersect1d(x, y)), simhash.bins_apart(simhash.fine_sketch(x), simhash.fine_sketch(y))
+            assert apart <= len(x) + len(y) - 2 * common and apart == simhash.bins_apart(simhash.fine_sketch(y), simhash.fine_sketch(x))
+            assert n < 60 or share < 0.5 or apart > (len(x) + len(y)) / 9
+
+
+def test_pairs_of_large_buckets_are_named_once(spark):
+    rng = random.Random(31)
+    base, texts = [f"{rng.getrandbits(40):x}" for _ in range(300)], []
+    for _ in range(40):
+        words = base[:]
+        for at in rng.sample(range(0, 300, 6), 4):
+            words[at] = f"{rng.getrandbits(40):x}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    each = simhash.prefix_rows(rows, 5, 0.8).withColumn("lead", simhash.leads(F.col("size"), F.col("pos"), 0.8)).withColumn("c", F.col("node"))
+    grouped = simhash.earlier_buckets(each).join(simhash.parity_sketches(rows, rows, 5), "node")
+    found = simhash.first_meetings(grouped, 0.8).collect()
+    wide = simhash.first_meetings(grouped.withColumn("before", F.array().cast("array<bigint>")), 0.8).collect()
+    assert {tuple(r) for r in found} == {tuple(r) for r in wide} and len(wide) > 10 * len(set(wide))
+    assert len(found) <= 3 * len(set(found))         # equal sizes meet from both sides
+
+
+def test_filter_of_wanted_texts_keeps_them_and_few_others(spark, monkeypatch):
+    rng = random.Random(37)
+    ids = [rng.randint(-2 ** 63, 2 ** 63 - 1) for _ in range(4000)] + [0, -1, 1, 32767, 32768, 2 ** 63 - 1, -2 ** 63]
+    rows = spark.createDataFrame([(i, "x") for i in ids], "node bigint, text string")
+    wanted = spark.createDataFrame([(i,) for i in ids[::10] + ids[-7:]], "node bigint")
+    for bits, most in ((simhash.FILTER, 420), (1 << 15, 600)):
+        monkeypatch.setattr(simhash, "FILTER", bits)
+        got = {r.node for r in simhash.perhaps_of(rows, wanted).collect()}
+        assert {*ids[::10], *ids[-7:]} <= got and len(got) <= most
+    assert simhash.perhaps_of(rows, wanted.where("false")).count() == 0
+
+
 def test_near_copies_with_words_added_or_cut_and_short_ones(spark):
     rng = random.Random(5)
 

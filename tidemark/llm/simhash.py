@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -151,7 +152,10 @@ SAMPLED = 64        # of so many texts one is counted for the order of shingles,
 FREQUENT = 200_000  # ... and at most so many frequent shingles are known to it
 SEEN = 200_000    # texts that a task knows to have sent
 HUBS = 4            # orders of members by which large buckets choose their hubs
-SKETCH = 512        # bits of a parity sketch
+SKETCH = 512        # bits of a parity sketch, and the fewest of a fine one, which has two or more for each shingle ...
+FINEST = 1 << 17    # ... and at most so many
+EARLIER = 16        # so many buckets before one are known to a member, so that a pair is named once and not in every bucket of both
+FILTER = 1 << 23    # bits of the filter of nodes whose texts are wanted; fewer let more texts through, results stay the same
 PLAIN = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -250,19 +254,53 @@ def small_pairs(members: DataFrame, least: float) -> DataFrame:
 
 def meeting(left: DataFrame, right: DataFrame, least: float, allowed: Column) -> DataFrame:
     """Pairs (a, b), a < b, of members (h, node, size, pos) of the same bucket that can be alike."""
+    return meetings(left, right, least, allowed).distinct()
+
+
+def meetings(left: DataFrame, right: DataFrame, least: float, allowed: Column) -> DataFrame:
+    """The pairs of ``meeting``, one for each bucket in which they meet."""
     right = right.select("h", *[F.col(c).alias(f"{c}2") for c in right.columns if c != "h"])
     pairs = left.join(right, "h").where(allowed & can_be_alike(F.col("size"), F.col("pos"), F.col("size2"), F.col("pos2"), least))
-    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    return pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+
+
+def earlier_buckets(members: DataFrame) -> DataFrame:
+    """``members`` (h, node, pos, ...) with the buckets ``before`` each of a node's buckets, the nearest ``EARLIER``."""
+    here = Window.partitionBy("node").orderBy("pos").rowsBetween(-EARLIER, -1)
+    return members.withColumn("before", F.collect_list("h").over(here))
+
+
+def first_meetings(grouped: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of members (h, node, size, pos, lead, c, sketch, before) of two groups ``c`` that can be alike, few of them more than once.
+
+    The shingles of all prefixes have one order, and what lets a pair meet in one bucket does so in all earlier ones that it shares.
+    So a bucket need not name a pair that shares one of the buckets before it.
+    """
+    return meetings(grouped.where("lead"), grouped.drop("lead"), least,
+                    (F.col("size") <= F.col("size2")) & (F.col("node") != F.col("node2")) & (F.col("c") != F.col("c2"))
+                    & may_be_alike(F.col("size"), F.col("sketch"), F.col("size2"), F.col("sketch2"), least)
+                    & ~F.arrays_overlap("before", "before2"))
+
+
+def parity_sketch(shingles: np.ndarray, bins: int = SKETCH) -> np.ndarray:
+    """For each of ``bins`` bins of shingles (a power of two), whether it holds an odd number of them."""
+    counts = np.bincount(shingles & (bins - 1), minlength=bins)
+    return np.packbits((counts & 1).astype(np.uint8)).view("<i8")
+
+
+def fine_sketch(shingles: np.ndarray) -> bytes:
+    """Parity sketch with bins enough for the set, so that it does not fill up as sets grow."""
+    return parity_sketch(shingles, min(FINEST, max(SKETCH, 1 << (2 * len(shingles)).bit_length()))).tobytes()
 
 
-def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    """For each of ``SKETCH`` bins of shingles, whether it holds an odd number of them."""
-    bins = np.bincount(shingles & (SKETCH - 1), minlength=SKETCH)
-    return np.packbits((bins & 1).astype(np.uint8)).view("<i8")
+def bins_apart(a: bytes, b: bytes) -> int:
+    """Bins in which two fine sketches differ; the longer one is folded, which gives the sketch with fewer bins."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
 def signatures(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, size, fp, sketch) for the texts (node, text): number of different shingles, SimHash fingerprint, parity sketch.
+    """(node, size, fp, sketch, fine) for the texts (node, text): number of different shingles, SimHash fingerprint, parity sketches.
 
     Bins in which two sketches differ hold at least one shingle that only one of the sets has (``may_be_alike``).
     """
@@ -272,7 +310,7 @@ def signatures(texts: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             if len(seen) > SEEN:
                 seen.clear()
-            nodes, sizes, fps, sketches = [], [], [], []
+            nodes, sizes, fps, sketches, fine = [], [], [], [], []
             for node, t in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
                 if node not in seen:
                     seen.add(node)
@@ -282,12 +320,13 @@ def signatures(texts: DataFrame, shingle: int) -> DataFrame:
                     sizes.append(len(shingles))
                     fps.append(majority(hashes.view(np.uint8).reshape(-1, 8)))
                     sketches.append(parity_sketch(shingles))
+                    fine.append(fine_sketch(shingles))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), lists(sketches)],
-                                                 ["node", "size", "fp", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), lists(sketches),
+                                                  pa.array(fine, pa.binary())], ["node", "size", "fp", "sketch", "fine"])
 
-    each = texts.select("node", "text").mapInArrow(run, "node bigint, size int, fp bigint, sketch array<bigint>")
-    return each.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fp", "sketch")])
+    each = texts.select("node", "text").mapInArrow(run, "node bigint, size int, fp bigint, sketch array<bigint>, fine binary")
+    return each.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fp", "sketch", "fine")])
 
 
 def parity_sketches(texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -315,10 +354,45 @@ def may_be_alike(size: Column, sketch: Column, size2: Column, sketch2: Column, l
 
 
 def possible(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of ``known`` (node, size, sketch, c) that are not in one group ``c`` and whose sketches leave room for the similarity."""
+    """The pairs (a, b) of ``known`` (node, size, sketch, fine, c) that are not in one group ``c`` and whose sketches leave room for the similarity."""
+    marks = known.select("node", "size", "fine")
     for side, end in (("a", ""), ("b", "2")):
         pairs = pairs.join(known.select(F.col("node").alias(side), *[F.col(c).alias(c + end) for c in ("size", "sketch", "c")]), side)
-    return pairs.where((F.col("c") != F.col("c2")) & may_be_alike(*[F.col(c) for c in ("size", "sketch", "size2", "sketch2")], least)).select("a", "b")
+    pairs = pairs.where((F.col("c") != F.col("c2")) & may_be_alike(*[F.col(c) for c in ("size", "sketch", "size2", "sketch2")], least)).select("a", "b")
+    return finely_possible(pairs, marks, least)
+
+
+def finely_possible(pairs: DataFrame, marks: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of ``marks`` (node, size, fine) whose fine sketches leave room for the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        share = (1 - least) / (1 + least)
+        for batch in batches:
+            sizes, x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            keep = [bins_apart(s, t) <= share * n + 1e-9 for n, s, t in zip(sizes, x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    for side, end in (("a", ""), ("b", "2")):
+        pairs = pairs.join(marks.select(F.col("node").alias(side), F.col("size").alias("size" + end), F.col("fine").alias("fine" + end)), side)
+    return pairs.select("a", "b", (F.col("size") + F.col("size2")).alias("n"), "fine", "fine2").mapInArrow(run, "a bigint, b bigint")
+
+
+def perhaps_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts (node, text) whose node is in ``nodes``, and few others: a join with ``nodes`` then need not deal out all texts."""
+    bit = F.pmod("node", F.lit(FILTER)) + 1
+    maps = (nodes.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).toArrow())
+    held = np.zeros((max(1, FILTER >> 15), 4096), np.uint8)
+    for at, bits in zip(maps.column("at").to_pylist(), maps.column("bits").to_pylist()):
+        held[at - 1] = np.frombuffer(bits, np.uint8)
+    sent = texts.sparkSession.sparkContext.broadcast(held.reshape(-1))
+
+    @F.pandas_udf("boolean")
+    def wanted(node: pd.Series) -> pd.Series:
+        bit = node.to_numpy() & (FILTER - 1)
+        return pd.Series((sent.value[bit >> 3] >> (bit & 7)) & 1 == 1)
+
+    return texts.where(wanted("node"))
 
 
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -327,7 +401,9 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
     Texts travel, not sets: packed text is a third of the hashes of its shingles. Each side is joined on its own.
     """
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = written(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "compared-texts")
+    wanted = cut(wanted)
+    needed = written(perhaps_of(texts, wanted).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "compared-texts")
+    sweep(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,7 +461,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     check on the whole texts make groups. Similar texts can be further apart than the radius, so all links between
     these groups are found exactly: texts of two groups that share a shingle of their prefixes (``prefix``), and of the smaller one it
     is among the leading places (``leads``), are checked on the whole texts. Members of a large bucket meet its hub first; then all those
-    meet that are not yet in one group. No pair is checked whose parity sketches leave no room for the similarity,
+    meet that are not yet in one group, each pair in the first bucket of both: the shingles of all prefixes have one order, and
+    what holds for a pair in a later bucket holds in an earlier one. No pair is checked whose parity sketches leave no room for the similarity,
     so a large group of copies costs no pair per two members, and texts of one
     template that differ in a ninth of their shingles or more have no leading place in a bucket of the template.
     A group's first is the least id (then text key). Blank texts are copies of each other.
@@ -413,11 +490,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, radius: i
     if not large.isEmpty():
         grouped = grouped_by(large.select("h", "node", "size", "pos", "lead"), labels)
         mixed = grouped.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("h")
-        grouped = cut(grouped.join(mixed, "h").join(marks.select("node", "sketch"), "node"))
-        rest = meeting(grouped.where("lead"), grouped.drop("lead"), least,
-                       (F.col("size") <= F.col("size2")) & (F.col("node") != F.col("node2")) & (F.col("c") != F.col("c2"))
-                       & may_be_alike(F.col("size"), F.col("sketch"), F.col("size2"), F.col("sketch2"), least))
-        rest = written(rest.join(close.union(met), ["a", "b"], "left_anti"), "pairs")
+        grouped = cut(earlier_buckets(grouped.join(mixed, "h")).join(marks.select("node", "sketch"), "node"))
+        rest = first_meetings(grouped, least).distinct()
+        rest = written(finely_possible(rest.join(close.union(met), ["a", "b"], "left_anti"), marks, least), "pairs")
         sweep(docs.sparkSession)
         if not rest.isEmpty():
             labels = components(alike(rest, rows, shingle, least).union(labels.select("node", "component")), "a", "b")

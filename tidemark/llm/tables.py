@@ -51,6 +51,7 @@ def give_back() -> None:
 def sweep(spark: SparkSession) -> None:
     """Let Spark delete shuffle files and checkpoints of tables that nothing names any more; a driver with memory to spare seldom collects its garbage."""
     gc.collect()
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
