@@ -1,6 +1,7 @@
 """The pipeline as a whole, on a small fixture and on the smallest tables."""
 
 import random
+import re
 from pathlib import Path
 
 import duckdb
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.conftest import prose
 from tidemark.llm.queries import ORACLES, QUERIES
+from tidemark.llm.tables import sweep
 from tools.check_queries import rows_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,6 +42,27 @@ def test_stages_keep_clean_documents(spark, docs, corpus, tmp_path):
     assert after["secrets"].keys() == after["decontamination"].keys() == after["token_ids"].keys()
 
 
+def test_sweep_gives_back_what_the_drivers_jvm_has_freed(spark):
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    if not status.exists():
+        pytest.skip("memory can't be read here")
+
+    def used():
+        return int(re.search(r"RssAnon:\s+(\d+)", status.read_text())[1]) / 1024
+
+    for _ in range(2):  # the heap itself shrinks first
+        jvm.System.gc()
+    held = [jvm.java.util.zip.Deflater() for _ in range(1200)]  # some 250 KB each, outside the heap
+    for d in held[:-1]:  # the last one keeps the pool from shrinking by itself
+        d.end()
+    del held[:-1]
+    jvm.System.gc()
+    before = used()
+    sweep(spark)
+    assert used() < before - 100
+
+
 @needs_tables
 def test_run_equals_its_stages(spark):
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, FOLDER).collect()}

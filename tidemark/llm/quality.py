@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.grams import Slice, bucket, packed, slices, unpacked
-from tidemark.llm.tables import give_back, held_out, map_texts
+from tidemark.llm.tables import held_out, map_texts, sweep
 
 BITS = 17
 SIZES = (3, 4, 5)
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     y = np.array([r["label"] for r in rows])
     weights = sgd([(r["f"], r["c"]) for r in rows], y)
     rows.clear()
-    give_back()
+    sweep(docs.sparkSession)
     return Model(weights.astype(np.float64), float(np.log(n1 / n0) - np.log((y == 1).sum() / (y == 0).sum())))
 
 

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,11 +49,31 @@ def give_back() -> None:
         trim(0)
 
 
+def give_back_jvm(spark: SparkSession) -> None:
+    """The same for the driver's JVM: what planning and compiling freed stays in its C library's pools. A JVM without this command keeps it."""
+    gateway = spark.sparkContext._gateway
+    java = gateway.jvm.java.lang
+    command = gateway.jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    args = gateway.new_array(java.Object, 4)
+    for i, value in enumerate((command, "systemTrimNativeHeap", gateway.new_array(java.Object, 0), gateway.new_array(java.String, 0))):
+        args[i] = value
+    # the server's own class is closed to Py4J, its interface is open
+    invoke = next(m for m in java.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    try:
+        invoke.invoke(java.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        pass
+
+
 def sweep(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files and checkpoints of tables that nothing names any more; a driver with memory to spare seldom collects its garbage."""
+    """Let Spark delete shuffle files and checkpoints of tables that nothing names any more; a driver with memory to spare seldom collects its garbage.
+
+    Both processes of the driver then give back what is free, so that a long row of steps does not add up.
+    """
     gc.collect()
     give_back()
     spark.sparkContext._jvm.System.gc()
+    give_back_jvm(spark)
 
 
 def order_id(doc_id: str | Column = "doc_id") -> Column:

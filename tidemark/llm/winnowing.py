@@ -16,7 +16,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.tables import cut, order_id, text_key, written
+from tidemark.llm.tables import cut, order_id, sweep, text_key, written
 
 SPAN, GRAM = 10, 5
 SEPARATORS = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
@@ -107,6 +107,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     matches = found.where("len >= 0").groupBy("oid", "key").agg(F.collect_set(F.struct("len", "h")).alias("m"))
     near = written(matches, "benchmark-matches")
+    sweep(docs.sparkSession)
     at = docs.select(order_id().alias("oid"), text_key().alias("key"), "text").join(near, ["oid", "key"])
     at = at.select("oid", "key", "m", words().alias("w"))
     candidates = [candidate_windows(n) for n in lengths]
@@ -115,6 +116,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = (at.select("oid", "key", F.explode(F.concat(*candidates)).alias("c")).select("oid", "key", "c.*")
                .join(known.select("len", "window").distinct(), ["len", "window"]))
     windows = cut(windows.select("oid", "key", "len", "window", "start", "n").distinct())
+    sweep(docs.sparkSession)
 
     hit = (windows.select("oid", "key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("p")).distinct()
            .groupBy("oid", "key").agg(F.count("*").alias("n_hit")))
